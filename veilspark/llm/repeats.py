@@ -10,9 +10,12 @@ from lo to hi + length is the anchor's region.
    repeat and go.
 2. Regions: equal regions at different places are repeats as a whole. How they are grouped is
    the calling operator's method.
-3. `edge_windows`: where one anchor has different regions, one place of each is extended unit by
-   unit: its windows are compared by 128-bit fingerprints.
-4. `spans_by_document` puts repeated regions and windows together per document.
+3. Where one anchor has different regions, one place of each is taken apart: first into blocks of a
+   few consecutive windows, counted from the anchor. What all windows of a block share, its core,
+   is nearly a window long, so a block whose core is unique has no repeat. Blocks with equal cores
+   are handled like regions: equal ones repeat as a whole, and one place of each different one is
+   extended unit by unit, its windows compared by 128-bit fingerprints.
+4. Repeated regions, blocks and windows are put together per document.
 
 Nothing is grouped by a key without an aggregate before the shuffle, and rows go back to their
 places by joins that Spark can split, so hot passages don't land in one task. Documents are
@@ -31,11 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textcore import BASES, CHUNK, SPACE, Prefix, buffers, byte_values, columns, sliding_min, spans, word_hashes, words
+from .textcore import BASES, CHUNK, SPACE, Prefix, buffers, byte_values, columns, mix, sliding_min, spans, word_hashes, words
 
 U64 = np.uint64
 KEY = ["doc_id", "dig"]
-ANCHOR = "h long, r1 long, r2 long, doc_id long, dig long, lo long, hi long"
+#: Windows of a block.
+BLOCK = {"byte": 16, "word": 4}
+PLACE = ["doc_id", "dig", "lo", "hi", "at"]
+ANCHOR = "h long, r1 long, r2 long, doc_id long, dig long, lo long, hi long, at long"
+PART = "c1 long, c2 long, b1 long, b2 long, doc_id long, dig long, lo long, hi long"
 WINDOW = "w1 long, w2 long, doc_id long, dig long, s long"
 
 
@@ -55,11 +62,11 @@ def word_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def pick(values: np.ndarray, bounds: np.ndarray, k: int, length: int):
-    """Anchors of documents laid end to end: (document, lo, hi, hash, two region hashes); lo and hi from the document's start."""
+    """Anchors of documents laid end to end: (document, lo, hi, anchor, hash, two region hashes); places from the document's start."""
     width = length - k + 1
     none = np.zeros(0, np.int64)
     if len(values) < length:
-        return none, none, none, none.astype(U64), none.astype(U64), none.astype(U64)
+        return none, none, none, none, none.astype(U64), none.astype(U64), none.astype(U64)
     one, two = Prefix(values, BASES[0]), Prefix(values, BASES[1])
     grams = one.grams(k)
     least = sliding_min(grams, width)
@@ -83,7 +90,7 @@ def pick(values: np.ndarray, bounds: np.ndarray, k: int, length: int):
         part = lo[seek[i : i + 2048]]
         at[seek[i : i + 2048]] = part + width - 1 - np.argmin(view[part][:, ::-1], axis=1)
     end = hi + length
-    return doc, lo - bounds[doc], hi - bounds[doc], grams[at], one.runs(lo, end), two.runs(lo, end)
+    return doc, lo - bounds[doc], hi - bounds[doc], at - bounds[doc], grams[at], one.runs(lo, end), two.runs(lo, end)
 
 
 def _pieces(raw: np.ndarray, offsets: np.ndarray, units: Callable, length: int):
@@ -105,25 +112,33 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray, units: Callable, length: int):
 def _anchor_task(unit: str, k: int, length: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = word_units if unit == "word" else byte_units
-        schema = pa.schema([(n, pa.int64()) for n in ("h", "r1", "r2", "doc_id", "dig", "lo", "hi")])
+        schema = pa.schema([(n, pa.int64()) for n in ("h", "r1", "r2", "doc_id", "dig", "lo", "hi", "at")])
         for batch in batches:
             ids, digs = batch.column("doc_id"), batch.column("dig")
             raw, offsets = buffers(batch.column("text"))
             for first, values, bounds, cut in _pieces(raw, offsets, units, length):
-                doc, lo, hi, h, r1, r2 = pick(values, bounds, k, length)
+                doc, lo, hi, at, h, r1, r2 = pick(values, bounds, k, length)
                 if len(doc):
                     rows = pa.array(doc + first)
-                    yield columns(schema, h=h.view(np.int64), r1=r1.view(np.int64), r2=r2.view(np.int64), doc_id=ids.take(rows), dig=digs.take(rows), lo=lo + cut, hi=hi + cut)
+                    yield columns(schema, h=h.view(np.int64), r1=r1.view(np.int64), r2=r2.view(np.int64), doc_id=ids.take(rows), dig=digs.take(rows), lo=lo + cut, hi=hi + cut, at=at + cut)
 
     return task
 
 
+def fresh(keys: DataFrame, *names: str) -> DataFrame:
+    """The same keys without the partitioning of the aggregate that made them.
+
+    A join then deals both sides out anew, and only such joins are split by Spark where a key is hot.
+    """
+    return keys.withColumns({n: F.col(n).bitwiseXOR(F.lit(0).cast("long")) for n in names})
+
+
 def shared_anchors(docs: DataFrame, unit: str, k: int, length: int, base: str) -> DataFrame:
     """Anchors whose hash occurs at two places or more, as a written table."""
     spark = docs.sparkSession
     found = scratch.save(docs.mapInArrow(_anchor_task(unit, k, length), ANCHOR), f"{base}/anchors")
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    out = scratch.save(found.join(twice, "h"), f"{base}/shared")
+    out = scratch.save(found.join(fresh(twice, "h"), "h"), f"{base}/shared")
     del found, twice
     scratch.drop(spark, f"{base}/anchors")
     scratch.release(spark)
@@ -154,45 +169,97 @@ def _lengths(lists: pa.Array) -> list:
     return pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
 
 
+def _block_task(unit: str, length: int):
+    size = BLOCK[unit]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = word_units if unit == "word" else byte_units
+        schema = pa.schema([(n, pa.int64()) for n in ("c1", "c2", "b1", "b2", "doc_id", "dig", "lo", "hi")])
+        for batch in batches:
+            raw, offsets = buffers(batch.column("text"))
+            off, (lo, hi, at) = places_of(batch, "lo", "hi", "at")
+            for first, last in spans(offsets, CHUNK):
+                x, y = off[first], off[last]
+                if x == y:
+                    continue
+                values, bounds = units(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                row = np.repeat(np.arange(last - first), np.diff(off[first : last + 1]))
+                low, high, anchor = lo[x:y] + bounds[row], hi[x:y] + bounds[row], at[x:y] + bounds[row]
+                one = (anchor - high) // size
+                count = (anchor - low) // size - one + 1
+                of = np.repeat(np.arange(len(row)), count)
+                j = one[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                top = anchor[of] - size * j
+                b_lo, b_hi = np.maximum(low[of], top - size + 1), np.minimum(high[of], top)
+                shape = ((anchor[of] - b_lo) * (1 << 20) + (anchor[of] - b_hi)).astype(U64)
+                hashes = [Prefix(values, base) for base in BASES]
+                core = [p.runs(top, top - size + 1 + length).view(np.int64) for p in hashes]
+                whole = [mix(p.runs(b_lo, b_hi + length) + shape).view(np.int64) for p in hashes]
+                rows = pa.array(row[of] + first)
+                start = bounds[row[of]]
+                yield columns(schema, c1=core[0], c2=core[1], b1=whole[0], b2=whole[1], doc_id=batch.column("doc_id").take(rows), dig=batch.column("dig").take(rows), lo=b_lo - start, hi=b_hi - start)
+
+    return task
+
+
 def _window_task(unit: str, length: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = word_units if unit == "word" else byte_units
         schema = pa.schema([(n, pa.int64()) for n in ("w1", "w2", "doc_id", "dig", "s")])
         for batch in batches:
-            ids, digs = batch.column("doc_id"), batch.column("dig")
             raw, offsets = buffers(batch.column("text"))
             off, (lo, hi) = places_of(batch, "lo", "hi")
-            for row in range(batch.num_rows):
-                a, b = lo[off[row] : off[row + 1]], hi[off[row] : off[row + 1]]
-                part = raw[offsets[row] : offsets[row + 1]]
-                values, _ = units(part, np.array([0, len(part)]))
-                start = np.concatenate([np.arange(x, y + 1) for x, y in zip(a, b, strict=True)])
-                for i in range(0, len(start), CHUNK):
-                    s = start[i : i + CHUNK]
-                    least, most = int(s.min()), int(s.max()) + length
-                    w = [Prefix(values[least:most], base).runs(s - least, s - least + length) for base in BASES]
-                    rows = pa.array(np.full(len(s), row))
-                    yield columns(schema, w1=w[0].view(np.int64), w2=w[1].view(np.int64), doc_id=ids.take(rows), dig=digs.take(rows), s=s)
+            for first, last in spans(offsets, CHUNK):
+                x, y = off[first], off[last]
+                if x == y:
+                    continue
+                values, bounds = units(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                row = np.repeat(np.arange(last - first), np.diff(off[first : last + 1]))
+                count = hi[x:y] - lo[x:y] + 1
+                of = np.repeat(np.arange(len(row)), count)
+                s = lo[x:y][of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                start = s + bounds[row[of]]
+                w = [Prefix(values, base).runs(start, start + length).view(np.int64) for base in BASES]
+                rows = pa.array(row[of] + first)
+                yield columns(schema, w1=w[0], w2=w[1], doc_id=batch.column("doc_id").take(rows), dig=batch.column("dig").take(rows), s=s)
 
     return task
 
 
+def distinct_places(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """Distinct keys with their number of rows and one row's place."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in place))
+
+
+def of_mixed(regions: DataFrame, keys: list[str]) -> DataFrame:
+    """Those whose keys hold more than one distinct region."""
+    mixed = regions.groupBy(*keys).agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select(*keys)
+    return regions.join(fresh(mixed, *keys), keys)
+
+
 def repeated_places(docs: DataFrame, shared: DataFrame, regions: DataFrame, unit: str, length: int, base: str) -> DataFrame:
     """(doc_id, dig, s, e) of everything that occurs elsewhere.
 
-    regions: h, r1, r2, n and one place (doc_id, dig, lo, hi) for each distinct region.
+    regions: h, r1, r2, n and one place (doc_id, dig, lo, hi, at) for each distinct region.
     """
     spark = docs.sparkSession
-    mixed = regions.groupBy("h").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("h")
-    edges = regions.join(mixed, "h").select(*KEY, "lo", "hi")
+
+    def span(low: str, high: str) -> list:
+        return [*KEY, F.col(low).alias("s"), (F.col(high) + length).alias("e")]
+
+    edges = of_mixed(regions, ["h"]).select(*PLACE)
+    blocks = scratch.save(with_places(docs, listed(edges, "lo", "hi", "at"), "inner").mapInArrow(_block_task(unit, length), PART), f"{base}/blocks")
+    scratch.release(spark)
+    core, whole = ["c1", "c2"], ["c1", "c2", "b1", "b2"]
+    kinds = scratch.save(distinct_places(blocks, whole, [*KEY, "lo", "hi"]), f"{base}/kinds")
+    edges = of_mixed(kinds, core).select(*KEY, "lo", "hi")
     windows = scratch.save(with_places(docs, listed(edges, "lo", "hi"), "inner").mapInArrow(_window_task(unit, length), WINDOW), f"{base}/windows")
     scratch.release(spark)
     again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    ends = (F.col("s") + length).alias("e")
-    from_windows = windows.join(again, ["w1", "w2"]).select(*KEY, "s", ends)
-    whole = regions.filter("n > 1").select("h", "r1", "r2")
-    from_regions = shared.join(whole, ["h", "r1", "r2"]).select(*KEY, F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    return from_regions.unionByName(from_windows)
+    from_windows = windows.join(fresh(again, "w1", "w2"), ["w1", "w2"]).select(*span("s", "s"))
+    from_blocks = blocks.join(kinds.filter("n > 1").select(*whole), whole).select(*span("lo", "hi"))
+    from_regions = shared.join(regions.filter("n > 1").select("h", "r1", "r2"), ["h", "r1", "r2"]).select(*span("lo", "hi"))
+    return from_regions.unionByName(from_blocks).unionByName(from_windows)
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -19,21 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import scratch
-from .repeats import covered, keyed, listed, places_of, repeated_places, shared_anchors, with_places
+from .repeats import PLACE, covered, distinct_places, keyed, listed, places_of, repeated_places, shared_anchors, with_places
 from .textcore import buffers, columns, words
 
 RESULT = "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<start:long,end:long>>"
 
 
-def regions_by_join(shared: DataFrame) -> DataFrame:
-    """Distinct regions of each anchor with their number of places and one of the places."""
-    place = [F.first(c).alias(c) for c in ("doc_id", "dig", "lo", "hi")]
-    return shared.groupBy("h", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), *place)
-
-
 def _cut(digest: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +67,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, k: int = 8, digest: bool =
     base = scratch.folder(docs.sparkSession)
     rows = keyed(docs)
     shared = shared_anchors(rows, "word", k, length, base)
-    regions = scratch.save(regions_by_join(shared), f"{base}/regions")
+    regions = scratch.save(distinct_places(shared, ["h", "r1", "r2"], PLACE), f"{base}/regions")
     places = repeated_places(rows, shared, regions, "word", length, base)
     schema = RESULT.replace("kept binary", "kept_sha256 string") if digest else RESULT
     return with_places(rows, listed(places, "s", "e"), "left").mapInArrow(_cut(digest), schema)

@@ -34,7 +34,7 @@ from . import scratch
 from .repeats import covered, keyed, listed, places_of, repeated_places, shared_anchors, with_places
 from .textcore import buffers, columns
 
-FIELDS = ("h", "r1", "r2", "n", "doc_id", "dig", "lo", "hi")
+FIELDS = ("h", "r1", "r2", "n", "doc_id", "dig", "lo", "hi", "at")
 RUN = "part int, run long, shared array<int>, rest array<binary>, " + ", ".join(f"{f} array<long>" for f in FIELDS)
 REGION = ", ".join(f"{f} long" for f in FIELDS)
 #: Bytes of distinct suffixes that a task holds before it writes a run, and sampled suffixes for the splitters.
@@ -129,16 +129,16 @@ def front_decode(shared: list[int], rest: list[bytes], payload: list[tuple]) ->
 
 
 def _places(batch: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, tuple]]:
-    """(suffix, (h, r1, r2, doc_id, dig, lo, hi)) of each listed place."""
+    """(suffix, (h, r1, r2, doc_id, dig, lo, hi, at)) of each listed place."""
     raw, offsets = buffers(batch.column("text"))
-    off, fields = places_of(batch, "h", "r1", "r2", "lo", "hi")
+    off, fields = places_of(batch, "h", "r1", "r2", "lo", "hi", "at")
     fields = [f.tolist() for f in fields]
     ids, digs = batch.column("doc_id").to_pylist(), batch.column("dig").to_pylist()
     for row in range(batch.num_rows):
         data = raw[offsets[row] : offsets[row + 1]].tobytes()
         for i in range(off[row], off[row + 1]):
-            h, r1, r2, lo, hi = (f[i] for f in fields)
-            yield data[lo : hi + length], (h, r1, r2, ids[row], digs[row], lo, hi)
+            h, r1, r2, lo, hi, at = (f[i] for f in fields)
+            yield data[lo : hi + length], (h, r1, r2, ids[row], digs[row], lo, hi, at)
 
 
 def _run_task(splitters: list[bytes], length: int):
@@ -150,7 +150,7 @@ def _run_task(splitters: list[bytes], length: int):
                 continue
             shared, rest = front_code(items[a:b])
             own = [held[x] for x in items[a:b]]
-            values = {f: [[o[j] for o in own]] for j, f in enumerate(("n", "h", "r1", "r2", "doc_id", "dig", "lo", "hi"))}
+            values = {f: [[o[j] for o in own]] for j, f in enumerate(("n", "h", "r1", "r2", "doc_id", "dig", "lo", "hi", "at"))}
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([run], pa.int64()), pa.array([shared], pa.list_(pa.int32())), pa.array([rest], pa.list_(pa.binary())), *(pa.array(values[f], pa.list_(pa.int64())) for f in FIELDS)],
                 names=["part", "run", "shared", "rest", *FIELDS],
@@ -205,14 +205,14 @@ def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _splitters(rows: DataFrame, shared: DataFrame, parts: int, length: int) -> list[bytes]:
     """parts - 1 keys from at most SAMPLE distinct suffixes, chosen by their fingerprint."""
-    some = shared.groupBy("r1").agg(*(F.first(c).alias(c) for c in ("h", "r2", "doc_id", "dig", "lo", "hi")))
+    some = shared.groupBy("r1").agg(*(F.first(c).alias(c) for c in ("h", "r2", "doc_id", "dig", "lo", "hi", "at")))
     some = some.orderBy("r1").limit(SAMPLE)
 
     def texts(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in _places(batch, length)], pa.binary())], names=["suffix"])
 
-    few = F.broadcast(listed(some, "h", "r1", "r2", "lo", "hi"))  # SAMPLE rows at most
+    few = F.broadcast(listed(some, "h", "r1", "r2", "lo", "hi", "at"))  # SAMPLE rows at most
     found = sorted({bytes(r[0]) for r in with_places(rows, few, "inner").mapInArrow(texts, "suffix binary").collect()})
     return sorted({found[len(found) * i // parts] for i in range(1, parts)}) if len(found) >= parts else found
 
@@ -222,7 +222,7 @@ def regions_by_merge(rows: DataFrame, shared: DataFrame, length: int) -> DataFra
     spark = rows.sparkSession
     parts = scratch.partitions(spark)
     splitters = _splitters(rows, shared, parts, length)
-    runs = with_places(rows, listed(shared, "h", "r1", "r2", "lo", "hi"), "inner").mapInArrow(_run_task(splitters, length), RUN)
+    runs = with_places(rows, listed(shared, "h", "r1", "r2", "lo", "hi", "at"), "inner").mapInArrow(_run_task(splitters, length), RUN)
     dealt = runs.repartitionById(max(parts, len(splitters) + 1), F.col("part"))
     return dealt.sortWithinPartitions("part").mapInArrow(_merge_task, REGION)
 
