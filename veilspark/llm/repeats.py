@@ -41,9 +41,14 @@ KEY = ["doc_id", "dig"]
 #: Windows of a block.
 BLOCK = {"byte": 16, "word": 4}
 PLACE = ["doc_id", "dig", "lo", "hi", "at"]
-ANCHOR = "h long, r1 long, r2 long, doc_id long, dig long, lo long, hi long, at long"
-PART = "c1 long, c2 long, b1 long, b2 long, doc_id long, dig long, lo long, hi long"
-WINDOW = "w1 long, w2 long, doc_id long, dig long, s long"
+ANCHOR = "h long, r1 long, r2 long, doc_id long, dig long, lo int, hi int, at int"
+PART = "c1 long, c2 long, b1 long, b2 long, doc_id long, dig long, lo int, hi int"
+WINDOW = "w1 long, w2 long, doc_id long, dig long, s int"
+
+
+def layout(*names: str) -> pa.Schema:
+    """Columns of a task's rows; places within a text fit in 32 bits."""
+    return pa.schema([(n, pa.int32() if n in ("lo", "hi", "at", "s") else pa.int64()) for n in names])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -112,7 +117,7 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray, units: Callable, length: int):
 def _anchor_task(unit: str, k: int, length: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = word_units if unit == "word" else byte_units
-        schema = pa.schema([(n, pa.int64()) for n in ("h", "r1", "r2", "doc_id", "dig", "lo", "hi", "at")])
+        schema = layout("h", "r1", "r2", "doc_id", "dig", "lo", "hi", "at")
         for batch in batches:
             ids, digs = batch.column("doc_id"), batch.column("dig")
             raw, offsets = buffers(batch.column("text"))
@@ -174,7 +179,7 @@ def _block_task(unit: str, length: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = word_units if unit == "word" else byte_units
-        schema = pa.schema([(n, pa.int64()) for n in ("c1", "c2", "b1", "b2", "doc_id", "dig", "lo", "hi")])
+        schema = layout("c1", "c2", "b1", "b2", "doc_id", "dig", "lo", "hi")
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
             off, (lo, hi, at) = places_of(batch, "lo", "hi", "at")
@@ -205,7 +210,7 @@ def _block_task(unit: str, length: int):
 def _window_task(unit: str, length: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = word_units if unit == "word" else byte_units
-        schema = pa.schema([(n, pa.int64()) for n in ("w1", "w2", "doc_id", "dig", "s")])
+        schema = layout("w1", "w2", "doc_id", "dig", "s")
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
             off, (lo, hi) = places_of(batch, "lo", "hi")
@@ -256,9 +261,15 @@ def repeated_places(docs: DataFrame, shared: DataFrame, regions: DataFrame, unit
     windows = scratch.save(with_places(docs, listed(edges, "lo", "hi"), "inner").mapInArrow(_window_task(unit, length), WINDOW), f"{base}/windows")
     scratch.release(spark)
     again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    from_windows = windows.join(fresh(again, "w1", "w2"), ["w1", "w2"]).select(*span("s", "s"))
-    from_blocks = blocks.join(kinds.filter("n > 1").select(*whole), whole).select(*span("lo", "hi"))
-    from_regions = shared.join(regions.filter("n > 1").select("h", "r1", "r2"), ["h", "r1", "r2"]).select(*span("lo", "hi"))
+    # each part is written and its source dropped, so the next one finds the disk free
+    from_windows = scratch.save(windows.join(fresh(again, "w1", "w2"), ["w1", "w2"]).select(*span("s", "s")), f"{base}/of_windows")
+    scratch.drop(spark, f"{base}/windows")
+    from_blocks = scratch.save(blocks.join(kinds.filter("n > 1").select(*whole), whole).select(*span("lo", "hi")), f"{base}/of_blocks")
+    scratch.drop(spark, f"{base}/blocks", f"{base}/kinds")
+    scratch.release(spark)
+    from_regions = scratch.save(shared.join(regions.filter("n > 1").select("h", "r1", "r2"), ["h", "r1", "r2"]).select(*span("lo", "hi")), f"{base}/of_regions")
+    scratch.drop(spark, f"{base}/shared", f"{base}/regions")
+    scratch.release(spark)
     return from_regions.unionByName(from_blocks).unionByName(from_windows)
 
 
