@@ -16,8 +16,8 @@ fewer words is one shingle). A window of a document is m consecutive shingles of
 The item shingles are broadcast only below BROADCAST_BYTES by a count of the table; beyond that
 the same join is dealt by shingle.
 
-Defined results: words are runs of bytes other than ASCII white space, lower-cased A-Z, without
-the punctuation at their ends; null or wordless texts and items match nothing; equal rows of
+Defined results: words are runs of ASCII letters and digits and of characters beyond ASCII, in lower
+case; null or wordless texts and items match nothing; equal rows of
 documents give equal pairs once per doc_id; equal items under several ids match each; extra
 columns are ignored; an empty table gives no rows; documents with a null doc_id are reported under null.
 """
@@ -29,13 +29,12 @@ from pyspark.sql import functions as F
 
 SIMILARITY, RADIUS, GRAM = 0.75, 20, 5
 BROADCAST_BYTES = 64 << 20
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-EDGE = r"(?<![^\x20\x09-\x0D])[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+(?![^\x20\x09-\x0D])"
+OUTSIDE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
-    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), EDGE, " ")
-    return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    """Words of a short text."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), OUTSIDE), lambda x: x != "")
 
 
 def _shingles(words: Column, gram: Column) -> Column:
@@ -85,40 +84,42 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.withColumns({"m": F.size("sh"), "fp": _simhash(F.col("sh"))}).persist()
 
     sizes = items.select("gram", "m", F.explode("sh").alias("s")).groupBy("gram", "s").agg(F.array_sort(F.collect_set("m")).alias("ms"))
-    sizes = sizes.withColumn("g", F.xxhash64("s")).persist()
+    sizes = sizes.withColumn("g", F.xxhash64(*[F.get(F.split("s", " "), F.lit(j)) for j in range(GRAM)])).persist()
     facts = items.select("gram", "m").groupBy("gram").agg(F.max("m").alias("m")).collect()  # GRAM rows at most
     rows, total = sizes.agg(F.count(F.lit(1)), F.sum(F.length("s") + 8 * F.size("ms"))).first()
     small = (total or 0) + 64 * rows < BROADCAST_BYTES
     hits = None
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("dig"), _words(F.col("text")).alias("w"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("dig"), F.split(F.lower(F.coalesce("text", F.lit(""))), OUTSIDE).alias("w"))
+    # an empty first or last word, where a text starts or ends with other bytes, is in no shingle of an item
     for r in facts:
         gram, largest = r["gram"], r["m"]
         spare = largest - int(-(-largest * 2 * SIMILARITY // (1 + SIMILARITY)))
-        at = base.filter(F.size("w") >= gram).select("doc_id", "dig", "w", F.explode(F.sequence(F.lit(1), F.size("w") - (gram - 1))).alias("p"))
-        at = at.withColumn("g", F.xxhash64(F.concat_ws(" ", *[F.element_at("w", F.col("p") + j) for j in range(gram)])))
+        # the outer form, so that the split isn't run again for a filter below the generator
+        at = base.select("doc_id", "dig", "w", F.explode_outer(F.sequence(F.lit(1), F.greatest(F.size("w") - (gram - 1), F.lit(1)))).alias("p"))
+        at = at.withColumn("g", F.xxhash64(*[F.get("w", F.col("p") + (j - 1)) for j in range(gram)]))
         side = sizes.filter(F.col("gram") == gram).select("g", "ms")
         hit = at.join(F.broadcast(side) if small else side, "g")
         reach = F.greatest(F.col("p") - spare - 1, F.lit(1))
-        hit = hit.select("doc_id", "dig", F.lit(gram).alias("gram"), F.explode("ms").alias("m"), "p", reach.alias("from"), F.slice("w", reach, spare + 1 + largest + gram).alias("ctx"), F.size("w").alias("n"))
+        hit = hit.select("doc_id", "dig", F.lit(gram).alias("gram"), F.explode("ms").alias("m"), "p", reach.alias("from"), F.slice("w", reach, spare + 1 + largest + gram).alias("ctx"), F.size("w").alias("n"), (F.get("w", F.lit(0)) == "").cast("int").alias("lead"))
         hits = hit if hits is None else hits.unionByName(hit)
     if hits is None:
         return docs.limit(0).select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0).alias("distance"), F.lit(0.0).alias("similarity"))
 
     # the hits of a document for one size, in order: no more of them than the document has words
-    found = hits.groupBy("doc_id", "dig", "gram", "m", "n").agg(F.array_sort(F.collect_set("p")).alias("ps"), F.array_sort(F.collect_set(F.struct("p", "from", "ctx"))).alias("cs"))
+    found = hits.groupBy("doc_id", "dig", "gram", "m", "n", "lead").agg(F.array_sort(F.collect_set("p")).alias("ps"), F.array_sort(F.collect_set(F.struct("p", "from", "ctx"))).alias("cs"))
     found = found.withColumn("least", _least(F.col("m"))).filter(F.size("ps") >= F.col("least"))
-    first = found.select("doc_id", "dig", "gram", "m", "n", "least", "ps", F.posexplode("cs").alias("r", "c"))
+    first = found.select("doc_id", "dig", "gram", "m", "n", "lead", "least", "ps", F.posexplode("cs").alias("r", "c"))
     # the r-th hit as a window's first one: starts that reach the least-th hit from it and not the hit before
     last_needed = F.element_at("ps", F.col("r") + F.col("least"))
     first = first.filter(F.col("r") + F.col("least") <= F.size("ps"))
     low = F.greatest(last_needed - F.col("m") + 1, F.when(F.col("r") > 0, F.element_at("ps", F.greatest(F.col("r"), F.lit(1))) + 1).otherwise(F.lit(1)), F.lit(1))
     high = F.least(F.col("c.p"), F.col("n") - F.col("gram") - F.col("m") + 2)
     first = first.withColumns({"low": low, "high": high}).filter("low <= high")
-    window = first.select("doc_id", "dig", "gram", "m", F.explode(F.sequence("low", "high")).alias("s"), F.col("c.from").alias("from"), F.col("c.ctx").alias("ctx"))
+    window = first.select("doc_id", "dig", "gram", "m", "lead", F.explode(F.sequence("low", "high")).alias("s"), F.col("c.from").alias("from"), F.col("c.ctx").alias("ctx"))
     own = F.slice("ctx", F.col("s") - F.col("from") + 1, F.col("m") + F.col("gram") - 1)
-    window = window.select("doc_id", "dig", "gram", "m", "s", _shingles(own, F.col("gram")).alias("sh")).withColumn("fp", _simhash(F.col("sh")))
+    window = window.select("doc_id", "dig", "gram", "m", "lead", "s", _shingles(own, F.col("gram")).alias("sh")).withColumn("fp", _simhash(F.col("sh")))
 
-    wb = window.select("doc_id", "dig", "gram", "m", "s", "sh", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("*", "b.i", "b.v").drop("b")
+    wb = window.select("doc_id", "dig", "gram", "m", "lead", "s", "sh", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("*", "b.i", "b.v").drop("b")
     ib = items.select("item_id", "gram", "m", F.col("sh").alias("ish"), F.col("fp").alias("ifp"), F.explode(_blocks(F.col("fp"))).alias("b")).select("*", "b.i", "b.v").drop("b")
     pairs = wb.join(ib, ["gram", "m", "i", "v"])
     same = F.col("fp").bitwiseXOR(F.col("ifp"))
@@ -132,7 +133,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     shared = F.size(F.array_intersect(bag(F.col("sh")), bag(F.col("ish"))))
     pairs = pairs.withColumn("similarity", shared / (2 * F.col("m") - shared)).filter(F.col("similarity") >= SIMILARITY)
-    best = F.max(F.struct("similarity", (-F.col("distance")).alias("near"), (-F.col("s")).alias("at"))).alias("b")
+    best = F.max(F.struct("similarity", (-F.col("distance")).alias("near"), (F.col("lead") - F.col("s")).alias("at"))).alias("b")
     return pairs.groupBy("doc_id", "item_id", "gram", "m").agg(best).select(
         "doc_id", "item_id", (-F.col("b.at") - 1).alias("start"), (F.col("m") + F.col("gram") - 1).alias("n_words"), (-F.col("b.near")).alias("distance"), F.col("b.similarity").alias("similarity")
     )

@@ -41,7 +41,6 @@ TEXTS = {
 K = 2
 #: Share of a text's grams that a merged span must hold, and how far diagonals may lie apart.
 SHARE, NEAR = 0.6, 2
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OUTSIDE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 SQL = """
@@ -78,17 +77,22 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.filter(F.split(F.translate(text, UPPER, LOWER), OUTSIDE), lambda x: x != "")
+    # lower() changes letters beyond ASCII too, which moves no word's ends and matches no template
+    words = F.split(F.lower(text), OUTSIDE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("dig"), words.alias("w"))
-    keyed = rows.select("doc_id", "dig", F.size("w").cast("long").alias("n_words"))
+    # a text that starts or ends with other bytes gives an empty string there
+    lead = (F.col("w")[0] == "").cast("int")
+    keyed = rows.select("doc_id", "dig", (F.size("w") - F.when(F.size("w") > 1, lead + (F.element_at("w", -1) == "").cast("int")).otherwise(lead)).cast("long").alias("n_words"))
 
-    at = rows.filter(F.size("w") >= K).select("doc_id", "dig", "w", F.explode(F.sequence(F.lit(0), F.size("w") - K)).alias("p"))
-    grams = at.withColumn("g", F.xxhash64(F.col("w")[F.col("p")], F.col("w")[F.col("p") + 1]))
+    # the outer form, so that the split isn't run again for a filter below the generator
+    at = rows.select("doc_id", "dig", "w", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("w") - K, F.lit(0)))).alias("p"))
+    grams = at.withColumn("g", F.xxhash64(F.get("w", F.col("p")), F.get("w", F.col("p") + 1)))
     places = _templates(spark).withColumn("g", F.xxhash64("a", "b"))
     hits = grams.join(F.broadcast(places), "g")  # the constants above: a fixed size
     # the words themselves are compared, not only their hash
-    hits = hits.filter((F.col("w")[F.col("p")] == F.col("a")) & (F.col("w")[F.col("p") + 1] == F.col("b")))
-    hits = hits.select("doc_id", "dig", "template", "label", "base", "grams", "t", (F.col("p") - F.col("t")).alias("diagonal"))
+    hits = hits.filter((F.get("w", F.col("p")) == F.col("a")) & (F.get("w", F.col("p") + 1) == F.col("b")))
+    # places count words from 0
+    hits = hits.select("doc_id", "dig", "template", "label", "base", "grams", "t", (F.col("p") - F.col("t") - lead).alias("diagonal"))
 
     # votes of a template position count once, so equal rows don't add up
     key = ["doc_id", "dig", "template", "label", "base", "grams"]
