@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import attack_queries, corpus_queries, model_queries, other_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = corpus_queries.QUERIES | attack_queries.QUERIES | model_queries.QUERIES | other_queries.QUERIES
+SQL = corpus_queries.SQL | attack_queries.SQL | model_queries.SQL | other_queries.SQL
