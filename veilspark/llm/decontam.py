@@ -76,6 +76,14 @@ def _blocks(fingerprint: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
+def _bag(shingles: Column) -> Column:
+    """A bag as a set: each shingle with the number of its occurrence."""
+    count = lambda x, i: F.size(F.filter(F.slice(shingles, 1, i + 1), lambda y: y == x))
+    plain = F.transform(shingles, lambda x: F.concat(x, F.lit("\t1")))
+    repeated = F.transform(shingles, lambda x, i: F.concat_ws("\t", x, count(x, i).cast("string")))
+    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), plain).otherwise(repeated)
+
+
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start (word of the window), n_words, distance and similarity of each match's best window."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -122,16 +130,11 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     wb = window.select("doc_id", "dig", "gram", "m", "lead", "s", "sh", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("*", "b.i", "b.v").drop("b")
     ib = items.select("item_id", "gram", "m", F.col("sh").alias("ish"), F.col("fp").alias("ifp"), F.explode(_blocks(F.col("fp"))).alias("b")).select("*", "b.i", "b.v").drop("b")
     pairs = wb.join(ib, ["gram", "m", "i", "v"])
-    same = F.col("fp").bitwiseXOR(F.col("ifp"))
-    pairs = pairs.withColumn("distance", F.bit_count(same)).filter(F.col("distance") <= RADIUS)
-    # only at the first block in which the two agree, so each pair counts once
-    pairs = pairs.filter(F.col("i") == F.coalesce(*[F.when(x["v"] == 0, x["i"]) for x in (_blocks(same)[j] for j in range(RADIUS + 1))]))
-
-    def bag(shingles: Column) -> Column:
-        """Occurrences of a bag: each shingle with its number."""
-        return F.transform(shingles, lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(shingles, 1, i + 1), lambda y: y == x)).alias("k")))
-
-    shared = F.size(F.array_intersect(bag(F.col("sh")), bag(F.col("ish"))))
+    pairs = pairs.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))).filter(F.col("distance") <= RADIUS)
+    # a pair that agrees in several blocks counts once; only what is left here is verified
+    found = [F.first(c).alias(c) for c in ("lead", "distance", "sh", "ish")]
+    pairs = pairs.groupBy("doc_id", "dig", "gram", "m", "s", "item_id").agg(*found)
+    shared = F.size(F.array_intersect(_bag(F.col("sh")), _bag(F.col("ish"))))
     pairs = pairs.withColumn("similarity", shared / (2 * F.col("m") - shared)).filter(F.col("similarity") >= SIMILARITY)
     best = F.max(F.struct("similarity", (-F.col("distance")).alias("near"), (F.col("lead") - F.col("s")).alias("at"))).alias("b")
     return pairs.groupBy("doc_id", "item_id", "gram", "m").agg(best).select(
