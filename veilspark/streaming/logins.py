@@ -18,8 +18,11 @@ def alarms(attempts: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def alarm_windows(outcomes: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """start, outcome, n per tumbling window (an extension); late rows beyond the watermark are dropped."""
-    rows = outcomes.withWatermark("ts", late) if outcomes.isStreaming else outcomes
-    return rows.groupBy(F.window("ts", every).alias("w"), "outcome").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "outcome", "n")
+    kind = outcomes.schema["ts"].dataType.simpleString()
+    # watermarks need instants
+    rows = outcomes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if outcomes.isStreaming else outcomes
+    found = rows.groupBy(F.window("ts", every).alias("w"), "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return found.select(F.col("w.start").cast(kind).alias("start"), "outcome", "n")
 
 
 def sugar_store(changes: DataFrame) -> DataFrame:
