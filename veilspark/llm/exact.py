@@ -57,4 +57,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     single = kept.filter("group_size = 1")
     # rows that share the largest doc_id: one of them
     many = kept.filter("group_size > 1").dropDuplicates(["text_sha256", "text"])
-    return single.unionByName(many).withColumnsRenamed(back).select(*docs.columns)
+    return single.unionByName(many).drop("keep_id", "group_size", "kept", "text_sha256").withColumnsRenamed(back).select(*docs.columns)
