@@ -11,8 +11,8 @@ import numpy as np
 #: A space between two characters that aren't white space starts a new pre-token, whatever stands around it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 ODD = re.compile(r"\s\s")
-#: Distinct words whose ids a worker keeps: those met in one batch so far, and those met again.
-YOUNG, OLD = 300_000, 600_000
+#: Distinct words whose ids a worker keeps; beyond that only those of the texts at hand stay.
+KEEP = 900_000
 
 
 class Encoder:
@@ -33,11 +33,11 @@ class Encoder:
         self.width = np.zeros(self.size, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        # the fast form keeps no offsets
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each word with a space before it; words neither start nor end with white space."""
@@ -57,39 +57,33 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts, seen, tails = [], set(), []
+        known = self.known
+        parts, heads, tails, new = [], [], [], set()
         for t in texts:
-            tail = None
+            tail = b""
             if ODD.search(t) or t[:1].isspace() or t[-1:].isspace():
                 own = CUT.split(t)
                 if len(own) > 1 and own[-1][-1:].isspace():
-                    tail = own.pop()
+                    tail = self._whole(" " + own.pop()).tobytes()
             else:
                 own = t.split(" ")
-            parts.append(own)
+            heads.append(self._whole(own[0]).tobytes() if own[0] else b"")
             tails.append(tail)
-            seen.update(own[1:])
-        if len(self.old) > OLD:
-            self.old = {}
-        if len(self.young) > YOUNG:
-            self.young = {}
-        old, young = self.old, self.young
-        rest = seen - old.keys()
-        again = rest & young.keys()
-        for w in again:
-            old[w] = young.pop(w)
-        rest -= again
-        new = list(rest)
-        fresh = dict(zip(new, self._words(new), strict=True))
-        young |= fresh
-        old |= fresh
-        get = old.__getitem__
+            del own[0]
+            ids = list(map(known.get, own))
+            if None in ids:
+                new.update(w for w, x in zip(own, ids, strict=True) if x is None)
+            parts.append((own, ids))
+        fresh = list(new)
+        known.update(zip(fresh, self._words(fresh), strict=True))
         out = []
-        for own, tail in zip(parts, tails, strict=True):
-            data = (self._whole(own[0]).tobytes() if own[0] else b"") + b"".join(map(get, own[1:]))
-            out.append(data + self._whole(" " + tail).tobytes() if tail is not None else data)
-        for w in new:
-            del old[w]
+        for head, (own, ids), tail in zip(heads, parts, tails, strict=True):
+            if None in ids:
+                ids = [known[w] if x is None else x for w, x in zip(own, ids, strict=True)]
+            out.append(head + b"".join(ids) + tail)
+        if len(known) > KEEP:
+            here = {w for own, _ in parts for w in own}
+            self.known = {w: known[w] for w in here}
         return out
 
 
