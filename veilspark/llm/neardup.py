@@ -16,7 +16,7 @@ likely as the Jaccard similarity is high.
    are estimated and verified as before. A pair within a component can't change it, so no link that
    matters is left out.
 
-Components come from alternating large-star and small-star rounds, each a written table.
+Components come from rounds of smallest neighbouring labels with pointer jumping, each a written table.
 
 Defined results: null or wordless texts have no shingles and are linked with nothing; with fewer
 words than a shingle has, the whole sequence is one; rows with the same doc_id are one node, and
@@ -200,27 +200,26 @@ def _verify_task(percent: int):
 
 
 def components(links: DataFrame, base: str) -> DataFrame:
-    """(id, label): the smallest id that each linked id reaches, from links (a, b)."""
+    """(id, label): the smallest id that each linked id reaches, from links (a, b).
+
+    Every id takes the smallest label of its neighbours and then that label's own label, so chains
+    shorten by half a round; a round is a written table, and the last one changes nothing.
+    """
     spark = links.sparkSession
-    edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{base}/0")
+    flat = links.filter("a <> b").select("a", "b")
+    edges = scratch.save(flat.union(flat.select("b", "a")).distinct().toDF("u", "v"), f"{base}/edges")
+    now = scratch.save(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("id"), "label"), f"{base}/0")
     step = 0
     while True:
         step += 1
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
-        new = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
+        near = edges.join(now.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("least"))
+        pulled = now.join(near, now["id"] == near["u"]).select("id", F.col("label").alias("old"), F.least("label", "least").alias("mid"))
+        jump = now.select(F.col("id").alias("mid"), F.col("label").alias("far"))
+        new = pulled.join(jump, "mid").select("id", F.least("mid", "far").alias("label"), (F.least("mid", "far") != F.col("old")).alias("moved"))
         new = scratch.save(new, f"{base}/{step}")
-        # all links lead from an id to its label once no target has a link of its own
-        deep = new.join(new.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").limit(1).count()
-        edges = new
-        if not deep:
-            once = edges.groupBy("u").count().filter("count > 1").limit(1).count()
-            if not once:
-                return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
-        scratch.release(spark)
+        if not new.filter("moved").limit(1).count():
+            return new.select("id", "label")
+        now = new.select("id", "label")
 
 
 def _pairs_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
