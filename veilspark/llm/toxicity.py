@@ -80,18 +80,32 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     """Weights that maximise the likelihood of the documents' labels under noisy-or (Adam, full batches)."""
     data = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-    bucket, sentence, doc, _, _ = instances(np.frombuffer(b"".join(data), np.uint8), offsets)
-    pair = np.unique(bucket * len(data) + doc[sentence]) if len(bucket) else bucket
-    toxic = labels[pair % max(1, len(data))] == 1
-    seen = [np.bincount(pair[toxic == t] // max(1, len(data)), minlength=BUCKETS) for t in (False, True)]
+    raw, m = np.frombuffer(b"".join(data), np.uint8), len(data)
+
+    def parts():
+        """Chunk by chunk, so that the driver never holds all features at once."""
+        for first, last in spans(offsets, CHUNK):
+            own = offsets[first : last + 1] - offsets[first]
+            bucket, sentence, doc, _, _ = instances(raw[offsets[first] : offsets[last]], own)
+            yield bucket, sentence, doc + first
+
+    seen = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+    for bucket, sentence, doc in parts():
+        pair = np.unique(bucket * m + doc[sentence]) if len(bucket) else bucket
+        toxic = labels[pair % max(1, m)] == 1
+        for t in (0, 1):
+            seen[t] += np.bincount(pair[toxic == t] // max(1, m), minlength=BUCKETS)
     sizes = [max(1, int((labels == t).sum())) for t in (0, 1)]
     both = (seen[0] + seen[1]) / sum(sizes)
     spread = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / sizes[0] + 1 / sizes[1]))
     known = (np.abs(seen[1] / sizes[1] - seen[0] / sizes[0]) >= SCREEN * spread) & (seen[0] + seen[1] >= LEAST)
-    keep = known[bucket]
-    slot = np.cumsum(known) - 1
-    word, sentence = slot[bucket[keep]], sentence[keep]
-    n, m, size = len(doc), len(data), int(known.sum())
+    slot, size = np.cumsum(known) - 1, int(known.sum())
+    found, n = [], 0
+    for bucket, sentence, doc in parts():
+        keep = known[bucket]
+        found.append((slot[bucket[keep]], sentence[keep] + n, doc))
+        n += len(doc)
+    word, sentence, doc = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
     w, b = np.zeros(size), -6.0
     mean, square, mean_b, square_b = np.zeros(size), np.zeros(size), 0.0, 0.0
     total = weights.sum()
