@@ -120,6 +120,43 @@ def test_decontamination_is_every_window(spark):
     assert decontam.find(frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def cut_leaks(docs, items):
+    """`leaks`, and the pairs of which the document as a whole has fewer shingles than the item."""
+    out = leaks(docs, items)
+    for item, text in items:
+        w = words(text)
+        g = min(5, len(w))
+        bag = Counter(tuple(w[i : i + g]) for i in range(len(w) - g + 1)) if w else Counter()
+        for doc, t in docs:
+            d = words(t)
+            own = Counter(tuple(d[i : i + g]) for i in range(len(d) - g + 1)) if w else Counter()
+            if 0 < own.total() < bag.total():
+                c = (own & bag).total()
+                if c / (own.total() + bag.total() - c) >= 0.75:
+                    out.add((doc, item))
+    return out
+
+
+def test_decontamination_meets_cut_off_copies(spark):
+    rnd = random.Random(12)
+    text = lambda n: " ".join(f"t{rnd.randrange(500)}" for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate((40, 15, 16, 23, 31, 59, 50))] + [(90, "rep " * 20), (91, "five words are an item"), (92, "a few words"), (93, "")]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        for cut in range(len(w) // 2):
+            for j, x in enumerate((w[: len(w) - cut], w[cut:], w[cut // 2 : len(w) - (cut - cut // 2)])):
+                ends = (("", ""), ("", "."), ("(", ""), ("...", "!"))[rnd.randrange(4)]
+                docs.append((10000 * (i + 1) + 10 * cut + j, ends[0] + " ".join(x) + ends[1]))
+    docs += [(5, " ".join(items[0][1].split()[:38])), (6, " ".join(items[0][1].split()[:38]) + "."), *ODD]
+    frames = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.find(*frames).collect()}
+    want = cut_leaks(docs, items)
+    assert set(got) == want and {(5, 0), (6, 0)} <= want - leaks(docs, items)
+    assert [(r["start"], r["n_words"], round(r["similarity"], 6)) for r in (got[5, 0], got[6, 0])] == [(0, 38, round(34 / 36, 6))] * 2
+    assert {r["doc_id"] for r in decontam.clean(*frames).select("doc_id").collect()} == {i for i, _ in docs} - {d for d, _ in want}
+
+
 def test_toxicity_on_held_out(spark, small):
     import os
 

@@ -1,11 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
 
 DataFrame operations only. An item of n words has m = n - 4 shingles of five words (an item of
-fewer words is one shingle). A window of a document is m consecutive shingles of the same kind.
+fewer words is one shingle). A window of a document is m consecutive shingles of the same kind; a
+document of fewer than m shingles is one window as a whole, so that cut-off copies are met.
 
 1. Shingles that no item has cannot count towards a match, and a window that matches at SIMILARITY
-   needs at least `_least(m)` shingles of items with its size; its first such shingle lies within
-   the first m - _least(m) places. Windows that miss this are never made; the rest are all made.
+   needs at least `_least(m, k)` shingles of items of m, k being its own; its first such shingle
+   lies within the first k - _least(m, k) places. Windows that miss this are never made; the rest are all made.
 2. Window and item get a 64-bit SimHash over their shingles with multiplicity.
 3. The fingerprint is cut into RADIUS + 1 blocks. Two fingerprints within RADIUS bits agree in one
    block at least, so an equi-join on (m, block number, block) finds all such pairs; the distance is
@@ -43,9 +44,9 @@ def _shingles(words: Column, gram: Column) -> Column:
     return F.when(n > 0, made).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def _least(m: Column) -> Column:
-    """Fewest shared shingles of two bags of m with a Jaccard similarity of SIMILARITY."""
-    return F.ceil(m * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9).cast("int")
+def _least(m: Column, k: Column) -> Column:
+    """Fewest shared shingles of bags of m and k with a Jaccard similarity of SIMILARITY."""
+    return F.ceil((m + k) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9).cast("int")
 
 
 def _simhash(shingles: Column) -> Column:
@@ -98,7 +99,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small = (total or 0) + 64 * rows < BROADCAST_BYTES
     hits = None
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("dig"), F.split(F.lower(F.coalesce("text", F.lit(""))), OUTSIDE).alias("w"))
-    # an empty first or last word, where a text starts or ends with other bytes, is in no shingle of an item
+    # an empty first or last word, where a text starts or ends with other bytes, is in no shingle of an item or window
     for r in facts:
         gram, largest = r["gram"], r["m"]
         spare = largest - int(-(-largest * 2 * SIMILARITY // (1 + SIMILARITY)))
@@ -108,23 +109,25 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         side = sizes.filter(F.col("gram") == gram).select("g", "ms")
         hit = at.join(F.broadcast(side) if small else side, "g")
         reach = F.greatest(F.col("p") - spare - 1, F.lit(1))
-        hit = hit.select("doc_id", "dig", F.lit(gram).alias("gram"), F.explode("ms").alias("m"), "p", reach.alias("from"), F.slice("w", reach, spare + 1 + largest + gram).alias("ctx"), F.size("w").alias("n"), (F.get("w", F.lit(0)) == "").cast("int").alias("lead"))
+        hit = hit.select("doc_id", "dig", F.lit(gram).alias("gram"), F.explode("ms").alias("m"), "p", reach.alias("from"), F.slice("w", reach, spare + 1 + largest + gram).alias("ctx"), (F.size("w") - (F.element_at("w", -1) == "").cast("int")).alias("n"), (F.get("w", F.lit(0)) == "").cast("int").alias("lead"))
         hits = hit if hits is None else hits.unionByName(hit)
     if hits is None:
         return docs.limit(0).select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0).alias("distance"), F.lit(0.0).alias("similarity"))
 
     # the hits of a document for one size, in order: no more of them than the document has words
     found = hits.groupBy("doc_id", "dig", "gram", "m", "n", "lead").agg(F.array_sort(F.collect_set("p")).alias("ps"), F.array_sort(F.collect_set(F.struct("p", "from", "ctx"))).alias("cs"))
-    found = found.withColumn("least", _least(F.col("m"))).filter(F.size("ps") >= F.col("least"))
-    first = found.select("doc_id", "dig", "gram", "m", "n", "lead", "least", "ps", F.posexplode("cs").alias("r", "c"))
+    # k: shingles of a window, m or all that the document has
+    found = found.withColumn("k", F.least(F.col("m"), F.col("n") - F.col("lead") - F.col("gram") + 1))
+    found = found.withColumn("least", _least(F.col("m"), F.col("k"))).filter(F.size("ps") >= F.col("least"))
+    first = found.select("doc_id", "dig", "gram", "m", "k", "n", "lead", "least", "ps", F.posexplode("cs").alias("r", "c"))
     # the r-th hit as a window's first one: starts that reach the least-th hit from it and not the hit before
     last_needed = F.element_at("ps", F.col("r") + F.col("least"))
     first = first.filter(F.col("r") + F.col("least") <= F.size("ps"))
-    low = F.greatest(last_needed - F.col("m") + 1, F.when(F.col("r") > 0, F.element_at("ps", F.greatest(F.col("r"), F.lit(1))) + 1).otherwise(F.lit(1)), F.lit(1))
-    high = F.least(F.col("c.p"), F.col("n") - F.col("gram") - F.col("m") + 2)
+    low = F.greatest(last_needed - F.col("k") + 1, F.when(F.col("r") > 0, F.element_at("ps", F.greatest(F.col("r"), F.lit(1))) + 1).otherwise(F.lit(1)), F.col("lead") + 1)
+    high = F.least(F.col("c.p"), F.col("n") - F.col("gram") - F.col("k") + 2)
     first = first.withColumns({"low": low, "high": high}).filter("low <= high")
-    window = first.select("doc_id", "dig", "gram", "m", "lead", F.explode(F.sequence("low", "high")).alias("s"), F.col("c.from").alias("from"), F.col("c.ctx").alias("ctx"))
-    own = F.slice("ctx", F.col("s") - F.col("from") + 1, F.col("m") + F.col("gram") - 1)
+    window = first.select("doc_id", "dig", "gram", "m", "k", "lead", F.explode(F.sequence("low", "high")).alias("s"), F.col("c.from").alias("from"), F.col("c.ctx").alias("ctx"))
+    own = F.slice("ctx", F.col("s") - F.col("from") + 1, F.col("k") + F.col("gram") - 1)
     window = window.select("doc_id", "dig", "gram", "m", "lead", "s", _shingles(own, F.col("gram")).alias("sh")).withColumn("fp", _simhash(F.col("sh")))
 
     wb = window.select("doc_id", "dig", "gram", "m", "lead", "s", "sh", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("*", "b.i", "b.v").drop("b")
@@ -135,10 +138,10 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = [F.first(c).alias(c) for c in ("lead", "distance", "sh", "ish")]
     pairs = pairs.groupBy("doc_id", "dig", "gram", "m", "s", "item_id").agg(*found)
     shared = F.size(F.array_intersect(_bag(F.col("sh")), _bag(F.col("ish"))))
-    pairs = pairs.withColumn("similarity", shared / (2 * F.col("m") - shared)).filter(F.col("similarity") >= SIMILARITY)
-    best = F.max(F.struct("similarity", (-F.col("distance")).alias("near"), (F.col("lead") - F.col("s")).alias("at"))).alias("b")
+    pairs = pairs.withColumn("similarity", shared / (F.col("m") + F.size("sh") - shared)).filter(F.col("similarity") >= SIMILARITY)
+    best = F.max(F.struct("similarity", (-F.col("distance")).alias("near"), (F.col("lead") - F.col("s")).alias("at"), F.size("sh").alias("k"))).alias("b")
     return pairs.groupBy("doc_id", "item_id", "gram", "m").agg(best).select(
-        "doc_id", "item_id", (-F.col("b.at") - 1).alias("start"), (F.col("m") + F.col("gram") - 1).alias("n_words"), (-F.col("b.near")).alias("distance"), F.col("b.similarity").alias("similarity")
+        "doc_id", "item_id", (-F.col("b.at") - 1).alias("start"), (F.col("b.k") + F.col("gram") - 1).alias("n_words"), (-F.col("b.near")).alias("distance"), F.col("b.similarity").alias("similarity")
     )
 
 
