@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from veilspark.operators import decoys as G
+from veilspark.operators import freqdb as D
 from veilspark.operators import markov as M
 from veilspark.operators import pcfg as P
 from veilspark.operators import report as R
@@ -58,6 +59,28 @@ def test_lists_are_distinct_and_hold_the_real_word(spark):
     assert made.groupBy("user_id").agg(F.countDistinct("word").alias("n")).filter("n = 4").count() == 2
 
 
+def test_evolving_draws_from_the_whole_bucket(spark):
+    # 300 letters of frequency 1, a hot one and specials without partners
+    c = words(spark, *(f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvw"), *["hotword#"] * 40, *["else#"] * 9, *["hotword!"] * 20)
+    freqs = D.token_counts(c)
+    numbered = D.members(freqs)
+    seen = [(r["type"], r["g"], r["key"], r["pos"]) for r in numbered.collect()]
+    assert len(seen) == len(set(seen)) == 2 * freqs.count()
+    for g in (1, -1):
+        pos = sorted(p for t, h, _, p in seen if t == "A" and h == g)
+        assert pos == list(range(len(pos))) and len(pos) >= 300
+    u = spark.createDataFrame([(1, "aku"), (2, "hotword#")], "user_id long, password string")
+    got = G.evolving(u, freqs, range(3000), 7).collect()
+    cold, hot = ({r["word"] for r in got if r["user_id"] == i} for i in (1, 2))
+    vocabulary = {r["token"] for r in freqs.filter("type = 'A'").collect()}
+    # an edit distance of three to aku needs other letters at every place
+    far = {w for w in vocabulary if len(w) == 3 and all(x != y for x, y in zip(w, "aku", strict=True))}
+    assert len(far) == 162 and cold == far
+    # both tokens of the hot word have no partner: any other word, any special
+    assert {w[-1] for w in hot} <= {"#", "!"} and "!" in {w[-1] for w in hot}
+    assert {w[:-1] for w in hot} <= vocabulary - {"hotword"} and not {w[:-1] for w in hot} & set(G.COMMON)
+
+
 def test_table_sink(spark):
     t = spark.createDataFrame([("b", 0.5, 0.1), ("a", 0.25, 0.2)], "method string, epsilon double, success double")
     assert R.latex(t).split("\n")[1].startswith("a & 0.2500 & 20.0000")

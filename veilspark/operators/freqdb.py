@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.strings import is_ascii, pattern, tokens
+from ..functions.strings import is_ascii, pattern, shape, tokens
+
+SMALL = 64  # buckets of so many tokens are also held as an array
 
 
 def occurrences(corpus: DataFrame, word: str = "password") -> DataFrame:
@@ -26,12 +28,11 @@ def vocabulary(freqs: DataFrame) -> DataFrame:
     return freqs.groupBy("type").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("freq").alias("n_total"))
 
 
-def candidates(wanted: DataFrame, freqs: DataFrame, width: int = 5) -> DataFrame:
-    """Tokens of the same type and frequency as each wanted (type, token), with the distance used.
+def distances(wanted: DataFrame, freqs: DataFrame, width: int = 5) -> DataFrame:
+    """type, token, f, delta of each wanted (type, token): its frequency and the least distance up to `width` with other tokens.
 
-    An unseen token counts as frequency 1. Tokens without an equal partner take the nearest
-    distance up to `width` at which there are any; every wanted token is joined to the few
-    frequency values it may have, never to a range of the table. delta is -1 where nothing is found.
+    An unseen token counts as frequency 1. Every wanted token is joined to the few frequency values
+    it may have, never to a range of the table. delta is null where nothing is found.
     """
     asked = wanted.select("type", "token").distinct().join(freqs, ["type", "token"], "left").select("type", "token", F.coalesce("freq", F.lit(1)).cast("long").alias("f"))
     tried = asked.withColumn("g", F.explode(F.sequence(F.col("f") - width, F.col("f") + width)))
@@ -39,7 +40,16 @@ def candidates(wanted: DataFrame, freqs: DataFrame, width: int = 5) -> DataFrame
     there = freqs.groupBy("type", F.col("freq").alias("g")).agg(F.count(F.lit(1)).alias("size"), F.min("token").alias("lone"))
     near = tried.join(there, ["type", "g"]).filter("size > 1 OR lone <> token")
     best = near.groupBy("type", "token", "f").agg(F.min(F.abs(F.col("g") - F.col("f"))).alias("delta"))
-    used = asked.join(best.select("type", "token", "delta"), ["type", "token"], "left")
+    return asked.join(best.select("type", "token", "delta"), ["type", "token"], "left")
+
+
+def candidates(wanted: DataFrame, freqs: DataFrame, width: int = 5) -> DataFrame:
+    """Tokens of the same type and frequency as each wanted (type, token), with the distance used.
+
+    Tokens without an equal partner take the nearest distance up to `width` at which there are any.
+    delta is -1 where nothing is found.
+    """
+    used = distances(wanted, freqs, width)
     found = used.filter("delta IS NOT NULL").withColumn("g", F.explode(F.sequence(F.col("f") - F.col("delta"), F.col("f") + F.col("delta"))))
     other = freqs.select("type", F.col("freq").alias("g"), F.col("token").alias("candidate"))
     hit = found.join(other, ["type", "g"]).filter("candidate <> token").select("type", "token", "candidate", F.col("delta").cast("int").alias("delta"))
@@ -47,6 +57,45 @@ def candidates(wanted: DataFrame, freqs: DataFrame, width: int = 5) -> DataFrame
     return hit.unionByName(none)
 
 
+def members(freqs: DataFrame, parts: int = 64) -> DataFrame:
+    """type, g, key, pos, token: the tokens of each bucket numbered from 0.
+
+    g is a frequency, or -1 for the whole type; key is the length of specials, the shape of a
+    pattern, else empty. A bucket is numbered in hash parts with offsets, so none goes to one task.
+    """
+    key = F.when(F.col("type") == "S", F.length("token").cast("string")).when(F.col("type") == "P", shape(F.col("token"))).otherwise("")
+    rows = freqs.select("type", F.explode(F.array(F.col("freq").cast("long"), F.lit(-1).cast("long"))).alias("g"), key.alias("key"), "token", F.pmod(F.xxhash64("token"), F.lit(parts)).alias("part"))
+    bucket = ["type", "g", "key"]
+    sizes = rows.groupBy(*bucket, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*bucket).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = rows.withColumn("r", F.row_number().over(W.partitionBy(*bucket, "part").orderBy("token")) - 1)
+    return own.join(sizes.withColumn("before", before).drop("n"), [*bucket, "part"]).select(*bucket, (F.col("before") + F.col("r")).alias("pos"), "token")
+
+
+def pools(wanted: DataFrame, freqs: DataFrame, numbered: DataFrame, width: int = 5) -> DataFrame:
+    """type, token, by: for each key a struct of what a wanted token may be replaced by.
+
+    total (candidates, without the token), gs (its buckets g with their size n), own (the token's
+    own pos in them, null if it isn't there) and pool (the candidates if total is at most SMALL,
+    else null). A token without partners up to `width` takes its whole type.
+    """
+    used = distances(wanted, freqs, width)
+    far = F.array(F.lit(-1).cast("long"))
+    gs = F.when(F.col("delta").isNull(), far).when(F.col("delta") == 0, F.array("f")).otherwise(F.array(F.col("f") - F.col("delta"), F.col("f") + F.col("delta")))
+    used = used.withColumn("g", F.explode(gs)).select("type", "token", "g")
+    # pos of the token itself, where it lies in its bucket
+    used = used.join(numbered.select("type", "g", "token", F.col("key").alias("home"), F.col("pos").alias("at")), ["type", "g", "token"], "left")
+    sizes = numbered.groupBy("type", "g", "key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("pos") <= SMALL, F.col("token")))).alias("some"))
+    met = used.join(sizes, ["type", "g"])
+    met = met.withColumn("own", F.when(F.col("key") == F.col("home"), F.col("at")))
+    listed = F.array_sort(F.collect_list(F.struct("g", "n")))
+    per = met.groupBy("type", "token", "key").agg(listed.alias("gs"), F.max("own").alias("own"), F.sum("n").alias("n"), F.flatten(F.array_sort(F.collect_list("some"))).alias("some"))
+    total = F.col("n") - F.col("own").isNotNull().cast("long")
+    pool = F.when(total <= SMALL, F.filter("some", lambda x: x != F.col("token")))
+    entry = F.struct("key", F.struct(total.alias("total"), "gs", "own", pool.alias("pool")).alias("e"))
+    return per.groupBy("type", "token").agg(F.map_from_entries(F.collect_list(entry)).alias("by"))
+
+
 def history(base: DataFrame, registered: DataFrame) -> DataFrame:
     """Frequency of each token as registrations come in: type, token, freq, from_reg, to_reg.
 

@@ -145,8 +145,8 @@ def evolving_decoys(spark, d):
     from ..operators import freqdb as D
 
     u = domain.users(spark, d).select("user_id", "password")
-    found = D.candidates(D.occurrences(u).select("type", "token"), D.token_counts(domain.passwords(spark, d).unionByName(u.withColumnRenamed("user_id", "pid"))), 5)
-    return G.assemble(G.evolving(u, found, 20, 67), u, 20, 67)
+    freqs = D.token_counts(domain.passwords(spark, d).unionByName(u.withColumnRenamed("user_id", "pid")))
+    return G.assemble(G.evolving(u, freqs, range(8 * 20), 67), u, 20, 67)
 
 
 @query()
