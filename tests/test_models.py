@@ -70,7 +70,7 @@ def test_evolving_draws_from_the_whole_bucket(spark):
         pos = sorted(p for t, h, _, p in seen if t == "A" and h == g)
         assert pos == list(range(len(pos))) and len(pos) >= 300
     u = spark.createDataFrame([(1, "aku"), (2, "hotword#")], "user_id long, password string")
-    got = G.evolving(u, freqs, range(3000), 7).collect()
+    got = G.evolving(u, freqs, 7)(u, range(3000)).collect()
     cold, hot = ({r["word"] for r in got if r["user_id"] == i} for i in (1, 2))
     vocabulary = {r["token"] for r in freqs.filter("type = 'A'").collect()}
     # an edit distance of three to aku needs other letters at every place
@@ -81,6 +81,25 @@ def test_evolving_draws_from_the_whole_bucket(spark):
     assert {w[:-1] for w in hot} <= vocabulary - {"hotword"} and not {w[:-1] for w in hot} & set(G.COMMON)
 
 
+def test_rounds_go_on_for_short_lists(spark):
+    # one password holds nine tenths of the rows; one is longer than 28 characters
+    long = "".join(chr(97 + i % 26) + str(i % 10) for i in range(25))
+    c = words(spark, *["mainmain"] * 270, *(f"{chr(97 + i) * 4}{i}" for i in range(24)), *[long] * 6)
+    u = spark.createDataFrame([(i, "real#1") for i in range(6)], "user_id long, password string")
+    t, s = M.transitions(c), M.starts(c)
+    make = lambda some, draws: M.sample(some, t, s, draws, 3)
+    size = lambda draws: {r["user_id"]: r["count"] for r in G.assemble(draws, u, 20, 1).groupBy("user_id").count().collect()}
+    assert min(size(make(u, range(30))).values()) < 20
+    drawn = G.in_rounds(u, make, 20, None, 30)
+    assert set(size(drawn).values()) == {20}
+    assert long in {r["word"] for r in drawn.select("word").distinct().collect()}
+    # the same list as from all draws at once, and no more draws than the limit
+    row = lambda x: {tuple(r) for r in G.assemble(x, u, 20, 1).collect()}
+    fixed = lambda some, draws: some.select("user_id", F.explode(F.sequence(F.lit(draws.start), F.lit(draws.stop - 1))).alias("draw")).withColumn("word", F.concat(F.lit("w"), F.floor(F.sqrt("draw")).cast("string")))
+    assert row(G.in_rounds(u, fixed, 20, 2000, 10)) == row(fixed(u, range(2000)))
+    assert set(size(G.in_rounds(u, fixed, 20, 50, 10)).values()) == {9}
+
+
 def test_table_sink(spark):
     t = spark.createDataFrame([("b", 0.5, 0.1), ("a", 0.25, 0.2)], "method string, epsilon double, success double")
     assert R.latex(t).split("\n")[1].startswith("a & 0.2500 & 20.0000")

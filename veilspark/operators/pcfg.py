@@ -73,13 +73,14 @@ def score(words: DataFrame, probs: DataFrame, word: str = "password") -> DataFra
     return hit.groupBy(word).agg(F.when(F.count_if(F.col("prob").isNull()) > 0, 0.0).otherwise(F.exp(F.sum(F.log("prob")))).alias("prob"))
 
 
-def sample(users: DataFrame, probs: DataFrame, per_user: int, seed: int) -> DataFrame:
+def sample(users: DataFrame, probs: DataFrame, per_user: int | range, seed: int) -> DataFrame:
     """user_id, draw, word: a structure by its probability, then a terminal and a mask for each slot.
 
     Cumulative intervals are joined on (type, len) with a bucket of the unit interval, so a draw meets
     the few items of its bucket.
     """
     buckets = 256
+    draws = per_user if isinstance(per_user, range) else range(per_user)
     w = W.partitionBy("type", "len").orderBy(F.desc("prob"), "item").rowsBetween(W.unboundedPreceding, 0)
     mass = F.sum("prob").over(W.partitionBy("type", "len"))
     cdf = probs.filter("item <> 'M' OR type <> 'S'").withColumn("high", F.sum("prob").over(w) / mass).withColumn("low", F.greatest(F.col("high") - F.col("prob") / mass, F.lit(0.0)))
@@ -91,7 +92,7 @@ def sample(users: DataFrame, probs: DataFrame, per_user: int, seed: int) -> Data
         met = asked.join(cdf, (F.col("_t") == F.col("t")) & (F.col("_l") == F.col("l")) & (F.col("_b") == F.col("b")) & (F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high")))
         return met.withColumn(name, F.col("drawn")).drop("_t", "_l", "_u", "_b", "t", "l", "b", "low", "high", "drawn")
 
-    rows = users.select("user_id").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(per_user - 1))))
+    rows = users.select("user_id").withColumn("draw", F.explode(F.sequence(F.lit(draws.start), F.lit(draws.stop - 1))))
     u = lambda *k: uniform(seed, F.col("user_id"), F.col("draw"), *k)
     rows = draw(rows, F.lit("S"), F.lit(0), u(F.lit("s")), "structure")
     parts = F.transform(F.regexp_extract_all("structure", F.lit("([A-Z][0-9]+)"), F.lit(1)), lambda x: F.struct(F.substring(x, 1, 1).alias("type"), F.substring(x, 2, 9).cast("int").alias("len")))

@@ -146,7 +146,7 @@ def evolving_decoys(spark, d):
 
     u = domain.users(spark, d).select("user_id", "password")
     freqs = D.token_counts(domain.passwords(spark, d).unionByName(u.withColumnRenamed("user_id", "pid")))
-    return G.assemble(G.evolving(u, freqs, range(8 * 20), 67), u, 20, 67)
+    return G.assemble(G.in_rounds(u, G.evolving(u, freqs, 67), 20, 200 * 20, 40), u, 20, 67)
 
 
 @query()
@@ -162,7 +162,8 @@ def profile_decoys(spark, d):
     pool = F.when(F.col("t.kind") == "A", F.slice(F.array_distinct(F.concat("p.alpha", words)), 1, 8)).when(F.col("t.kind") == "D", F.array_union("p.digit", F.transform(F.sequence(F.lit(10), F.lit(99), F.lit(13)), lambda x: x.cast("string")))).otherwise(F.col("p.special"))
     pools = slots.select("user_id", "slot", pool.alias("pool"))
     own = u.select("user_id", "password")
-    return G.assemble(G.from_tokens(own, pools, own.select("user_id", F.array(pattern(F.col("password"))).alias("patterns")), 20, 67, 400, max_shared=1), own, 20, 67)
+    patterns = own.select("user_id", F.array(pattern(F.col("password"))).alias("patterns"))
+    return G.assemble(G.in_rounds(own, lambda some, draws: G.from_tokens(some, pools, patterns, draws, 67, max_shared=1), 20, 100 * 20, 100), own, 20, 67)
 
 
 @query()

@@ -46,7 +46,8 @@ def markov_logprob(spark, d):
 def markov_decoys(spark, d):
     """Decoy lists sampled from the chain."""
     c, u = domain.passwords(spark, d), domain.users(spark, d)
-    draws = M.sample(u, M.transitions(c), M.starts(c), 30, 67)
+    transitions, starts = M.transitions(c).localCheckpoint(), M.starts(c).localCheckpoint()
+    draws = G.in_rounds(u, lambda some, at: M.sample(some, transitions, starts, at, 67), 20, None, 30)
     return G.assemble(draws, u, 20, 67)
 
 
@@ -151,4 +152,5 @@ def pcfg_score(spark, d):
 def pcfg_decoys(spark, d):
     """Decoy lists sampled from the grammar."""
     c, u = domain.passwords(spark, d), domain.users(spark, d)
-    return G.assemble(P.sample(u, P.probabilities(P.items(P.parsed(c))), 30, 67), u, 20, 67)
+    probs = P.probabilities(P.items(P.parsed(c))).localCheckpoint()
+    return G.assemble(G.in_rounds(u, lambda some, draws: P.sample(some, probs, draws, 67), 20, None, 30), u, 20, 67)
