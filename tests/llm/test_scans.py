@@ -157,6 +157,15 @@ def test_decontamination_meets_cut_off_copies(spark):
     assert {r["doc_id"] for r in decontam.clean(*frames).select("doc_id").collect()} == {i for i, _ in docs} - {d for d, _ in want}
 
 
+def test_decontamination_at_the_threshold(spark):
+    # 6 of 7 shingles shared: a similarity of exactly 0.75, where fingerprints lie farthest apart
+    rnd = random.Random(21)
+    items = [(i, " ".join(f"t{rnd.randrange(10**6)}" for _ in range(11))) for i in range(1200)]
+    docs = [(i, "zz " + t.split(" ", 1)[1]) for i, t in items]
+    got = decontam.find(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i, _ in items}
+
+
 def test_toxicity_on_held_out(spark, small):
     import os
 

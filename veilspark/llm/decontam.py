@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SIMILARITY, RADIUS, GRAM = 0.75, 20, 5
+SIMILARITY, RADIUS, GRAM = 0.75, 24, 5
 BROADCAST_BYTES = 64 << 20
 OUTSIDE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
