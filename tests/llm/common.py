@@ -8,7 +8,7 @@ SCHEMA = "doc_id long, text string, lang string, places string, dig int, score d
 
 ODD = [
     (None, None), (None, "a null id with some words in it"), (9001, ""), (9002, None), (9003, " \t\n"), (9004, "one"), (9005, "One two three four five"), (9006, "one TWO three four five"),
-    (9007, "x " * 300), (9008, "y" * 1500), (9009, "aé ñ" * 200), (9010, "same\n" * 40), (9010, "same\n" * 40), (9011, "dup id one " * 30), (9011, "dup id two " * 30), (9012, "tail space "), (9013, "  double  spaces  "),
+    (9007, "x " * 300), (9008, "y" * 1500), (9009, "aé ñ" * 200), (9010, "same\n" * 40), (9010, "same\n" * 40), (9011, "dup id one " * 30), (9011, "dup id two " * 30), (9012, "tail space "), (9014, "ends <|endoftext|> here"), (9013, "  double  spaces  "),
 ]
 
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -25,14 +26,31 @@ def rows(spark, small):
 
 def plain(texts, end):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [np.array([*e.ids, end], "<u4") for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("ab1 '!\n\t é  \x1c")), max_size=25), max_size=4))
+PARTS = ["ab", "b", "1", "²", " ", " ", "  ", "\n", "\n\n", "\t", "'", "'s", "'re", "!", ".,", "é", "É", "\x1c", "\x85", "\xa0", "_", "<|endoftext|>", "<|endof", "世", "😀", "\u0301", "\ufeff"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=14).map("".join), max_size=4))
 def test_pieces_encode_like_whole_texts(texts):
-    assert encoder(PATH).encode(texts) == [x[:-1].tobytes() for x in plain(texts, 0)]
+    assert encoder(PATH).encode(pa.array([*texts, None], pa.string())) == [x[:-1].tobytes() for x in plain([*texts, ""], 0)]
+
+
+def test_end_marks_in_texts_are_the_librarys_ids():
+    ids = np.frombuffer(encoder(PATH).encode(pa.array(["a <|endoftext|> b"]))[0], "<u4")
+    assert ids.tolist() == Tokenizer.from_file(PATH).encode("a <|endoftext|> b", add_special_tokens=False).ids and 50256 in ids
+
+
+def test_old_pieces_are_forgotten_and_found_again(monkeypatch):
+    from veilspark.llm import encoding
+
+    monkeypatch.setattr(encoding, "KEEP", 50)
+    own = encoding.Encoder(PATH)
+    texts = [" ".join(f"w{i * 7 % 300}.{i}" for i in range(a, a + 40)) for a in range(0, 600, 20)]
+    for t in texts * 2:
+        assert own.encode(pa.array([t])) == [x[:-1].tobytes() for x in plain([t], 0)]
 
 
 def test_files_give_the_ids_back(spark, rows):
@@ -93,6 +111,31 @@ def test_differencing_is_near_equal_and_windows_rise():
     assert sorted(x for g in groups for x in g) == list(range(200))
     sums = [sum(sizes[x] for x in g) for g in groups]
     assert max(sums) - min(sums) <= 10
-    pieces, windows = packing.pack([60] * 10, 100, 6)
-    assert all(sum(pieces[x][2] for x in g) <= 100 for g in windows)
+    whole = packing.pack([60] * 10, 100, 6, cut=False)
+    assert len(whole) == 10 and all(len(w) == 1 for w in whole)
     assert packing.differencing([], 3) == [[], [], []]
+
+
+@pytest.mark.parametrize("m", [1, 6, 60])
+def test_cuts_are_few_and_windows_full(m):
+    rnd = random.Random(m)
+    sizes = [rnd.randrange(1, 101) for _ in range(40)]
+    windows = packing.pack(sizes, 100, m)
+    assert len(windows) <= max(m, -(-sum(sizes) // 100)) and all(sum(x[2] for x in w) <= 100 for w in windows)
+    parts = sorted(x for w in windows for x in w)
+    assert len(parts) <= len(sizes) + 2 * len(windows)
+    for i, size in enumerate(sizes):
+        at = 0
+        for _, start, length in (p for p in parts if p[0] == i):
+            assert start == at and length > 0
+            at += length
+        assert at == size
+
+
+def test_little_padding(spark, rows):
+    many = [(i, f"{t or ''} {i}") for i, (_, t) in enumerate(rows * 12)]
+    got = packing.pack_documents(frame(spark, many, 1), PATH).collect()
+    ids = sum(r["length"] for r in got)
+    windows = len({r["sequence_id"] for r in got})
+    assert windows * 2048 - ids <= 0.01 * ids + 2048
+    assert len(got) <= len(many) + 2.5 * windows

@@ -1,15 +1,18 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
-Each task packs its documents in batches, with no shuffle. Whole windows are cut from long
-documents first. What remains is cut into pieces of at most `piece` ids and dealt over m windows:
-a partial partition holds m sums; the two with the largest difference between their sums are
-merged by adding the largest sums of one to the smallest of the other, until one partition is
-left, whose windows are near equal. A batch ends inside a document where its ids fill m windows
-but for a small slack; if a window still exceeds its capacity, pieces are cut finer, and then m rises.
+Each task packs its documents in batches, with no shuffle. Documents of a window's size or more
+give full windows first. What remains is dealt over m windows: a partial partition holds m sums;
+the two with the largest difference between their sums are merged by adding the largest sums of
+one to the smallest of the other, until one partition is left, whose windows are near equal.
+A window that still exceeds its capacity loses the end of its last document to windows with room,
+so a batch cuts one document per such window at most; where all windows together are too small, or
+with cut=False any one is, m rises. A batch ends inside a document where its ids fill m windows but
+for a small slack.
 
 Defined results: null text counts as empty and has only the end id; equal rows are packed
 separately; a null doc_id is carried as it is; extra columns are ignored; an empty table gives no
-rows. Every id lies in exactly one piece.
+rows. Every id lies in exactly one piece. With cut=False a document is in one piece unless it is
+longer than a window or stands at the edge of a batch.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ from .encoding import encoder
 
 #: Windows of a batch, and ids per window that a batch leaves free.
 WINDOWS, SLACK = 64, 8
-PIECES = (512, 448, 384, 320, 256)
 
 
 def differencing(sizes: list[int], m: int) -> list[list[int]]:
@@ -71,27 +73,47 @@ def differencing(sizes: list[int], m: int) -> list[list[int]]:
     return out
 
 
-def pack(sizes: list[int], capacity: int, m: int) -> tuple[list[tuple[int, int, int]], list[list[int]]]:
-    """Pieces (item, start, length) of items of the given sizes, and the pieces of each window."""
-    limits = [min(p, capacity) for p in PIECES]
+def pack(sizes: list[int], capacity: int, m: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
+    """Windows of pieces (item, start, length) of items of at most `capacity` ids each."""
+    m = max(m, -(-sum(sizes) // capacity))
     while True:
-        for limit in limits:
-            pieces = []
-            for i, size in enumerate(sizes):
-                parts = -(-size // limit)
-                edges = [size * j // parts for j in range(parts + 1)]
-                pieces += [(i, a, b - a) for a, b in zip(edges, edges[1:])]  # noqa: B905
-            groups = differencing([p[2] for p in pieces], m)
-            if max(sum(pieces[x][2] for x in g) for g in groups) <= capacity:
-                return pieces, [sorted(g) for g in groups if g]
+        windows = [[(i, 0, sizes[i]) for i in sorted(g)] for g in differencing(sizes, m)]
+        sums = [sum(x[2] for x in w) for w in windows]
+        if max(sums) <= capacity:
+            break
+        if cut:
+            level(windows, sums, capacity)
+            break
         m += 1
+    return [w for w in windows if w]
+
+
+def level(windows: list[list[tuple[int, int, int]]], sums: list[int], capacity: int) -> None:
+    """Moves what exceeds the capacity from the ends of windows to those with most room."""
+    rooms = sorted(((s, w) for w, s in enumerate(sums) if s < capacity), reverse=True)
+    for w, total in enumerate(sums):
+        over = total - capacity
+        while over > 0:
+            item, start, length = windows[w].pop()
+            moved = min(over, length)
+            if moved < length:
+                windows[w].append((item, start, length - moved))
+            over -= moved
+            at = start + length - moved
+            while moved:
+                have, to = rooms.pop()
+                part = min(moved, capacity - have)
+                windows[to].append((item, at, part))
+                at, moved = at + part, moved - part
+                if have + part < capacity:
+                    rooms.append((have + part, to))
 
 
 class Packer:
     """Takes documents one by one and gives finished batches of windows."""
 
-    def __init__(self, capacity: int):
-        self.capacity, self.room = capacity, WINDOWS * (capacity - SLACK)
+    def __init__(self, capacity: int, cut: bool = True):
+        self.capacity, self.cut, self.room = capacity, cut, WINDOWS * max(1, capacity - SLACK)
         self.window = 0
         self.items: list[tuple[int, int, int]] = []  # document, start, length
         self.size = 0
@@ -114,11 +136,9 @@ class Packer:
     def flush(self, m: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
         if not self.items:
             return
-        pieces, windows = pack([x[2] for x in self.items], self.capacity, m or -(-self.size // self.capacity))
-        for own in windows:
+        for own in pack([x[2] for x in self.items], self.capacity, m or -(-self.size // self.capacity), self.cut):
             at = 0
-            for x in own:
-                i, a, length = pieces[x]
+            for i, a, length in own:
                 doc, start, _ = self.items[i]
                 yield doc, start + a, length, self.window, at
                 at += length
@@ -126,7 +146,7 @@ class Packer:
         self.items, self.size = [], 0
 
 
-def _pack_task(path: str, end_id: int, capacity: int, digest: bool):
+def _pack_task(path: str, end_id: int, capacity: int, digest: bool, cut: bool):
     longs = pa.list_(pa.int64())
     names = ["doc_id", "start", "length", "ids_crc32" if digest else "ids", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64() if digest else longs, pa.int64(), pa.int64(), pa.int64()]
@@ -134,7 +154,7 @@ def _pack_task(path: str, end_id: int, capacity: int, digest: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
-        packer = Packer(capacity)
+        packer = Packer(capacity, cut)
         docs: dict[int, tuple] = {}
         rows: list[tuple] = []
         count = 0
@@ -152,9 +172,9 @@ def _pack_task(path: str, end_id: int, capacity: int, digest: bool):
             return made
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
-                for doc_id, own in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text").to_pylist()), strict=True):
+            for i in range(0, batch.num_rows, 4096):
+                some = batch.slice(i, 4096)
+                for doc_id, own in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text")), strict=True):
                     docs[count] = doc_id, own + end
                     out(packer.add(count, len(own) // 4 + 1))
                     count += 1
@@ -169,8 +189,8 @@ def _pack_task(path: str, end_id: int, capacity: int, digest: bool):
     return task
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, digest: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, digest: bool = False, cut: bool = True) -> DataFrame:
     """doc_id, start, length, ids (or with digest ids_crc32), doc_tokens, sequence_id, offset of each piece."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     last = "ids_crc32 long" if digest else "ids array<long>"
-    return rows.mapInArrow(_pack_task(tokenizer, end_id, capacity, digest), f"doc_id long, start long, length long, {last}, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(_pack_task(tokenizer, end_id, capacity, digest, cut), f"doc_id long, start long, length long, {last}, doc_tokens long, sequence_id long, offset long")

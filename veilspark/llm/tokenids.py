@@ -51,9 +51,9 @@ def _tokenize(path: str, end_id: int):
 
         size = 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
-                for doc_id, own in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text").to_pylist()), strict=True):
+            for i in range(0, batch.num_rows, 4096):
+                some = batch.slice(i, 4096)
+                for doc_id, own in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text")), strict=True):
                     ids.append(doc_id)
                     held.append(own + end)
                     size += len(own) // 4 + 1
