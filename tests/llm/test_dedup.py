@@ -33,6 +33,9 @@ def near(spark, small):
     rnd = random.Random(5)
     vocabulary = [f"v{i}" for i in range(3000)]
     rows = documents(spark, small, 80) + [r for r in ODD if r[0] != 9011]
+    # words on which polynomials modulo 2**64 vanish
+    morse = ["".join("ab"[bin(i).count("1") % 2 ^ f] for i in range(1024)) for f in (0, 1)]
+    rows += [(30000 + f, " ".join([morse[f]] * 4 + ["w"])) for f in (0, 1)]
     for g in range(4):
         base = [rnd.choice(vocabulary) for _ in range(150)]
         for c in range(40):
@@ -53,6 +56,60 @@ def test_near_is_every_pair(spark, near):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {c for _, c in want.values()} | {None}
 
 
+def test_near_rows_of_one_id(spark):
+    rnd = random.Random(2)
+    x, y, z = (" ".join(f"v{rnd.randrange(900)}" for _ in range(60)) for _ in range(3))
+    rows = [(5, x), (5, y), (7, x + " more"), (8, y + " more"), (9, z), (5, x)]
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.label(frame(spark, rows)).collect()}
+    assert got == {(5, 5), (7, 5), (8, 5), (9, 9)}
+    assert sorted(r["doc_id"] for r in neardup.keep_one(frame(spark, rows)).collect()) in ([5, 9], [5, 5, 9])
+
+
+def chain(rnd, n, words):
+    """Texts of which each differs a little from the one before."""
+    out, x = [], [f"c{rnd.randrange(10**6)}" for _ in range(words)]
+    for _ in range(n):
+        x = list(x)
+        for _ in range(rnd.randrange(3)):
+            x[rnd.randrange(words)] = f"c{rnd.randrange(10**6)}"
+        out.append(" ".join(x))
+    return out
+
+
+def test_near_chained_cluster(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = list(enumerate(chain(rnd, 500, 60) + chain(rnd, 60, 12)))
+    base = [f"b{i}" for i in range(80)]
+    for i in range(500):  # copies around the threshold from one text, most of them far from each other
+        x = list(base)
+        for j in rnd.sample(range(80), rnd.randrange(1, 5)):
+            x[j] = f"n{rnd.randrange(10**6)}"
+        rows.append((10000 + i, " ".join(x)))
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.label(frame(spark, rows)).collect()}
+    assert got == components(rows)
+
+
+def test_forest_spans_the_links():
+    rnd = np.random.default_rng(1)
+    sets = [np.unique(rnd.integers(0, 40, rnd.integers(1, 30))).astype(np.uint64) for _ in range(60)]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    part = np.arange(60) // 2
+    h = np.concatenate(sets)
+    got = neardup.forest(h, h, off, part, 50)
+    links = {(i, j) for i in range(60) for j in range(i) if part[i] != part[j] and 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j]))}
+    assert {(max(p), min(p)) for p in got} <= links and links
+
+    def groups(pairs):
+        up = list(range(60))
+        for _ in range(60):
+            for a, b in pairs:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    assert groups(got) == groups(links)
+
+
 def test_near_empty(spark):
     assert neardup.label(frame(spark, [])).count() == 0
 

@@ -73,7 +73,7 @@ def test_every_window_has_its_smallest_gram():
     rnd = np.random.default_rng(2)
     values = rnd.integers(0, 5, 400).astype(np.uint64)
     bounds = np.array([0, 3, 3, 150, 400])
-    doc, lo, hi, at, *_ = pick(values, bounds, 3, 12)
+    doc, lo, hi, at, *_ = pick((values, values), bounds, 3, 12)
     starts = sorted((d, s) for d, a, b in zip(doc, lo, hi) for s in range(a, b + 1))
     assert starts == [(d, s) for d in range(4) for s in range(max(0, bounds[d + 1] - bounds[d] - 11))]
     assert all(b <= x and x + 3 <= a + 12 for a, b, x in zip(lo, hi, at))

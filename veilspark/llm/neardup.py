@@ -5,23 +5,25 @@ hashes in that register as an Exp(A) variate x, stored as floor(1 - log_B x) wit
 of a union are the maxima of the parts' registers, so sketches merge. Equal registers are about as
 likely as the Jaccard similarity is high.
 
-1. Documents with equal shingle sets form a class; its smallest doc_id stands for it.
-2. BANDS bands of ROWS registers each put classes into buckets. In each bucket a hub (the member that
+1. Documents with equal shingle sets form a class, a node.
+2. BANDS bands of ROWS registers each put nodes into buckets. In each bucket a hub (the member that
    shares most buckets) is paired with every other member: pairs grow with the members, not
    with their square.
 3. Pairs are estimated jointly by likelihood from both sketches and set sizes; those that could
    reach the threshold are verified on the full sets of both texts.
-4. Links give components. A bucket whose members still lie in several components is compared
-   again: pairs across components that pass the size bound and a 256-bit summary of the registers
-   are estimated and verified as before. A pair within a component can't change it, so no link that
-   matters is left out.
+4. Links give components. Where a bucket's members still lie in several components, its largest
+   component is dealt into blocks and so is the rest; each block of the rest meets each block of the
+   largest component, and of the rest, in one task, which counts shared shingles of all pairs as a
+   product of 0/1 matrices and gives a spanning forest of the links. So no pair is written out, no link
+   that matters is lost, and rows grow with the members times the blocks of the smaller side.
 
-Components come from rounds of smallest neighbouring labels with pointer jumping, each a written table.
+Shingles are two independent 64-bit hashes; both must agree where sets are compared. Components come
+from rounds of smallest neighbouring labels with pointer jumping, each a written table.
 
 Defined results: null or wordless texts have no shingles and are linked with nothing; with fewer
-words than a shingle has, the whole sequence is one; rows with the same doc_id are one node, and
-where their texts differ the one with the smallest digest is compared; a null doc_id is its own
-component (null) and kept; extra columns are ignored; an empty table gives no rows.
+words than a shingle has, the whole sequence is one; rows with the same doc_id lie in one
+component, each with its own links; a null doc_id is its own component (null), linked with nothing
+and kept; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,41 +36,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textcore import LOWER, Prefix, buffers, mix, spans, word_hashes, words
+from .textcore import BASES, LOWER, Prefix, buffers, mix, spans, word_hashes, words
 
 GRAM = 5
 REGISTERS, BANDS, ROWS = 256, 64, 6
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
-#: Standard errors below the threshold at which an estimate, and a 256-bit summary, still lets a pair pass.
+#: Standard errors below the threshold at which an estimate still lets a pair pass.
 SIGMAS = 5.0
 CHUNK = 1 << 17
+#: Members, and shingles, of a block; columns of a matrix.
+BLOCK, WEIGHT, WIDE = 256, 1 << 19, 4096
 U64, U32 = np.uint64, np.uint32
-SKETCH = "doc_id long, dig long, n long, c1 long, c2 long, sketch binary, bits array<long>, bands array<long>"
+SKETCH = "doc_id long, dig long, n long, c1 long, c2 long, sketch binary, bands array<long>"
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): each document's distinct shingles, sorted."""
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, second hashes, offsets): each document's distinct shingles, sorted."""
     low = LOWER[raw]
     starts, ends, bounds = words(low, offsets)
     n = len(offsets) - 1
     if not len(starts):
-        return np.zeros(0, U64), np.zeros(n + 1, np.int64)
-    prefix = Prefix(word_hashes(low, starts, ends))
+        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(n + 1, np.int64)
     size = np.diff(bounds)
-    long = np.flatnonzero(size >= GRAM)
     count = np.where(size >= GRAM, size - GRAM + 1, (size > 0).astype(np.int64))
     off = np.concatenate([[0], np.cumsum(count)])
     begin = np.repeat(bounds[:-1] - off[:-1], count) + np.arange(off[-1])
-    width = np.minimum(size, GRAM)
-    h = prefix.runs(begin, begin + np.repeat(width, count))
+    end = begin + np.repeat(np.minimum(size, GRAM), count)
+    h, h2 = (Prefix(word_hashes(low, starts, ends, i), base).runs(begin, end) for i, base in enumerate(BASES))
     doc = np.repeat(np.arange(n), count)
-    if len(long):
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        h, doc = h[new], doc[new]
-    return h, np.searchsorted(doc, np.arange(n + 1))
+    order = np.lexsort((h, doc))
+    h, h2, doc = h[order], h2[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], h2[new], np.searchsorted(doc[new], np.arange(n + 1))
 
 
 def _seeds(n: int, salt: int) -> np.ndarray:
@@ -113,15 +113,13 @@ def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = buffers(batch.column("text"))
         for first, last in spans(offsets, CHUNK * 6):
-            h, off = shingle_sets(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            h, h2, off = shingle_sets(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             k = registers(h, off)
             n = np.diff(off)
-            zero = np.concatenate([h, np.zeros(1, U64)])
-            sums = [np.concatenate([[U64(0)], np.cumsum(mix(zero[:-1] ^ s))]) for s in _seeds(2, 3)]
+            sums = [np.concatenate([[U64(0)], np.cumsum(mix(x ^ s))]) for x, s in zip((h, h2), _seeds(2, 3), strict=True)]
             c1, c2 = ((s[off[1:]] - s[off[:-1]]).view(np.int64) for s in sums)
-            bit = np.packbits(mix(k.astype(U64)) & U64(1) == 1, axis=1).view(np.int64).reshape(-1)
             some = n > 0
-            per_bits, per_bands = np.full(len(n), REGISTERS // 64), np.where(some, BANDS, 0)
+            per = np.where(some, BANDS, 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(first, last - first),
@@ -130,10 +128,9 @@ def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(c1),
                     pa.array(c2),
                     pa.array([x.tobytes() for x in k], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_bits)]), pa.int32()), pa.array(bit)),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_bands)]), pa.int32()), pa.array(bands(k[some]).view(np.int64).reshape(-1))),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(bands(k[some]).view(np.int64).reshape(-1))),
                 ],
-                names=["doc_id", "dig", "n", "c1", "c2", "sketch", "bits", "bands"],
+                names=["doc_id", "dig", "n", "c1", "c2", "sketch", "bands"],
             )
 
 
@@ -185,13 +182,15 @@ def _verify_task(percent: int):
         for batch in batches:
             keep = []
             for i in range(0, batch.num_rows, 256):
-                sets = []
-                for c in ("t1", "t2"):
-                    sets.append(shingle_sets(*buffers(batch.column(c).slice(i, 256))))
-                for r in range(len(sets[0][1]) - 1):
-                    x, y = (h[off[r] : off[r + 1]] for h, off in sets)
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    if shared and 100 * shared >= percent * (len(x) + len(y) - shared):
+                (x, x2, xo), (y, y2, yo) = (shingle_sets(*buffers(batch.column(c).slice(i, 256))) for c in ("t1", "t2"))
+                for r in range(len(xo) - 1):
+                    a, b = slice(xo[r], xo[r + 1]), slice(yo[r], yo[r + 1])
+                    na, nb = xo[r + 1] - xo[r], yo[r + 1] - yo[r]
+                    if 100 * min(na, nb) < percent * max(na, nb):
+                        continue
+                    _, p, q = np.intersect1d(x[a], y[b], assume_unique=True, return_indices=True)
+                    shared = int((x2[a][p] == y2[b][q]).sum())
+                    if shared and 100 * shared >= percent * (na + nb - shared):
                         keep.append(i + r)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
@@ -199,6 +198,63 @@ def _verify_task(percent: int):
     return task
 
 
+def forest(h: np.ndarray, h2: np.ndarray, off: np.ndarray, part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of different parts, from the shared shingles of all pairs."""
+    m, size = len(off) - 1, np.diff(off)
+    doc = np.repeat(np.arange(m), size)
+    order = np.lexsort((h2, h))
+    x, y, doc = h[order], h2[order], doc[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    column = np.cumsum(new) - 1
+    # a shingle of one set alone is shared by no pair
+    often = np.bincount(column, minlength=1)[column] > 1
+    column, doc = np.unique(column[often], return_inverse=True)[1], doc[often]
+    shared = np.zeros((m, m), np.float64)
+    edges = np.searchsorted(column, np.arange(0, (int(column[-1]) + 1 if len(column) else 0) + WIDE, WIDE))
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):  # noqa: B905
+        block = np.zeros((m, WIDE), np.float32)
+        block[doc[a:b], column[a:b] - i * WIDE] = 1
+        shared += block @ block.T
+    linked = (100 * shared >= percent * (size[:, None] + size[None, :] - shared)) & (shared > 0) & (part[:, None] != part[None, :])
+    out, seen = [], np.zeros(m, bool)
+    for first in np.flatnonzero(linked.any(axis=1)).tolist():
+        todo = [] if seen[first] else [first]
+        seen[first] = True
+        while todo:
+            at = todo.pop()
+            near = np.flatnonzero(linked[at] & ~seen).tolist()
+            seen[near] = True
+            out += [(at, other) for other in near]
+            todo += near
+    return out
+
+
+def _block_task(percent: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links within each group of rows, which come one after another."""
+        group, ids, parts, texts = None, [], [], []
+
+        def links() -> pa.RecordBatch:
+            found = forest(*shingle_sets(*buffers(pa.array(texts, pa.binary()))), np.array(parts, np.int64), percent)
+            a, b = [ids[i] for i, _ in found], [ids[j] for _, j in found]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for g, i, part, text in zip(*(batch.column(c).to_pylist() for c in ("g", "nid", "label", "text")), strict=True):
+                if g != group:
+                    if len(set(parts)) > 1:
+                        yield links()
+                    group, ids, parts, texts = g, [], [], []
+                ids.append(i)
+                parts.append(part)
+                texts.append(text)
+        if len(set(parts)) > 1:
+            yield links()
+
+    return task
+
+
 def components(links: DataFrame, base: str) -> DataFrame:
     """(id, label): the smallest id that each linked id reaches, from links (a, b).
 
@@ -224,73 +280,101 @@ def components(links: DataFrame, base: str) -> DataFrame:
 
 def _pairs_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links among pairs (a, b): estimated, then verified."""
-    side = nodes.select("cid", "n", "sketch")
-    told = pairs.join(side.select(F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("k1")), "a")
-    told = told.join(side.select(F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("k2")), "b")
+    side = nodes.select("nid", "n", "sketch")
+    told = pairs.join(side.select(F.col("nid").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("k1")), "a")
+    told = told.join(side.select(F.col("nid").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("k2")), "b")
+    told = told.filter(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
     likely = told.select("a", "b", "n1", "n2", "k1", "k2").mapInArrow(_estimate_task(percent / 100), "a long, b long")
-    full = likely.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("t1")), "a")
-    full = full.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("t2")), "b")
+    full = likely.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("t1")), "a")
+    full = full.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("t2")), "b")
     return full.select("a", "b", "t1", "t2").mapInArrow(_verify_task(percent), "a long, b long")
 
 
+def _apart(members: DataFrame, nodes: DataFrame, found: DataFrame, texts: DataFrame, percent: int, base: str) -> DataFrame:
+    """Links between members of one bucket that lie in different components so far."""
+    spark = members.sparkSession
+    where = members.select("band", "nid").join(found.select(F.col("id").alias("nid"), "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    where = scratch.save(where.join(nodes.select("nid", "n"), "nid"), f"{base}/where")
+    split = where.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
+    open_ = scratch.save(where.join(split, "band"), f"{base}/open")
+    # the largest component of each bucket, and the sizes of both sides
+    sized = open_.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("y"))
+    top = F.max(F.struct("c", "label", "w"))
+    plan = sized.groupBy("band").agg(top.alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / WEIGHT), F.lit(1)).cast("long")
+    plan = plan.select("band", "c", "x", "y", F.col("top.label").alias("main"), blocks(F.col("top.c"), F.col("top.w")).alias("p"), blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("q"))
+    # buckets with the same members count once
+    plan = plan.groupBy("c", "x", "y").agg(F.min_by(F.struct("band", "main", "p", "q"), "band").alias("b")).select("b.*")
+    dealt = open_.join(plan, "band")
+    own = F.pmod(F.xxhash64("nid", F.lit(2)), F.when(F.col("label") == F.col("main"), F.col("p")).otherwise(F.col("q")))
+    dealt = dealt.withColumn("own", own)
+    to = lambda side, x, y: F.xxhash64(F.col("band"), F.lit(side), x, y)
+    last = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    main = F.transform(last(F.col("q")), lambda j: to(0, F.col("own"), j))
+    rest = F.transform(last(F.col("p")), lambda j: to(0, j, F.col("own")))
+    among = F.when(F.col("q") > 1, F.transform(last(F.col("q")), lambda j: to(1, F.least(F.col("own"), j), F.greatest(F.col("own"), j)))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    groups = F.when(F.col("label") == F.col("main"), main).otherwise(F.concat(rest, among))
+    rows = dealt.select("nid", "label", F.explode(groups).alias("g")).join(texts, "nid")
+    rows = rows.repartition(scratch.partitions(spark), "g").sortWithinPartitions("g")
+    return rows.select("g", "nid", "label", "text").mapInArrow(_block_task(percent), "a long, b long")
+
+
 def label(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, dig (xxhash64 of the text), n_shingles, component_id and kept of each row of docs."""
     spark = docs.sparkSession
     base = scratch.folder(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("dig"), text.cast("binary").alias("text"))
-    sketched = scratch.save(rows.mapInArrow(_sketch_task, SKETCH), f"{base}/sketches")
+    sketched = scratch.save(rows.mapInArrow(_sketch_task, SKETCH).withColumn("rid", F.monotonically_increasing_id()), f"{base}/sketches")
 
     linkable = sketched.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = linkable.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("cid"))
-    standing = linkable.select("doc_id", "dig", "c1", "c2", "n").join(classes, ["c1", "c2", "n"]).filter("doc_id = cid")
-    standing = standing.groupBy("cid").agg(F.min("dig").alias("dig"))
-    nodes = linkable.join(standing, (F.col("doc_id") == F.col("cid")) & (linkable["dig"] == standing["dig"])).select("cid", linkable["dig"], "n", "sketch", "bits", "bands").dropDuplicates(["cid"])
+    classes = linkable.groupBy("c1", "c2", "n").agg(F.min(F.struct("doc_id", "dig", "rid")).alias("r"))
+    classes = classes.select("c1", "c2", "n", "r.*").withColumn("nid", F.monotonically_increasing_id())
+    # written, so the numbers stay
+    classes = scratch.save(classes, f"{base}/classes")
+    nodes = sketched.select("rid", "sketch", "bands").join(classes.select("rid", "nid", "n", "doc_id", "dig"), "rid")
     nodes = scratch.save(nodes, f"{base}/nodes")
     scratch.release(spark)
 
-    placed = nodes.select("cid", F.explode("bands").alias("band"))
+    placed = nodes.select("nid", F.explode("bands").alias("band"))
     crowded = placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = scratch.save(placed.join(crowded, "band"), f"{base}/members")
     scratch.release(spark)
-    weight = members.groupBy("cid").agg(F.sum("size").alias("weight"))
-    hubs = members.join(weight, "cid").groupBy("band").agg((-F.max(F.struct("weight", (-F.col("cid")).alias("c")))["c"]).alias("hub"))
-    stars = members.join(hubs, "band").filter("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
+    weight = members.groupBy("nid").agg(F.sum("size").alias("weight"))
+    hubs = members.join(weight, "nid").groupBy("band").agg((-F.max(F.struct("weight", (-F.col("nid")).alias("c")))["c"]).alias("hub"))
+    stars = members.join(hubs, "band").filter("nid <> hub").select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct()
     stars = scratch.save(stars, f"{base}/stars")
-    needed = weight.join(nodes.select("cid", "dig"), "cid").select("cid", F.col("dig").alias("d"))
-    texts = rows.join(needed, (F.col("doc_id") == F.col("cid")) & (F.col("dig") == F.col("d"))).select("cid", "text").dropDuplicates(["cid"])
+    needed = weight.join(nodes.select("nid", "doc_id", "dig"), "nid").select("nid", F.col("doc_id").alias("i"), F.col("dig").alias("d"))
+    texts = rows.join(needed, (F.col("doc_id") == F.col("i")) & (F.col("dig") == F.col("d"))).select("nid", "text").dropDuplicates(["nid"])
     texts = scratch.save(texts, f"{base}/texts")
     scratch.release(spark)
-    links = scratch.save(_pairs_within(stars, nodes, texts, percent), f"{base}/links")
+    # rows of one doc_id with different sets
+    of_row = sketched.select("doc_id", "dig", "n", "c1", "c2").join(classes.select("c1", "c2", "n", "nid"), ["c1", "c2", "n"], "left").select("doc_id", "dig", "n", "nid")
+    of_row = scratch.save(of_row.withColumn("nid", F.when(F.col("doc_id").isNotNull(), F.col("nid"))), f"{base}/rows")
+    several = of_row.filter("nid IS NOT NULL").groupBy("doc_id").agg(F.min("nid").alias("a"), F.max("nid").alias("z")).filter("a <> z").select("doc_id", "a")
+    same = of_row.join(several, "doc_id").filter("nid <> a").select("a", F.col("nid").alias("b"))
+    links = scratch.save(_pairs_within(stars, nodes, texts, percent).unionByName(same), f"{base}/links")
     scratch.release(spark)
     found = components(links, f"{base}/first")
-
-    where = members.select("band", "cid").join(found.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    where = scratch.save(where, f"{base}/where")
-    split = where.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-    open_ = where.join(split, "band").join(nodes.select("cid", "n", "bits"), "cid")
-    one = open_.select("band", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    two = open_.select("band", F.col("cid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    apart = (1 - percent / 100) / 2
-    most = int(REGISTERS * apart + SIGMAS * np.sqrt(REGISTERS * apart * (1 - apart)))
-    differ = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(REGISTERS // 64)), F.lit(0))
-    sized = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (differ <= most)
-    cross = one.join(two, (one["band"] == two["band"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sized).select("a", "b").distinct()
-    cross = scratch.save(cross.join(stars, ["a", "b"], "left_anti"), f"{base}/cross")
-    scratch.release(spark)
-    more = scratch.save(_pairs_within(cross, nodes, texts, percent), f"{base}/more")
+    more = scratch.save(_apart(members, nodes, found, texts, percent, base), f"{base}/more")
     scratch.release(spark)
     final = components(links.union(more), f"{base}/last") if more.limit(1).count() else found
 
-    of_class = classes.join(final.select(F.col("id").alias("cid"), "label"), "cid", "left").select("c1", "c2", "n", F.coalesce("label", "cid").alias("label"))
-    of_class = scratch.save(of_class, f"{base}/classes")
-    # rows of one doc_id with different texts meet in one component
-    out = sketched.select("doc_id", "dig", "n", "c1", "c2").join(of_class, ["c1", "c2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("label"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "dig", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # the smallest doc_id of each component
+    at = scratch.save(classes.select("nid", F.col("doc_id").alias("low")).join(final.select(F.col("id").alias("nid"), "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid")), f"{base}/at")
+    lowest = at.groupBy("label").agg(F.min("low").alias("low"))
+    of_node = at.select("nid", "label").join(lowest, "label").select("nid", "low")
+    out = of_row.join(of_node, "nid", "left").withColumn("component_id", F.coalesce("low", "doc_id"))
+    return out.select("doc_id", "dig", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row of each component, with the columns of docs."""
-    kept = label(docs, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """The row with the smallest doc_id of each component, with the columns of docs.
+
+    Of different texts under that doc_id the one with the smallest digest stays (equal rows are a case
+    for exact dedup and stay); rows with a null doc_id stay.
+    """
+    kept = label(docs, percent).filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept")).agg(F.min("dig").alias("_dig"))
+    names = {"_text": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}
+    own = docs.join(kept, (F.col("doc_id").cast("long") == F.col("_kept")) & (names["_text"] == F.col("_dig")), "left_semi")
+    return own.unionByName(docs.filter("doc_id IS NULL"))

@@ -57,22 +57,29 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("dig"), text.cast("binary").alias("text"))
 
 
-def byte_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return byte_values()[raw], offsets
+def byte_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Values of the units for each base, and the documents' bounds in units."""
+    values = byte_values()[raw]
+    return (values, values), offsets
 
 
-def word_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """As `byte_units`; the two streams of word hashes are independent."""
     starts, ends, bounds = words(raw, offsets, SPACE)
-    return word_hashes(raw, starts, ends), bounds
+    return (word_hashes(raw, starts, ends, 0), word_hashes(raw, starts, ends, 1)), bounds
 
 
-def pick(values: np.ndarray, bounds: np.ndarray, k: int, length: int):
+def prefixes(values: tuple[np.ndarray, np.ndarray]) -> list[Prefix]:
+    return [Prefix(v, base) for v, base in zip(values, BASES, strict=True)]
+
+
+def pick(values: tuple[np.ndarray, np.ndarray], bounds: np.ndarray, k: int, length: int):
     """Anchors of documents laid end to end: (document, lo, hi, anchor, hash, two region hashes); places from the document's start."""
     width = length - k + 1
     none = np.zeros(0, np.int64)
-    if len(values) < length:
+    if len(values[0]) < length:
         return none, none, none, none, none.astype(U64), none.astype(U64), none.astype(U64)
-    one, two = Prefix(values, BASES[0]), Prefix(values, BASES[1])
+    one, two = prefixes(values)
     grams = one.grams(k)
     least = sliding_min(grams, width)
     n = len(least)
@@ -106,12 +113,12 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray, units: Callable, length: int):
     """
     for first, last in spans(offsets, CHUNK):
         values, bounds = units(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-        if last - first > 1 or len(values) <= 2 * CHUNK:
+        if last - first > 1 or len(values[0]) <= 2 * CHUNK:
             yield first, values, bounds, 0
             continue
-        for cut in range(0, len(values), CHUNK):
-            part = values[cut : cut + CHUNK + length - 1]
-            yield first, part, np.array([0, len(part)]), cut
+        for cut in range(0, len(values[0]), CHUNK):
+            part = tuple(v[cut : cut + CHUNK + length - 1] for v in values)
+            yield first, part, np.array([0, len(part[0])]), cut
 
 
 def _anchor_task(unit: str, k: int, length: int):
@@ -197,7 +204,7 @@ def _block_task(unit: str, length: int):
                 top = anchor[of] - size * j
                 b_lo, b_hi = np.maximum(low[of], top - size + 1), np.minimum(high[of], top)
                 shape = ((anchor[of] - b_lo) * (1 << 20) + (anchor[of] - b_hi)).astype(U64)
-                hashes = [Prefix(values, base) for base in BASES]
+                hashes = prefixes(values)
                 core = [p.runs(top, top - size + 1 + length).view(np.int64) for p in hashes]
                 whole = [mix(p.runs(b_lo, b_hi + length) + shape).view(np.int64) for p in hashes]
                 rows = pa.array(row[of] + first)
@@ -224,7 +231,7 @@ def _window_task(unit: str, length: int):
                 of = np.repeat(np.arange(len(row)), count)
                 s = lo[x:y][of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
                 start = s + bounds[row[of]]
-                w = [Prefix(values, base).runs(start, start + length).view(np.int64) for base in BASES]
+                w = [p.runs(start, start + length).view(np.int64) for p in prefixes(values)]
                 rows = pa.array(row[of] + first)
                 yield columns(schema, w1=w[0], w2=w[1], doc_id=batch.column("doc_id").take(rows), dig=batch.column("dig").take(rows), s=s)
 

@@ -1,12 +1,16 @@
 """Vectorised words and rolling hashes over Arrow text buffers (numpy, no per-word Python).
 
-All hashes are polynomials modulo 2**64 over mixed unit values, finished by a 64-bit mixer. Two
-bases give a 128-bit fingerprint where rows are decided by it.
+A word is hashed eight bytes at a time by a mixer that isn't a polynomial (words of one length up to
+eight bytes never collide), very long ones by a library digest; there are two independent streams of word
+hashes. Runs of words or bytes are polynomials modulo 2**64 over mixed unit values, finished by
+a 64-bit mixer. Where rows are decided by hashes, both streams with a base each give 128 bits.
+Runs are far shorter than the 1,024 units from which on such polynomials can vanish whatever the base.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -109,8 +113,31 @@ def words(raw: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE):
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Prefix(byte_values()[raw]).runs(starts, ends)
+#: Bytes from which on a word is digested by hashlib.
+LONG_WORD = 512
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
+_SEEDS = (U64(0x2545F4914F6CDD1D), U64(0x9FB21C651E98DF25))
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, stream: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte runs raw[start:end]; the streams 0 and 1 are independent."""
+    size = ends - starts
+    out = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + _SEEDS[stream])
+    if not len(out):
+        return out
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    # eight bytes from each place on
+    lanes = np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))
+    rows = np.flatnonzero(size <= LONG_WORD)
+    at, left = starts[rows], size[rows]
+    while len(rows):
+        out[rows] = mix(out[rows] ^ (lanes[at] & _TAIL[np.minimum(left, 8)]))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for row in np.flatnonzero(size > LONG_WORD).tolist():
+        own = hashlib.blake2b(raw[starts[row] : ends[row]].tobytes(), digest_size=8, key=bytes([stream + 1])).digest()
+        out[row] = np.frombuffer(own, "<u8")[0]
+    return out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
