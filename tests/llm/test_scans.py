@@ -37,9 +37,32 @@ def test_secrets(spark, small):
         want[i, *(sum(x.startswith(k) for x in s) for k in ("assign", "access", "hex")), hashlib.sha256(",".join(s).encode()).hexdigest()] += 1
     assert Counter(tuple(r)[:5] for r in got) == want
     assert any("code_host:" in r["spans"] for r in got)
+    added = [(r.kind, re.compile(r.pattern), r.least) for r in secretscan.ADDED]
+    for r in got:
+        own = [f"{k}:{m.start()}:{m.end()}" for k, p, n in added for t in [dict(rows)[r["doc_id"]] or ""] for m in p.finditer(t) if m.end() - m.start() >= n]
+        if sum(i == r["doc_id"] for i, _ in rows) == 1:
+            assert sorted(x for x in r["spans"].split(",") if x and x.split(":")[0] not in ("assign", "access", "hex")) == sorted(own)
     assert secretscan.scan(frame(spark, [])).count() == 0
 
 
+def scanned(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return secretscan.scan_texts(data, np.array([0, len(data)]), (*secretscan.BASE, *secretscan.ADDED), secretscan.compiled((*secretscan.BASE, *secretscan.ADDED)))[0]
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 350_000, "a" * 10**6, "eyJ" * 300_000 + ".eyJa.b", "Z" * 10**6, "AKIA" * 250_000, "token=" * 160_000, "0123456789abcdefg" * 60_000], ids=range(7))
+def test_secrets_in_a_megabyte_without_white_space(text):
+    import time
+
+    scanned("a")
+    began = time.time()
+    got = scanned(text)
+    assert time.time() - began < 30
+    base = [(m.start(), k, m.end()) for k, p in enumerate(BASE) for m in p.finditer(text) if len(m[m.lastindex or 0]) >= LEAST[k]]
+    assert [x for x in got if x[1] < 3] == sorted(base)
+    assert (len(got) > len(base)) == (".eyJ" in text)
+
+
 @pytest.mark.parametrize("pattern", ["a(b|c)*d", "[a-c]{2,3}x?", "(ab|a)(c|bcd)", "[^a]b+", r"\x61\.b", "a{0,2}b"])
 def test_automaton_matches_like_re(pattern):
     rnd = random.Random(2)

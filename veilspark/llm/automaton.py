@@ -17,8 +17,9 @@ import numpy as np
 class _Parser:
     """Builds a Thompson automaton: edges[state] = [(byte set or None, target)]."""
 
-    def __init__(self) -> None:
+    def __init__(self, backward: bool = False) -> None:
         self.edges: list[list[tuple[frozenset[int] | None, int]]] = []
+        self.backward = backward
 
     def state(self) -> int:
         self.edges.append([])
@@ -114,7 +115,7 @@ class _Parser:
                 self.edges[y].append((None, b))
         elif node[0] == "cat":
             last = a
-            for part in node[1]:
+            for part in node[1][::-1] if self.backward else node[1]:
                 x, y = self._build(part)
                 self.edges[last].append((None, x))
                 last = y
@@ -166,9 +167,12 @@ class Automaton:
         return int(found[0]) if len(found) else -1
 
 
-def compile_all(patterns: list[tuple[str, bool]], search: bool) -> Automaton:
-    """One automaton for (pattern, ignore case) pairs; with search a match may begin at any byte."""
-    nfa = _Parser()
+def compile_all(patterns: list[tuple[str, bool]], search: bool, backward: bool = False) -> Automaton:
+    """One automaton for (pattern, ignore case) pairs; with search a match may begin at any byte.
+
+    A backward automaton reads texts from their end and accepts where a match begins.
+    """
+    nfa = _Parser(backward)
     begin = nfa.state()
     final: dict[int, int] = {}
     for bit, (pattern, fold) in enumerate(patterns):

@@ -1,11 +1,14 @@
 """Secret scans by one combined deterministic automaton.
 
-All rules are compiled into one minimal automaton (`automaton`) that searches from every byte. The
-texts of a batch are laid end to end, parted by a byte that takes every state back to the start,
-cut at such bytes into lanes of near-equal length, and all lanes step together through the
-transition array: each byte is looked at once for all rules. Only texts in which a rule accepts are
-then read again by that rule's own anchored automaton, leftmost and longest first without overlaps,
-which gives the spans.
+All rules, as they stand, are compiled into one minimal automaton (`automaton`) that reads texts from
+their end: after each byte its state tells which rules have a match that begins there. The texts of
+a batch are laid end to end, parted by a byte that takes every state back to the start, and cut into
+lanes of near-equal length that step together through the transition array, so one pass over the
+bytes serves all rules. Lanes are cut at such bytes; where none is near, a lane begins in a state
+that is assumed, and is read again if the lane before it ends in another.
+
+From the leftmost beginning of a rule that lies behind its last match, the rule's anchored automaton
+is read on to the longest end. A match exists there, so every byte is read once per match that covers it.
 
 A rule's `least` is the shortest text of its value (the run at its end); a match below that is
 dropped, but it is used up all the same.
@@ -41,33 +44,30 @@ class Rule:
     #: Shortest value; the value is what follows the last match of `lead`, or all.
     least: int = 1
     lead: str = ""
-    #: What every match worth keeping contains, for the search: a prefix that ends at the first byte
-    #: of an open run keeps the combined automaton small, a longer one accepts more rarely.
-    search: str = ""
 
 
 _KEY = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
 # fixed values: base rules in their order, then added ones
 BASE = (
-    Rule("assign", _KEY + r"[A-Za-z0-9+/_.=\-]+", True, 6, _KEY, _KEY + r"[A-Za-z0-9+/_.=\-]"),
-    Rule("access", r"AKIA[A-Z0-9]+", least=20, search=r"AKIA[A-Z0-9]"),
-    Rule("hex", r"[0-9a-f]+", least=24, search=r"[0-9a-f]{24}"),
+    Rule("assign", _KEY + r"[A-Za-z0-9+/_.=\-]+", True, 6, _KEY),
+    Rule("access", r"AKIA[A-Z0-9]+", least=20),
+    # a run of hex digits is a match or none: a short one holds no other
+    Rule("hex", r"[0-9a-f]{24,}"),
 )
 ADDED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", search=r"-----BEGIN "),
-    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]+", least=40, search=r"gh[pousr]_"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9\-]+", least=15, search=r"xox[abprs]-"),
-    Rule("cloud_key", r"AIza[A-Za-z0-9_\-]+", least=39, search=r"AIza"),
-    Rule("signed", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", least=30, search=r"eyJ"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]+", least=40),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9\-]+", least=15),
+    Rule("cloud_key", r"AIza[A-Za-z0-9_\-]+", least=39),
+    Rule("signed", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", least=30),
 )
 
 
 @functools.lru_cache(4)
 def compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, int, list[tuple[Automaton, Automaton | None]]]:
-    """The combined searching automaton, a byte that resets it, and each rule's anchored ones."""
-    whole = compile_all([(r.search or r.pattern, r.fold) for r in rules], True)
-    move = whole.move.reshape(-1, 256)
-    resets = np.flatnonzero((move == 0).all(axis=0))
+    """The combined backward automaton, a byte that resets it, and each rule's anchored ones."""
+    whole = compile_all([(r.pattern, r.fold) for r in rules], True, backward=True)
+    resets = np.flatnonzero((whole.move.reshape(-1, 256) == 0).all(axis=0))
     if not len(resets):
         raise ValueError("no byte ends every rule, so texts can't be laid end to end")
     byte = 10 if 10 in resets else int(resets[0])
@@ -75,38 +75,69 @@ def compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, int, list[tuple[Automa
     return whole, byte, own
 
 
-def hits(texts: np.ndarray, offsets: np.ndarray, automaton: Automaton, reset: int) -> np.ndarray:
-    """Bits of the rules that accept somewhere in each text."""
-    n = len(offsets) - 1
-    out = np.zeros(n, np.int64)
-    size = np.diff(offsets)
+def _lanes(data: np.ndarray, resets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where lanes start, and which of them start after a byte that doesn't reset the automaton."""
+    stops = np.flatnonzero(resets[data]) + 1
+    goal = np.arange(LANE, len(data), LANE)
+    at = np.searchsorted(stops, goal)
+    good = np.unique(stops[at[at < len(stops)]])
+    edges = np.concatenate([[0], good[good < len(data)], [len(data)]])
+    parts = np.maximum(1, np.diff(edges) // LANE)
+    first = np.repeat(edges[:-1], parts)
+    step = np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return first + step * LANE, step > 0
+
+
+def _run(data: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray, automaton: Automaton):
+    """Steps lanes together; (last states, [places, accepted rules] of every byte at which a rule accepts)."""
+    order = np.argsort(-length, kind="stable")
+    begin, size, ends = start[order], length[order], np.empty(len(start), np.int32)
+    now = state[order]
+    active = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left").tolist()
+    places, rules = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for t, m in enumerate(active):
+        if m < len(now):
+            ends[order[m : len(now)]] = now[m:]
+            now = now[:m]
+        now = automaton.move[(now << 8) + data[begin[:m] + t]]
+        if now.max() >= automaton.first_accepting:
+            lanes = np.flatnonzero(now >= automaton.first_accepting)
+            places.append(begin[lanes] + t)
+            rules.append(automaton.accepts[now[lanes]])
+    ends[order[: len(now)]] = now
+    return ends, np.concatenate(places), np.concatenate(rules)
+
+
+def beginnings(texts: np.ndarray, offsets: np.ndarray, automaton: Automaton, reset: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, bits of the rules that have a match from there), by place in all texts laid end to end."""
+    n, size = len(offsets) - 1, np.diff(offsets)
+    if not len(texts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # one reset byte after each text
     joined = np.full(len(texts) + n, reset, np.uint8)
     joined[np.arange(len(texts)) + np.repeat(np.arange(n), size)] = texts
-    ends = offsets[1:] + np.arange(n)
-    stops = np.flatnonzero((automaton.move.reshape(-1, 256) == 0).all(axis=0)[joined])
-    cuts, at = [0], 0
-    marks = np.searchsorted(stops, np.arange(LANE, len(joined), LANE))
-    for s in np.unique(marks[marks < len(stops)]):
-        if stops[s] + 1 > at:
-            at = int(stops[s]) + 1
-            cuts.append(at)
-    if cuts[-1] < len(joined):
-        cuts.append(len(joined))
-    start, length = np.array(cuts[:-1]), np.diff(cuts)
-    order = np.argsort(-length, kind="stable")
-    start, length = start[order], length[order]
-    state = np.zeros(len(start), np.int32)
-    move, most = automaton.move, automaton.first_accepting
-    active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left")
-    for t, m in enumerate(active.tolist()):
-        state = state[:m]
-        state = move[(state << 8) + joined[start[:m] + t]]
-        if state.max() >= most:
-            lanes = np.flatnonzero(state >= most)
-            doc = np.searchsorted(ends, start[lanes] + t, side="left")
-            np.bitwise_or.at(out, doc, automaton.accepts[state[lanes]])
-    return out
+    data = joined[::-1].copy()
+    start, assumed = _lanes(data, (automaton.move.reshape(-1, 256) == 0).all(axis=0))
+    length = np.diff(np.append(start, len(data)))
+    state, ends = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    again = np.arange(len(start))
+    while len(again):
+        # what a lane found from a wrong state goes
+        if found:
+            gone = np.zeros(len(start), bool)
+            gone[again] = True
+            found = [(p[keep], r[keep]) for p, r in found for keep in [~gone[np.searchsorted(start, p, side="right") - 1]]]
+        ends[again], places, rules = _run(data, start[again], length[again], state[again], automaton)
+        found.append((places, rules))
+        before = np.concatenate([[0], ends[:-1]]).astype(np.int32)
+        again = np.flatnonzero(assumed & (before != state))
+        state[again] = before[again]
+    places, rules = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    places = len(data) - 1 - places
+    order = np.argsort(places, kind="stable")
+    places, rules = places[order], rules[order]
+    return places - np.searchsorted(offsets[1:] + np.arange(n), places, side="left"), rules
 
 
 def longest(automaton: Automaton, data: bytes, at: int) -> int:
@@ -122,31 +153,30 @@ def longest(automaton: Automaton, data: bytes, at: int) -> int:
     return end
 
 
-def _spans(rule: Rule, own: Automaton, lead: Automaton | None, data: bytes) -> list[tuple[int, int]]:
-    begins = np.flatnonzero(own.move[:256] != own.dead)
-    starts = np.flatnonzero(np.isin(np.frombuffer(data, np.uint8), begins)).tolist()
-    out, free = [], 0
-    for at in starts:
-        if at < free:
-            continue
+def _spans(rule: Rule, own: Automaton, lead: Automaton | None, data: bytes, starts: np.ndarray) -> list[tuple[int, int]]:
+    """Leftmost and longest matches without overlaps; starts: every place where a match begins, in order."""
+    out, i = [], 0
+    while i < len(starts):
+        at = int(starts[i])
         end = longest(own, data, at)
-        if end < 0:
-            continue
-        free = end
         value = longest(lead, data, at) if lead else at
         if end - value >= rule.least:
             out.append((at, end))
+        i = int(np.searchsorted(starts, end, side="left"))
     return out
 
 
 def scan_texts(raw: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...], ready: tuple) -> list[list[tuple[int, int, int]]]:
     """(start, rule number, end) in bytes of every text's matches, in that order; ready: compiled(rules)."""
     whole, reset, own = ready
-    bits = hits(raw, offsets, whole, reset)
-    out: list[list[tuple[int, int, int]]] = [[] for _ in bits]
-    for row in np.flatnonzero(bits).tolist():
+    places, bits = beginnings(raw, offsets, whole, reset)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
+    rows = np.searchsorted(offsets, places, side="right") - 1
+    first = np.searchsorted(rows, np.arange(len(offsets)))
+    for row in np.unique(rows).tolist():
         data = raw[offsets[row] : offsets[row + 1]].tobytes()
-        out[row] = sorted((a, i, b) for i, r in enumerate(rules) if bits[row] >> i & 1 for a, b in _spans(r, *own[i], data))
+        at, kinds = places[first[row] : first[row + 1]] - offsets[row], bits[first[row] : first[row + 1]]
+        out[row] = sorted((a, i, b) for i, r in enumerate(rules) if (kinds >> i & 1).any() for a, b in _spans(r, *own[i], data, at[kinds >> i & 1 == 1]))
     return out
 
 
