@@ -57,6 +57,18 @@ def candidates(wanted: DataFrame, freqs: DataFrame, width: int = 5) -> DataFrame
     return hit.unionByName(none)
 
 
+def bucket_sizes(freqs: DataFrame, width: int = 5) -> DataFrame:
+    """type, token, freq, delta, n: how many tokens a token may be replaced by, at the least distance up to `width` (else delta -1, n 0).
+
+    Members are never paired: tokens of a bucket share its frequency, so sizes follow from counts per frequency.
+    """
+    used = distances(freqs, freqs, width)
+    there = freqs.groupBy("type", F.col("freq").alias("g")).agg(F.count(F.lit(1)).alias("size"))
+    met = used.filter("delta IS NOT NULL").withColumn("g", F.explode(F.sequence(F.col("f") - F.col("delta"), F.col("f") + F.col("delta")))).join(there, ["type", "g"])
+    sizes = met.groupBy("type", "token").agg((F.sum("size") - 1).alias("n"))
+    return used.join(sizes, ["type", "token"], "left").select("type", "token", F.col("f").alias("freq"), F.coalesce("delta", F.lit(-1)).cast("int").alias("delta"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def members(freqs: DataFrame, parts: int = 64) -> DataFrame:
     """type, g, key, pos, token: the tokens of each bucket numbered from 0.
 

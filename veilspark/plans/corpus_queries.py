@@ -119,24 +119,23 @@ def freqdb_stats(spark, d):
     return D.vocabulary(D.token_counts(domain.passwords(spark, d)))
 
 
-BUCKET_PARTS = "p AS (SELECT p_partkey AS pid, replace(p_name, ' ', '_') || '#' || p_size AS password FROM part), passwords AS (SELECT * FROM p)"
+LEVELS = "levels AS (SELECT type, freq, count(*) AS size FROM freqs GROUP BY ALL)"
 
 
-@query(f"WITH {BUCKET_PARTS}, {TOKEN_ROWS} SELECT a.type, a.token, b.token AS candidate FROM freqs a JOIN freqs b ON a.type = b.type AND a.freq = b.freq AND a.token <> b.token")
+@query(f"WITH {PASSWORDS}, {TOKEN_ROWS}, {LEVELS} SELECT f.type, f.token, f.freq::BIGINT AS freq, (size - 1)::BIGINT AS n FROM freqs f JOIN levels l ON f.type = l.type AND f.freq = l.freq WHERE size > 1")
 def freq_bucket_candidates(spark, d):
-    f = D.token_counts(domain.passwords(spark, d).filter("pid < 1000000000"))
-    return D.candidates(f, f, 0).filter("delta >= 0").select("type", "token", "candidate")
+    """Tokens with partners of the same type and frequency, and how many."""
+    return D.bucket_sizes(D.token_counts(domain.passwords(spark, d)), 0).filter("delta = 0").drop("delta")
 
 
 @query(
-    f"""WITH {BUCKET_PARTS}, {TOKEN_ROWS}, near AS (SELECT a.type, a.token, b.token AS candidate, abs(a.freq - b.freq) AS delta FROM freqs a JOIN freqs b ON a.type = b.type AND abs(a.freq - b.freq) <= 5 AND a.token <> b.token),
-    best AS (SELECT type, token, min(delta) AS delta FROM near GROUP BY ALL)
-    SELECT n.type, n.token, n.candidate, best.delta::INTEGER AS delta FROM near n JOIN best ON n.type = best.type AND n.token = best.token AND n.delta <= best.delta
-    UNION ALL SELECT type, token, NULL, -1 FROM freqs f WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.type = f.type AND b.token = f.token)"""
+    f"""WITH {PASSWORDS}, {TOKEN_ROWS}, {LEVELS}, near AS (SELECT f.type, f.token, f.freq, abs(l.freq - f.freq) AS delta, size - (l.freq = f.freq)::INTEGER AS size FROM freqs f JOIN levels l ON f.type = l.type AND abs(l.freq - f.freq) <= 5),
+    best AS (SELECT type, token, min(delta) AS best FROM near WHERE size > 0 GROUP BY ALL)
+    SELECT f.type, f.token, f.freq::BIGINT AS freq, coalesce(best, -1)::INTEGER AS delta, coalesce((SELECT sum(size) FROM near n WHERE n.type = f.type AND n.token = f.token AND n.delta <= best), 0)::BIGINT AS n
+    FROM freqs f LEFT JOIN best b ON f.type = b.type AND f.token = b.token"""
 )
 def freq_bucket_widened(spark, d):
-    f = D.token_counts(domain.passwords(spark, d).filter("pid < 1000000000"))
-    return D.candidates(f, f, 5)
+    return D.bucket_sizes(D.token_counts(domain.passwords(spark, d)), 5)
 
 
 EVOLVE = """base AS (SELECT p_partkey AS pid, replace(p_name, ' ', '_') || '#' || p_size AS password FROM part WHERE p_partkey % 2 = 0),

@@ -10,6 +10,7 @@ from ..functions.segment import segment, structure
 from ..operators import decoys as G
 from ..operators import markov as M
 from ..operators import pcfg as P
+from ..session import cut
 from . import domain
 from .domain import PASSWORDS, USERS
 from .registry import registry
@@ -46,12 +47,13 @@ def markov_logprob(spark, d):
 def markov_decoys(spark, d):
     """Decoy lists sampled from the chain."""
     c, u = domain.passwords(spark, d), domain.users(spark, d)
-    transitions, starts = M.transitions(c).localCheckpoint(), M.starts(c).localCheckpoint()
+    transitions, starts = cut(M.transitions(c)), cut(M.starts(c))
     draws = G.in_rounds(u, lambda some, at: M.sample(some, transitions, starts, at, 67), 20, None, 30)
     return G.assemble(draws, u, 20, 67)
 
 
-LETTERS = PASSWORDS + """, ch AS (SELECT password, CASE WHEN i > 1 THEN substr(password, i - 1, 1) END AS prev, substr(password, i, 1) AS c FROM (SELECT password, unnest(range(1, length(password) + 1)) AS i FROM passwords)),
+LETTERS = PASSWORDS + """, ch AS (SELECT NULL::VARCHAR AS prev, c FROM (SELECT unnest(string_split(password, '')) AS c FROM passwords)
+    UNION ALL SELECT substr(password, i - 1, 1), substr(password, i, 1) FROM (SELECT password, unnest(range(2, length(password) + 1)) AS i FROM passwords)),
   ranks AS (SELECT prev, c, n, greatest(1, CAST(round_even(-10 * log10(n / sum(n) OVER (PARTITION BY prev)), 0) AS INTEGER)) AS rank FROM (SELECT prev, c, count(*) AS n FROM ch GROUP BY ALL))"""
 
 
@@ -70,13 +72,20 @@ def rank_histogram(spark, d):
     return M.rank_histogram(M.word_ranks(c, M.letter_ranks(c)))
 
 
-@query()
+SPACES = """dp AS (SELECT 1 AS len, rank, c, 1::HUGEINT AS k FROM ranks WHERE prev IS NULL UNION ALL
+    SELECT len, rank, c, sum(k) FROM (SELECT d.len + 1 AS len, d.rank + r.rank AS rank, r.c, d.k FROM dp d JOIN ranks r ON r.prev = d.c WHERE d.len < 16 AND d.rank + r.rank <= 1000) GROUP BY ALL),
+  sizes AS (SELECT i::INTEGER AS rank, coalesce(k, 0) AS size, sum(coalesce(k, 0)) OVER (ORDER BY i) - coalesce(k, 0) AS before FROM range(1, 1001) r(i) LEFT JOIN (SELECT rank, sum(k) AS k FROM dp GROUP BY rank) ON rank = i),
+  seen AS (SELECT s.rank, size, n FROM sizes s LEFT JOIN (SELECT total_rank, count(*) AS n FROM totals GROUP BY 1) ON total_rank = s.rank WHERE before <= 1e12),
+  grouped AS (SELECT max(rank) AS rank, max(n) AS n, sum(size) AS size FROM (SELECT *, sum((n IS NOT NULL)::INTEGER) OVER (ORDER BY rank DESC) AS g FROM seen) WHERE g > 0 GROUP BY g)"""
+
+
+@query(f"WITH RECURSIVE {HIST}, {SPACES} SELECT rank::BIGINT AS rank, n::BIGINT AS n, size::BIGINT AS size, round(CASE WHEN size > 0 THEN n / (size * (SELECT sum(n) FROM grouped))::DOUBLE ELSE 0 END, 15) AS p FROM grouped")
 def rank_rollup(spark, d):
     """Observed ranks with the number of words up to 16 letters that share them."""
     c = domain.passwords(spark, d)
-    ranks = M.letter_ranks(c).persist()
+    ranks = cut(M.letter_ranks(c))
     spaces = spark.createDataFrame(M.keyspace(ranks), "rank long, size long")
-    return M.rollup_ranks(M.rank_histogram(M.word_ranks(c, ranks)), spaces, c.count())
+    return M.rollup_ranks(M.rank_histogram(M.word_ranks(c, ranks)), spaces).withColumn("p", F.round("p", 15))
 
 
 @query(f"WITH {PASSWORDS} SELECT c, count(*) AS n FROM (SELECT unnest(string_split(password, '')) AS c FROM passwords WHERE length(password) >= 4) WHERE c <> '' AND c <> chr(9) GROUP BY 1 ORDER BY n DESC, c LIMIT 30")
@@ -152,5 +161,5 @@ def pcfg_score(spark, d):
 def pcfg_decoys(spark, d):
     """Decoy lists sampled from the grammar."""
     c, u = domain.passwords(spark, d), domain.users(spark, d)
-    probs = P.probabilities(P.items(P.parsed(c))).localCheckpoint()
+    probs = cut(P.probabilities(P.items(P.parsed(c))))
     return G.assemble(G.in_rounds(u, lambda some, draws: P.sample(some, probs, draws, 67), 20, None, 30), u, 20, 67)

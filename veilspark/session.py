@@ -41,6 +41,31 @@ def ship_package(spark: SparkSession) -> None:
     sc._veilspark_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the whole cluster shares.
+
+    Only a session on one machine, as in tests, gets a folder of its own where that is unset.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc()
+    if not base and held.getCheckpointDir().isDefined():
+        base = held.getCheckpointDir().get()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="veilspark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if not held.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df read back from the shared folder; what lies before is never run again, and survives a lost executor."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; a file or a folder of parquet."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
