@@ -3,21 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 
 def folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="veilspark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A fresh folder in the one that the cluster shares (`session.shared_folder`)."""
+    base = shared_folder(spark)
     path = f"{base.rstrip('/')}/veilspark-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
