@@ -20,10 +20,18 @@ def _mod(hexed: Column, b: int) -> Column:
     return F.aggregate(F.filter(digits, lambda d: d != ""), F.lit(0).cast("long"), lambda a, d: ((a * 16 + F.position(d, F.lit("0123456789abcdef")) - 1) % b).cast("long")) if b & (b - 1) else (F.conv(F.substring(hexed, -8, 8), 16, 10).cast("long") % b)
 
 
+def _index(hexed: Column, i: Column, b: int) -> Column:
+    return (_mod(F.sha2(F.concat(i.cast("string"), F.lit(":"), hexed), 256), b) + 1).cast("int")
+
+
 def indices(hexed: Column, k: int = 20, b: int = 128) -> Column:
     """Sorted distinct 1-based positions of a hashed password."""
-    one = lambda i: (_mod(F.sha2(F.concat(i.cast("string"), F.lit(":"), hexed), 256), b) + 1).cast("int")
-    return F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), one)))
+    return F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: _index(hexed, i, b))))
+
+
+def contained(hexed: Column, filled: Column, k: int = 20, b: int = 128) -> Column:
+    """Whether all positions of a hashed password are filled; the first that isn't ends the search."""
+    return F.forall(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.array_contains(filled, _index(hexed, i, b)))
 
 
 def target_size(p_h: float, k: int = 20, b: int = 128) -> Column:

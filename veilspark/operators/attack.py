@@ -43,6 +43,52 @@ def real_rank(probs: DataFrame) -> DataFrame:
     return r.groupBy("user_id").agg(F.coalesce(F.min(F.when(F.col("is_real"), F.col("j"))), F.max("j")).alias("rank"))
 
 
+def first_place(probs: DataFrame) -> DataFrame:
+    """user_id, rank of the real word in the whole list by probability, repeated words included: its first place; ties in list order."""
+    placed = probs.withColumns({"j": F.row_number().over(by_probability()), "real": F.max(F.when(F.col("is_real"), F.col("word"))).over(W.partitionBy("user_id"))})
+    return placed.filter(F.col("word") == F.col("real")).groupBy("user_id").agg(F.min("j").alias("rank"))
+
+
+def choice(probs: DataFrame, by_order: bool) -> DataFrame:
+    """user_id, word, pi: the attacker's next guess. Without any mass the first word of the list with by_order, else none."""
+    per = probs.groupBy("user_id").agg(
+        F.sum("p").alias("mass"), F.max(F.struct("p", (-F.col("idx")).alias("near"), "word")).alias("top"), F.min(F.struct("idx", "word")).alias("head")
+    )
+    none = F.col("head.word") if by_order else F.lit(None).cast("string")
+    return per.select("user_id", F.when(F.col("mass") > 0, F.col("top.word")).otherwise(none).alias("word"), F.when(F.col("mass") > 0, F.round(F.col("top.p") / F.col("mass"), 12)).otherwise(0.0).alias("pi"))
+
+
+def crack_means(run: DataFrame) -> DataFrame:
+    """cracked, mean_guesses, mean_failures of a user's guesses up to the crack; 0 where none is cracked."""
+    per = run.groupBy("user_id").agg(F.max(F.col("is_real").cast("int")).alias("hit"), F.sum((~F.col("is_real")).cast("long")).alias("fails")).filter("hit = 1")
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    return per.agg(F.count(F.lit(1)).alias("cracked"), zero(F.avg(F.col("fails") + 1), "mean_guesses"), zero(F.avg("fails"), "mean_failures"))
+
+
+def analysis(probs: DataFrame, t1: int, t2: int) -> DataFrame:
+    """One row: the capped attack, its means, the three epsilons and the attack without a limit on failures."""
+    ranks = real_rank(probs)
+    keyed = index_key(attempts(probs, t1))
+    capped = curve(keyed, t2)
+    free = curve(keyed).agg(F.count(F.lit(1)).alias("free_guesses"), F.coalesce(F.max("successes"), F.lit(0)).alias("free_successes"))
+    parts = [
+        crack_means(capped),
+        epsilon_tie_split(probs).select(F.col("epsilon").alias("epsilon_ties")),
+        epsilon_max(probs).select(F.col("epsilon").alias("epsilon_mass")),
+        epsilon_first(ranks).select(F.col("epsilon").alias("epsilon_first")),
+        free,
+    ]
+    out = stats(capped, probs)
+    for part in parts:
+        out = out.crossJoin(part)  # one row each
+    return out
+
+
+def mean_first_share(firsts: DataFrame) -> DataFrame:
+    """Mean over attackers (attacker, hits, users) of the share of users whose real word is guessed first."""
+    return firsts.agg(F.avg(F.col("hits") / F.col("users")).alias("epsilon"))
+
+
 def found_within(ranks: DataFrame, k: int) -> DataFrame:
     """t, n, share of users found within t guesses, t = 1..k, from one histogram."""
     per = ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))

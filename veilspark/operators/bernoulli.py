@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bloom import fill, indices, mark, salted_hash, target_size, within
+from ..functions.bloom import contained, fill, indices, mark, salted_hash, target_size, within
+from ..functions.rng import draw32, uniform
+from ..session import cut
 
 
 def register(users: DataFrame, p_h: float, seed: int, p_mark: float | None = None, k: int = 20, b: int = 128) -> DataFrame:
@@ -27,28 +29,91 @@ def login(attempts: DataFrame, accounts: DataFrame, k: int = 20, b: int = 128) -
     return tried.withColumn("outcome", F.when(~inside, "failure").when(F.col("at") == F.col("true"), "success").otherwise("alarm")).drop("salt", "true", "b", "at")
 
 
-def best_candidates(accounts: DataFrame, ranking: DataFrame, blocks: list[int], marks: bool = False, k: int = 20, b: int = 128) -> DataFrame:
-    """user_id, rank, password: the first ranked word that lies in each account's filter (and marks); null if none.
+#: Ends of the blocks in which a ranking is walked; the longest one is the attack's length.
+BLOCKS = [32, 96, 256, 1024, 4096, 16384, 65536, 100_000]
+GROUP = 256
+
+
+def best_candidates(accounts: DataFrame, ranking: DataFrame, blocks: list[int] = BLOCKS, marks: bool = False, k: int = 20, b: int = 128, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """keys, rank, password: the first ranked word that lies in each account's filter (and marks); null if none.
 
     Salts differ by account, so every pair has to be hashed. The ranking is walked in growing blocks of
-    bounded length, each broadcast; accounts with a hit leave before the next one.
+    bounded length, each broadcast; accounts with a hit leave before the next one, and the walk ends
+    when none are left.
     """
-    left = accounts.select("user_id", "salt", "b", *(["m"] if marks else []))
-    found = None
-    low = 0
+    ranking = cut(ranking.filter(F.col("rank") <= blocks[-1]))
+    left = accounts.select(*keys, "salt", "b", *(["m"] if marks else []))
+    found, low, last = None, 0, ranking.count()
     for high in blocks:
-        # at most high - low rows
-        part = F.broadcast(ranking.filter((F.col("rank") > low) & (F.col("rank") <= high)).agg(F.array_sort(F.collect_list(F.struct("rank", "password"))).alias("part")))
-        at = lambda w: indices(salted_hash(F.encode("salt", "utf-8"), w["password"]), k, b)
-        ok = lambda w: within(at(w), F.col("m" if marks else "b"))
-        probed = left.crossJoin(part).withColumn("hit", F.get(F.filter("part", ok), F.lit(0))).drop("part")
-        hit = probed.filter("hit IS NOT NULL").select("user_id", "hit.rank", "hit.password")
+        # high - low rows at most, in groups that tasks share
+        block = ranking.filter((F.col("rank") > low) & (F.col("rank") <= high)).groupBy(F.floor((F.col("rank") - 1) / GROUP).alias("g")).agg(F.array_sort(F.collect_list(F.struct("rank", "password"))).alias("part"))
+        rows = left.crossJoin(F.broadcast(block))
+        if high - low > GROUP:
+            rows = rows.repartition(*keys, "g")
+        ok = lambda w: contained(salted_hash(F.encode("salt", "utf-8"), w["password"]), F.col("m" if marks else "b"), k, b)
+        hit = rows.withColumn("hit", F.get(F.filter("part", ok), F.lit(0))).filter("hit IS NOT NULL").groupBy(*keys).agg(F.min("hit").alias("hit"))
+        hit = cut(hit.select(*keys, "hit.rank", "hit.password"))
         found = hit if found is None else found.unionByName(hit)
-        left, low = probed.filter("hit IS NULL").drop("hit"), high
-    none = left.select("user_id", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("string").alias("password"))
+        left, low = cut(left.join(hit, list(keys), "left_anti")), high
+        if high >= last or left.isEmpty():
+            break
+    none = left.select(*keys, F.lit(None).cast("long").alias("rank"), F.lit(None).cast("string").alias("password"))
     return none if found is None else found.unionByName(none)
 
 
+P_MARK, P_REMARK = 0.95, 0.065
+
+
+def _renews(seed: int, t: Column, p_remark: float) -> Column:
+    return uniform(seed, F.col("user_id"), F.lit("renew"), t) < p_remark
+
+
+def seen_marks(accounts: DataFrame, logins: list[int], seed: int, p_mark: float = P_MARK, p_remark: float = P_REMARK) -> DataFrame:
+    """accounts (with marks m) once for each number l of the owner's logins; m becomes what is marked in every snapshot so far.
+
+    After login t the marks are drawn anew by chance; the password's own positions stay marked. An
+    attacker who saw all snapshots keeps the words that lie in each, which is to lie in their intersection.
+    """
+    longest = max(logins)
+    renewed = F.filter(F.sequence(F.lit(1), F.lit(max(longest, 1))), lambda t: _renews(seed, t, p_remark))
+    rows = accounts.withColumn("_r", renewed).withColumn("l", F.explode(F.array(*[F.lit(x) for x in logins])))
+    rows = rows.withColumn("_r", F.filter("_r", lambda t: t <= F.col("l")))
+    kept = lambda i: F.array_contains("true", i) | F.forall("_r", lambda t: uniform(seed, F.col("user_id"), t, i) < p_mark)
+    return rows.withColumn("m", F.filter("m", kept)).drop("_r")
+
+
+def watched_breach(accounts: DataFrame, ranking: DataFrame, users: DataFrame, logins: list[int], more: list[int], seed: int, p_mark: float = P_MARK, p_remark: float = P_REMARK) -> DataFrame:
+    """user_id, l, delta, rank, outcome: an attacker who saw l logins of the owner logs in delta times with the best word left.
+
+    The word lies in the marks, so these logins raise no alarm; one that renews the marks may leave
+    out positions of the real password, and the owner's next login tells.
+    """
+    seen = seen_marks(accounts, logins, seed, p_mark, p_remark)
+    got = best_candidates(seen, ranking, marks=True, keys=("user_id", "l")).withColumnRenamed("password", "guess")
+    both = got.join(users.select("user_id", "password"), "user_id").join(accounts.select("user_id", "salt", "true"), "user_id")
+    both = both.withColumn("delta", F.explode(F.array(*[F.lit(x) for x in more])))
+    steps = F.filter(F.sequence(F.col("l") + 1, F.col("l") + F.col("delta")), lambda t: _renews(seed, t, p_remark))
+    both = both.withColumn("last", F.array_max(steps)).withColumn("at", indices(salted_hash(F.encode("salt", "utf-8"), F.col("guess"))))
+    missed = F.exists(F.array_except("true", "at"), lambda i: uniform(seed, F.col("user_id"), F.col("last"), i) >= p_mark)
+    out = F.when(F.col("guess").isNull(), "no_candidate").when(F.col("last").isNotNull() & missed, "detected").otherwise("undetected")
+    return both.select("user_id", "l", "delta", "rank", out.alias("outcome"))
+
+
+def watched_detection(attacked: DataFrame, first_ranks: DataFrame, trials: int, seed: int) -> DataFrame:
+    """l, delta, tdp: share of trials that detect an attack on the half of their accounts with the best first ranks.
+
+    first_ranks: user_id, rank of the best word before any login was seen; accounts without one come last.
+    """
+    from pyspark.sql import Window as W
+
+    placed = first_ranks.withColumn("trial", (draw32(seed, "user_id") % trials).cast("int"))
+    w = W.partitionBy("trial")
+    placed = placed.withColumn("pos", F.row_number().over(w.orderBy(F.asc_nulls_last("rank"), "user_id"))).withColumn("size", F.count(F.lit(1)).over(w))
+    chosen = placed.filter(F.col("pos") <= F.greatest(F.floor(F.col("size") / 2), F.lit(1))).select("user_id", "trial")
+    per = attacked.join(chosen, "user_id").groupBy("l", "delta", "trial").agg(F.max((F.col("outcome") == "detected").cast("int")).alias("hit"))
+    return per.groupBy("l", "delta").agg(F.avg("hit").alias("tdp"))
+
+
 def breach(candidates: DataFrame, users: DataFrame) -> DataFrame:
     """user_id, rank, outcome of one login each: no_candidate, undetected (the real word) or detected."""
     both = candidates.withColumnRenamed("password", "guess").join(users.select("user_id", "password"), "user_id")
@@ -67,8 +132,6 @@ def detection_by_n(attacked: DataFrame, trials: int, most: int, seed: int) -> Da
     """
     from pyspark.sql import Window as W
 
-    from ..functions.rng import draw32
-
     tried = attacked.filter("outcome <> 'no_candidate'").withColumn("trial", (draw32(seed, "user_id") % trials).cast("int"))
     placed = tried.withColumn("pos", F.row_number().over(W.partitionBy("trial").orderBy("rank", "user_id")))
     first = placed.groupBy("trial").agg(F.min(F.when(F.col("outcome") == "detected", F.col("pos"))).alias("first"))
@@ -96,4 +159,4 @@ def largest_safe(spark, attempts: int, limit: float = 0.1, steps: int = 12) -> D
     return rows.filter(F.col("fdp") <= limit).agg(F.max("p_h").alias("p_h"))
 
 
-__all__ = ["register", "login", "best_candidates", "breach", "outcome_counts", "detection_by_n", "success_vs_alarm", "false_detection", "largest_safe", "target_size"]
+__all__ = ["register", "login", "best_candidates", "breach", "outcome_counts", "detection_by_n", "seen_marks", "watched_breach", "watched_detection", "success_vs_alarm", "false_detection", "largest_safe", "target_size"]

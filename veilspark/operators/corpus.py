@@ -52,6 +52,45 @@ def rows_in_train(test: DataFrame, train: DataFrame, word: str = "password") ->
     return test.join(train.select(word).distinct(), word, "left_semi").agg(F.count(F.lit(1)).alias("n"))
 
 
+def first_seen(rows: DataFrame, *order: str, word: str = "password") -> DataFrame:
+    """One row per word, the first by the given order: its word and order columns."""
+    return rows.groupBy(word).agg(F.min(F.struct(*order)).alias("_o")).select(word, *[F.col(f"_o.{c}").alias(c) for c in order])
+
+
+def expand(counted: DataFrame, word: str = "password") -> DataFrame:
+    """word, copy: a row for each occurrence, copies counted from 0. Weights do the same job without the rows."""
+    return counted.filter("cnt > 0").select(word, F.explode(F.sequence(F.lit(0).cast("long"), F.col("cnt") - 1)).alias("copy"))
+
+
+def extremes(rows: DataFrame, score: Column, n: int, strongest: bool = True, word: str = "password") -> DataFrame:
+    """The n strongest or weakest words by a scorer of the caller's choice; ties by word."""
+    scored = rows.select(word).distinct().withColumn("score", score)
+    return scored.orderBy(F.desc("score") if strongest else F.asc("score"), word).limit(n)
+
+
+def equal_parts(rows: DataFrame, seed: int, parts: int, *keys: str) -> DataFrame:
+    """rows with `part`: a shuffle by hash dealt into parts whose sizes differ by one at most.
+
+    Positions come from hash ranges and the sizes of those before, so no task holds all rows.
+    """
+    from pyspark.sql import Window as W
+
+    h = draw32(seed, *keys)
+    placed = rows.withColumns({"_h": h, "_r": F.floor(h / F.lit(1 << 20))})
+    sizes = placed.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)  # 4096 rows at most
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_total", F.sum("_n").over(W.partitionBy(F.lit(1))))
+    own = placed.withColumn("_i", F.row_number().over(W.partitionBy("_r").orderBy("_h", *keys)) - 1).join(F.broadcast(sizes), "_r")
+    return own.withColumn("part", F.floor((F.col("_before") + F.col("_i")) * parts / F.col("_total")).cast("int")).drop("_h", "_r", "_n", "_before", "_total", "_i")
+
+
+def random_words(rows: DataFrame, seed: int, length: int, *keys: str) -> DataFrame:
+    """rows with `word`: letters and digits drawn by hash."""
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    one = lambda i: F.substr(F.lit(signs), (draw32(seed, *keys, i) % len(signs) + 1).cast("int"), F.lit(1))
+    return rows.withColumn("word", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), one), ""))
+
+
 def split_rows(rows: DataFrame, seed: int, share: float, *keys: str) -> DataFrame:
     """A boolean `train` by hash; the same on any partitioning."""
     return rows.withColumn("train", uniform(seed, *keys) < share)
@@ -67,23 +106,25 @@ def halves(rows: DataFrame, pos: str, total: int | Column) -> DataFrame:
     return rows.withColumn("second", F.col(pos) >= F.floor((total if isinstance(total, Column) else F.lit(total)) / 2))
 
 
-def weighted_draws(counted: DataFrame, draws: DataFrame, seed: int, buckets: int = 64) -> DataFrame:
-    """draws(id) with a word each, with replacement and by weight.
+def weighted_draws(counted: DataFrame, draws: DataFrame, seed: int, slots: int = 1024, keep: list[str] | None = None) -> DataFrame:
+    """draws(id), or their columns `keep`, with a word each, with replacement and by weight.
 
-    Words get a cumulative interval; draws find theirs by an equi-join on a coarse bucket of the
-    total and a range check, so no draw meets every word.
+    Words get cumulative intervals, summed up by hash slots. The total is cut into as many cells as
+    there are words; a word is listed in every cell that its interval meets and a draw looks into
+    its own one, so it meets two words or so whatever their number.
     """
     from pyspark.sql import Window as W
 
-    slot = F.pmod(F.xxhash64("password"), F.lit(buckets))
-    local = counted.withColumn("slot", slot)
-    per = local.groupBy("slot").agg(F.sum("cnt").alias("mass"))
-    base = per.withColumn("before", F.sum("mass").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1))).fillna(0, ["before"])
+    local = counted.select("password", "cnt").withColumn("slot", F.pmod(F.xxhash64("password"), F.lit(slots)))
+    per = local.groupBy("slot").agg(F.sum("cnt").alias("mass"), F.count(F.lit(1)).alias("words"))
+    upto = W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)  # a row per slot
+    base = per.withColumn("before", F.coalesce(F.sum("mass").over(upto), F.lit(0))).select("slot", "before")
+    whole = F.broadcast(per.agg(F.sum("mass").alias("total"), F.sum("words").alias("cells")))  # one row
     run = F.sum("cnt").over(W.partitionBy("slot").orderBy("password").rowsBetween(W.unboundedPreceding, 0))
-    placed = local.withColumn("upto", run).join(F.broadcast(base), "slot")  # one row per slot
+    placed = local.withColumn("upto", run).join(F.broadcast(base), "slot").crossJoin(whole)
     placed = placed.withColumns({"low": F.col("before") + F.col("upto") - F.col("cnt"), "high": F.col("before") + F.col("upto")})
-    total = F.broadcast(per.agg(F.sum("mass").alias("total")))
-    wanted = draws.crossJoin(total).withColumn("x", F.floor(uniform(seed, "id") * F.col("total")))
-    of_slot = F.broadcast(base.select("slot", "before", "mass"))
-    wanted = wanted.join(of_slot, (F.col("x") >= F.col("before")) & (F.col("x") < F.col("before") + F.col("mass"))).select("id", "x", "slot")
-    return wanted.join(placed.select("slot", "password", "low", "high"), "slot").filter("x >= low AND x < high").select("id", "password")
+    cell = lambda x: F.floor(x / F.col("total") * F.col("cells"))
+    listed = placed.select("password", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))).alias("cell"))
+    wanted = draws.crossJoin(whole).withColumn("x", F.floor(uniform(seed, "id") * F.col("total"))).withColumn("cell", cell(F.col("x")))
+    own = keep or ["id"]
+    return wanted.select(*own, "x", "cell").join(listed, "cell").filter("x >= low AND x < high").select(*own, "password")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.pii import CODES
 from ..functions.rng import uniform
 from ..functions.segment import segment, structure
 from ..functions.strings import apply_mask, cap_mask, training_valid
@@ -18,6 +19,19 @@ def parsed(corpus: DataFrame, word: str = "password") -> DataFrame:
     return out.withColumn("structure", structure(F.col("segs")))
 
 
+def parsed_coded(rows: DataFrame, key: str, word: str = "coded") -> DataFrame:
+    """key, segs, structure of coded passwords: a code is a segment of type T, text between is parsed as usual."""
+    signs = "".join(f"\\x{ord(c):02x}" for c in CODES.values())
+    pieces = F.regexp_extract_all(word, F.lit(f"([{signs}]|[^{signs}]+)"), F.lit(1))
+    split = rows.select(key, F.posexplode(pieces).alias("at", "piece"))
+    tag, empty = F.col("piece").rlike(f"^[{signs}]$"), F.array().cast("array<struct<type:string,len:int,value:string>>")
+    code = F.array(F.struct(F.lit("T").alias("type"), F.lit(1).alias("len"), F.col("piece").alias("value")))
+    split = split.withColumn("own", segment(F.when(tag, F.lit("")).otherwise(F.col("piece"))))
+    split = split.withColumn("own", F.when(tag, code).otherwise(F.coalesce("own", empty)))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "own"))), lambda x: x["own"]))
+    return split.groupBy(key).agg(whole.alias("segs")).withColumn("structure", structure(F.col("segs")))
+
+
 def items(parsed_: DataFrame) -> DataFrame:
     """type, len, item, num: terminals of each type and length (letters lower-cased), masks (C), structures (S)."""
     lower = lambda s: F.when(s["type"] == "A", F.lower(s["value"])).otherwise(s["value"])

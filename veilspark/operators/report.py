@@ -78,3 +78,12 @@ def completeness(lists: DataFrame, least: int = 19) -> DataFrame:
     """Rows with enough decoys, and rows that repeat the real word (columns real, decoys)."""
     clean = F.filter("decoys", lambda d: (F.trim(d) != "") & (F.lower(d) != "nan"))
     return lists.agg(F.count_if(F.size(clean) >= least).alias("complete"), F.count_if(F.array_contains("decoys", F.col("real"))).alias("repeats_real"))
+
+
+# fixed values: share of study participants that found the real word within 1 to 5 guesses
+USER_STUDY = (0.063636364, 0.121212121, 0.163636364, 0.184848485, 0.239393939)
+
+
+def user_study(spark) -> DataFrame:
+    """t, share: the published curve of a study with people."""
+    return spark.createDataFrame(list(enumerate(USER_STUDY, 1)), "t int, share double")

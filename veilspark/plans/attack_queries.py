@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attack as A
 from ..operators import decoys as G
+from ..session import cut
 from . import domain
 from .domain import SWEETWORDS, USERS
 from .registry import registry
@@ -136,7 +137,8 @@ def success_curve_fifo(spark, d):
 def list_decoys(spark, d):
     """Decoy lists from training rows drawn by frequency."""
     u = domain.users(spark, d)
-    return G.assemble(G.from_rows(u, domain.word_counts(spark, d), 20, 67), u, 20, 67)
+    counted = cut(domain.word_counts(spark, d))
+    return G.assemble(G.in_rounds(u, lambda some, draws: G.from_rows(some, counted, draws, 67), 20, None, 80), u, 20, 67)
 
 
 @query()

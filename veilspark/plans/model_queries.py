@@ -118,17 +118,6 @@ def pii_tagged_password(spark, d):
     return seg.select("user_id", "segs", pii.substituted(F.col("segs"), F.col("tags")).alias("back"), "password")
 
 
-@query()
-def targeted_decoys(spark, d):
-    """Decoys from other users' tagged passwords, filled with one's own data."""
-    u = domain.users(spark, d).withColumn("tags", _tags())
-    tagged = u.withColumn("password", F.array_join(pii.tagged(F.col("password"), F.col("tags")), "\t"))
-    counted = tagged.groupBy("password").agg(F.count(F.lit(1)).alias("cnt"))
-    drawn = G.from_rows(u, counted, 20, 67, tries=6).join(u.select("user_id", "tags"), "user_id")
-    made = drawn.select("user_id", "draw", pii.substituted(F.split("word", "\t"), F.col("tags")).alias("word"))
-    return G.assemble(made, u, 20, 67)
-
-
 @query()
 def pcfg_segments(spark, d):
     s = segment(F.col("password"))

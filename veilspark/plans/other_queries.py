@@ -9,7 +9,7 @@ from ..functions.rng import draw32, uniform
 from ..operators import bernoulli as B
 from ..operators import report as R
 from ..operators import similarity as V
-from ..session import table
+from ..session import cut, table
 from ..streaming import logins
 from . import domain
 from .attack_queries import weights
@@ -26,7 +26,7 @@ def _indices(salt: str, word: str) -> str:
     return f"list_sort(list_distinct(list_transform(range(0, 20), lambda i: CAST(('0x' || substr(sha256(i || ':' || sha256({salt} || {word})), 57, 8))::BIGINT % 128 + 1 AS INTEGER))))"
 
 
-ACCOUNTS = f"""{USERS}, acc AS (SELECT user_id, password, salt, tr, list_sort(list_concat(tr, list_transform(list_sort(list_transform(list_filter(range(1, 129), lambda i: NOT list_contains(tr, i::INTEGER)), lambda i: {{'r': ('0x' || substr(sha256('67:' || user_id || ':b:' || i), 1, 8))::BIGINT, 'i': i::INTEGER}}))[1:greatest(CAST(round_even(pow({P_H}, 1 / 20.0) * 128, 0) AS INTEGER) - len(tr), 0)], lambda x: x.i))) AS b
+ACCOUNTS = f"""{USERS}, acc AS MATERIALIZED (SELECT user_id, password, salt, tr, list_sort(list_concat(tr, list_transform(list_sort(list_transform(list_filter(range(1, 129), lambda i: NOT list_contains(tr, i::INTEGER)), lambda i: {{'r': ('0x' || substr(sha256('67:' || user_id || ':b:' || i), 1, 8))::BIGINT, 'i': i::INTEGER}}))[1:greatest(CAST(round_even(pow({P_H}, 1 / 20.0) * 128, 0) AS INTEGER) - len(tr), 0)], lambda x: x.i))) AS b
   FROM (SELECT user_id, password, {SALT} AS salt, {_indices(SALT, 'password')} AS tr FROM users))"""
 
 
@@ -35,23 +35,28 @@ def bloom_indices(spark, d):
     return B.register(domain.users(spark, d), P_H, 67).select("user_id", "salt", F.col("true").alias("true_indices"), "b")
 
 
-RANKING = "SELECT rank, password FROM (SELECT password, row_number() OVER (ORDER BY cnt DESC, password) AS rank FROM counts) WHERE rank <= 256"
+LENGTH = 100_000
+RANKING = f"SELECT rank, password FROM (SELECT password, row_number() OVER (ORDER BY cnt DESC, password) AS rank FROM counts) WHERE rank <= {LENGTH}"
 
 
-def _ranking(spark, d):
-    """The 256 commonest words with their rank: a top-k of the attack's length."""
+def _ranking(spark, d, length: int = LENGTH):
+    """The commonest words with their rank: a top-k of the attack's length."""
     from pyspark.sql import Window as W
 
-    top = domain.word_counts(spark, d).orderBy(F.desc("cnt"), "password").limit(256)
-    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("cnt"), "password")).cast("long")).select("rank", "password")  # 256 rows
+    top = domain.word_counts(spark, d).orderBy(F.desc("cnt"), "password").limit(length)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("cnt"), "password")).cast("long")).select("rank", "password")  # the attack's length
 
 
-PROBE = f"{ACCOUNTS}, {domain.COUNTS}, ranking AS ({RANKING}), probe AS (SELECT user_id, min(rank) AS rank FROM acc, ranking WHERE list_has_all(b, {_indices('salt', 'ranking.password')}) GROUP BY 1), breach AS (SELECT a.user_id, p.rank, CASE WHEN p.rank IS NULL THEN 'no_candidate' WHEN r.password = a.password THEN 'undetected' ELSE 'detected' END AS outcome FROM acc a LEFT JOIN probe p USING (user_id) LEFT JOIN ranking r USING (rank))"
+# the first words settle nearly all accounts, so the rest of the ranking meets few
+PROBE = f"""{ACCOUNTS}, {domain.COUNTS}, ranking AS MATERIALIZED ({RANKING}), early AS MATERIALIZED (SELECT user_id, min(rank) AS rank FROM acc, ranking WHERE rank <= 256 AND list_has_all(b, {_indices('salt', 'ranking.password')}) GROUP BY 1),
+  left_over AS MATERIALIZED (SELECT * FROM acc ANTI JOIN early USING (user_id)), late AS (SELECT user_id, min(rank) AS rank FROM left_over acc, ranking WHERE rank > 256 AND list_has_all(b, {_indices('salt', 'ranking.password')}) GROUP BY 1),
+  probe AS (SELECT * FROM early UNION ALL SELECT * FROM late),
+  breach AS (SELECT a.user_id, p.rank, CASE WHEN p.rank IS NULL THEN 'no_candidate' WHEN r.password = a.password THEN 'undetected' ELSE 'detected' END AS outcome FROM acc a LEFT JOIN probe p USING (user_id) LEFT JOIN ranking r USING (rank))"""
 
 
 def _breach(spark, d):
     u = domain.users(spark, d)
-    return B.breach(B.best_candidates(B.register(u, P_H, 67), _ranking(spark, d), [32, 96, 256]), u)
+    return B.breach(B.best_candidates(B.register(u, P_H, 67), _ranking(spark, d)), u)
 
 
 @query(f"WITH {PROBE} SELECT user_id, rank, outcome FROM breach")
@@ -67,9 +72,9 @@ def breach_outcomes(spark, d):
 TDP = "tries AS (SELECT user_id, outcome, trial, row_number() OVER (PARTITION BY trial ORDER BY rank, user_id) AS pos FROM (SELECT *, " + u32(67, "user_id") + " % 50 AS trial FROM breach WHERE outcome <> 'no_candidate')), firsts AS (SELECT trial, min(pos) FILTER (outcome = 'detected') AS f FROM tries GROUP BY 1)"
 
 
-@query(f"WITH {PROBE}, {TDP} SELECT n::INTEGER AS n, avg(coalesce(f <= n, false)::INTEGER) AS tdp FROM firsts, range(1, 21) r(n) GROUP BY 1")
+@query(f"WITH {PROBE}, {TDP} SELECT n::INTEGER AS n, avg(coalesce(f <= n, false)::INTEGER) AS tdp FROM firsts, range(1, 51) r(n) GROUP BY 1")
 def tdp_by_n(spark, d):
-    return B.detection_by_n(_breach(spark, d), 50, 20, 67)
+    return B.detection_by_n(_breach(spark, d), 50, 50, 67)
 
 
 @query(f"WITH {PROBE} SELECT row_number() OVER w AS n, sum((outcome = 'undetected')::INTEGER) OVER w::BIGINT AS successes, (row_number() OVER w - sum((outcome = 'undetected')::INTEGER) OVER w)::BIGINT AS alarms FROM breach WHERE outcome <> 'no_candidate' WINDOW w AS (ORDER BY rank, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
@@ -77,6 +82,59 @@ def success_vs_alarm(spark, d):
     return B.success_vs_alarm(_breach(spark, d))
 
 
+def _chance(*keys: str) -> str:
+    return u32(67, *keys) + " / 4294967296.0"
+
+
+def _walk(after: str, low: int, high: int, name: str) -> str:
+    """The best words of rank low + 1..high for the (user_id, l) of a table, and what is left after them."""
+    return f"""who_{name} AS MATERIALIZED (SELECT * FROM acc SEMI JOIN {after} USING (user_id)),
+  tried_{name} AS MATERIALIZED (SELECT user_id, rank, {_indices('salt', 'ranking.password')} AS ix FROM who_{name} acc, ranking WHERE rank > {low} AND rank <= {high}),
+  hit_{name} AS MATERIALIZED (SELECT user_id, l, min(rank) AS rank FROM {after} JOIN tried_{name} USING (user_id) WHERE list_has_all(m, ix) GROUP BY ALL),
+  open_{name} AS MATERIALIZED (SELECT * FROM {after} ANTI JOIN hit_{name} USING (user_id, l))"""
+
+
+def _watched(levels: list[int]) -> str:
+    return f"""{ACCOUNTS}, {domain.COUNTS}, ranking AS MATERIALIZED ({RANKING}),
+  marked AS MATERIALIZED (SELECT *, list_filter(b, lambda i: list_contains(tr, i) OR {_chance("user_id", "'m'", "i")} < 0.95) AS m, list_filter(range(1, 42), lambda t: {_chance("user_id", "'renew'", "t")} < 0.065) AS rs FROM acc),
+  seen AS MATERIALIZED (SELECT user_id, l, list_filter(m, lambda i: list_contains(tr, i) OR len(list_filter(rs, lambda t: t <= l AND {_chance("user_id", "t", "i")} >= 0.95)) = 0) AS m FROM marked, (SELECT unnest({levels}) AS l)),
+  {_walk("seen", 0, 128, "a")}, {_walk("open_a", 128, 512, "b")}, {_walk("open_b", 512, 2048, "c")}, {_walk("open_c", 2048, LENGTH, "d")},
+  best AS MATERIALIZED (SELECT user_id, l, rank FROM seen LEFT JOIN (SELECT * FROM hit_a UNION ALL SELECT * FROM hit_b UNION ALL SELECT * FROM hit_c UNION ALL SELECT * FROM hit_d) USING (user_id, l))"""
+
+
+SEEN, MORE = [0, 5, 10, 15, 20], [1, 6, 11, 16, 21]
+OUTCOMES = f"""{_watched(SEEN[:2])}, chosen AS MATERIALIZED (SELECT b.user_id, l, b.rank, tr, rs, {_indices('salt', 'r.password')} AS ix FROM best b JOIN marked USING (user_id) LEFT JOIN ranking r ON r.rank = b.rank),
+  steps AS (SELECT *, list_max(list_filter(rs, lambda t: t > l AND t <= l + delta)) AS last FROM chosen, (SELECT unnest([1, 6, 11, 16, 21]) AS delta)),
+  watched AS (SELECT user_id, l, delta, rank, CASE WHEN rank IS NULL THEN 'no_candidate' WHEN last IS NOT NULL AND len(list_filter(tr, lambda i: NOT list_contains(ix, i) AND {_chance("user_id", "last", "i")} >= 0.95)) > 0 THEN 'detected' ELSE 'undetected' END AS outcome FROM steps)"""
+
+
+def _marked(spark, d):
+    u = domain.users(spark, d)
+    return u, B.register(u, P_H, 67, p_mark=B.P_MARK)
+
+
+@query(f"WITH {_watched([0])} SELECT user_id, rank FROM best")
+def marked_probe(spark, d):
+    """The first ranked word in each account's filter and marks."""
+    return B.best_candidates(_marked(spark, d)[1], _ranking(spark, d), marks=True).select("user_id", "rank")
+
+
+@query(f"WITH {OUTCOMES} SELECT l, delta, outcome, count(*) AS n FROM watched GROUP BY ALL")
+def watched_outcomes(spark, d):
+    """Breaches after no or five observed logins, by the numbers of the owner's and the attacker's logins."""
+    u, a = _marked(spark, d)
+    return B.watched_breach(a, _ranking(spark, d), u, SEEN[:2], MORE, 67).groupBy("l", "delta", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def watched_detection(spark, d):
+    """The five by five table of detection rates; SQL would hash the whole ranking for accounts with few marks left, so a test has a plain loop."""
+    u, a = _marked(spark, d)
+    attacked = cut(B.watched_breach(a, _ranking(spark, d), u, SEEN, MORE, 67))
+    first = attacked.filter(f"l = 0 AND delta = {MORE[0]}").select("user_id", "rank")
+    return B.watched_detection(attacked, first, 50, 67)
+
+
 ATTEMPTS = f"attempts AS (SELECT event_id, ts, CASE WHEN e.user_id % 97 = 0 THEN -1 ELSE e.user_id END AS user_id, CASE WHEN {u32(11, 'event_id')} % 3 = 0 THEN u.password ELSE e.event_type || {u32(12, 'event_id')} % 50 END AS word FROM events e LEFT JOIN users u USING (user_id))"
 LOGIN = f"{ACCOUNTS}, {ATTEMPTS}, logins AS (SELECT event_id, ts, t.user_id, CASE WHEN salt IS NULL OR word IS NULL OR NOT list_has_all(b, {_indices('salt', 'word')}) THEN 'failure' WHEN {_indices('salt', 'word')} = tr THEN 'success' ELSE 'alarm' END AS outcome FROM attempts t LEFT JOIN acc USING (user_id))"
 

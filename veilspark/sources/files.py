@@ -131,3 +131,53 @@ def legacy_statistics(spark: SparkSession, path: str) -> DataFrame:
     w = W.partitionBy("file").orderBy("i")
     held = named.withColumn("attacker", F.last(F.when(~number, F.col("line")), True).over(w)).filter(number)
     return held.select("file", "attacker", F.posexplode(F.transform(F.regexp_extract_all("line", F.lit(r"([0-9.eE+-]+)"), F.lit(1)), lambda x: x.cast("double"))).alias("x", "y"))
+
+
+def write_chain(transitions: DataFrame, starts: DataFrame, path: str) -> None:
+    """A fitted character chain: two tables under one folder."""
+    transitions.write.mode("overwrite").parquet(f"{path}/transitions")
+    starts.write.mode("overwrite").parquet(f"{path}/starts")
+
+
+def read_chain(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/transitions"), spark.read.parquet(f"{path}/starts")
+
+
+def write_rank_model(ranks: DataFrame, rollup: DataFrame, path: str) -> None:
+    """Letter ranks and the ranks' probabilities over their key spaces."""
+    ranks.write.mode("overwrite").parquet(f"{path}/letters")
+    rollup.write.mode("overwrite").parquet(f"{path}/ranks")
+
+
+def read_rank_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(letter ranks, ranks by falling probability)."""
+    return spark.read.parquet(f"{path}/letters"), spark.read.parquet(f"{path}/ranks").orderBy(F.desc("p"), "rank")
+
+
+def write_frequency_json(freqs: DataFrame, path: str) -> None:
+    """A line {"type", "token", "freq"} for each token, so that any reader can split the file."""
+    freqs.select("type", "token", "freq").write.mode("overwrite").json(path)
+
+
+def read_frequency_json(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("type string, token string, freq long").json(path)
+
+
+def write_word_map(lists: DataFrame, path: str) -> None:
+    """A line {real: [words]} for each list (user_id, idx, word, is_real); of lists with the same real word the last user's stays."""
+    words = F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"])
+    per = lists.groupBy("user_id").agg(F.max(F.when(F.col("is_real"), F.col("word"))).alias("real"), words.alias("words")).filter("real IS NOT NULL")
+    last = per.groupBy("real").agg(F.max_by("words", "user_id").alias("words"))
+    last.select(F.to_json(F.create_map("real", "words")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_word_map(spark: SparkSession, path: str) -> DataFrame:
+    """real, words."""
+    line = spark.read.text(path).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+    return line.select(F.explode("m").alias("real", "words"))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A stage's rows as CSV with a header; arrays as JSON."""
+    flat = [F.to_json(F.col(c)).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in rows.dtypes]
+    rows.select(*flat).write.mode("overwrite").option("header", True).csv(path)
