@@ -25,6 +25,35 @@ def rows(spark, small):
     return documents(spark, small, 60) + ODD + planted()
 
 
+def morse(k, flip=0, signs="ab"):
+    return "".join(signs[bin(i).count("1") % 2 ^ flip] for i in range(1 << k))
+
+
+def test_words_on_which_polynomials_vanish(spark):
+    rest = [f"u{i}" for i in range(34)]
+    rows = [(i, " ".join([morse(10, i), *rest])) for i in (0, 1)]
+    assert [r["n_removed"] for r in substring.remove_repeats(frame(spark, rows)).collect()] == [0, 0]
+    rows = [(i, morse(7, i) + "x" * 30 + morse(6, i) + "tail of many letters" * 5) for i in (0, 1)]
+    want = [sum(m) for m in repeats([t.encode() for _, t in rows], 200)]
+    assert [r["n_removed"] for r in suffixes.remove_repeats(frame(spark, rows)).orderBy("doc_id").collect()] == want
+
+
+def test_long_texts_and_many_equal_rows(spark, monkeypatch):
+    from veilspark.llm import repeats as R
+
+    rnd = random.Random(6)
+    text = lambda n: " ".join(f"w{rnd.randrange(10**5)}" for _ in range(n))
+    shared = text(60)
+    long = " ".join([text(30_000), shared, text(60_000), shared, text(100)])
+    rows = [(1, long), (2, text(20) + " " + shared), *[(3, "equal rows " + shared)] * 400, *[(None, "equal rows " + shared)] * 200]
+    monkeypatch.setattr(R, "CHUNK", 1 << 14)
+    got = {}
+    for r in substring.remove_repeats(frame(spark, rows)).collect():
+        got.setdefault((r["doc_id"], r["n_words"], r["n_removed"]), []).append(r)
+    assert {k: len(v) for k, v in got.items()} == {(1, 90_220, 120): 1, (2, 80, 60): 1, (3, 62, 62): 400, (None, 62, 62): 200}
+    assert sum(r["n_spans"] for r in suffixes.remove_repeats(frame(spark, rows)).filter("doc_id = 1").collect()) == 2
+
+
 def digest(x):
     return hashlib.sha256(x).hexdigest()
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.llm import decontam, licenses, queries, secretscan, toxicity
 from veilspark.llm.automaton import compile_all
@@ -180,6 +181,25 @@ def test_decontamination_meets_cut_off_copies(spark):
     assert {r["doc_id"] for r in decontam.clean(*frames).select("doc_id").collect()} == {i for i, _ in docs} - {d for d, _ in want}
 
 
+def test_long_texts(spark):
+    rnd = random.Random(3)
+    item = " ".join(f"t{i}" for i in range(40))
+    filler = lambda n: " ".join(rnd.choice(("of", "the", "license", "to", "x")) + f" q{rnd.randrange(1000)}" for _ in range(n))
+    long = " ".join([filler(60_000), item, "the " * 30_000, filler(60_000), "released under the mit license"])
+    dense = " ".join([item] * 400)
+    docs = frame(spark, [(1, long), (1, "clean row of the same id"), (2, dense), (None, item), (None, "clean")])
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.find(docs, items).collect()}
+    assert got == {(1, 7): 1.0, (2, 7): 1.0, (None, 7): 1.0}
+    assert sorted(r["text"] for r in decontam.clean(docs, items).collect()) == ["clean", "clean row of the same id"]
+    # more shingles than a 16-bit counter holds
+    bag = lambda n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), (i % 3).cast("string")))
+    few, many, narrow = spark.range(1).select(decontam._simhash(bag(30)), decontam._simhash(bag(90_000)), decontam._counted(bag(30), 2)).first()
+    assert few == many == narrow
+    found = {r["doc_id"]: r for r in licenses.scan(docs).collect() if r["n_words"] > 100}
+    assert found[1]["base_labels"] == "mit" and found[1]["n_base"] == 1 and found[2]["n_base"] == 0
+
+
 def test_decontamination_at_the_threshold(spark):
     # 6 of 7 shingles shared: a similarity of exactly 0.75, where fingerprints lie farthest apart
     rnd = random.Random(21)
@@ -225,6 +245,32 @@ def test_toxicity_cases(spark):
     assert np.isfinite(model.bias)
 
 
+def test_toxicity_is_a_plain_noisy_or(spark):
+    import math
+
+    rnd = np.random.default_rng(4)
+    model = toxicity.Model(rnd.normal(0, 0.5, toxicity.BUCKETS), -2.0)
+    rows = [(1, "One two. Three four five! six"), (2, "same words same words\nagain"), (3, "?!.."), (4, "Ünïcode wörds, 12 of them"), *ODD]
+    got = sorted((str(r["doc_id"]), round(r["score"], 9), len(r["sentences"])) for r in toxicity.score(frame(spark, rows), model).collect())
+
+    def plain(text):
+        miss, bad = 1.0, 0
+        for sentence in re.split(rb"[.!?\n]", (text or "").encode()):
+            found = re.findall(rb"[0-9a-z\x80-\xff]+", bytes(toxicity.LOWER[np.frombuffer(sentence, np.uint8)]))
+            if not found:
+                continue
+            z = model.bias
+            for w in found:
+                raw = np.frombuffer(w, np.uint8)
+                bucket, *_ = toxicity.instances(raw, np.array([0, len(raw)]))
+                z += sum(model.weight[b] for b in bucket)
+            miss *= 1 - 1 / (1 + math.exp(-z))
+            bad += z >= 0
+        return round(1 - miss, 9), bad
+
+    assert got == sorted((str(i), *plain(t)) for i, t in rows)
+
+
 def test_queries_run(spark, small):
     for name in ("op4_decontamination", "op5_toxicity", "op7_secrets", "op9_licenses"):
         assert "doc_id" in queries.QUERIES[name](spark, small).columns

@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SIMILARITY, RADIUS, GRAM = 0.75, 24, 5
 BROADCAST_BYTES = 64 << 20
 OUTSIDE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,27 +51,33 @@ def _least(m: Column, k: Column) -> Column:
     return F.ceil((m + k) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9).cast("int")
 
 
-def _simhash(shingles: Column) -> Column:
-    """Sign of each bit's balance; four 16-bit counters share a long, so bags may hold 32767."""
-    ones = F.lit(0x0001000100010001)
-    zero = F.array(*[F.lit(0).cast("long") for _ in range(16)])
+def _counted(shingles: Column, lanes: int) -> Column:
+    """Sign of each bit's balance; `lanes` counters share a long."""
+    n, width = 64 // lanes, 64 // lanes
+    ones = F.lit(sum(1 << (width * i) for i in range(lanes)))
+    zero = F.array(*[F.lit(0).cast("long") for _ in range(n)])
 
     def add(acc: Column, s: Column) -> Column:
         h = F.xxhash64(s)
-        return F.array(*[acc[j] + F.shiftrightunsigned(h, j).bitwiseAND(ones) for j in range(16)])
+        return F.array(*[acc[j] + F.shiftrightunsigned(h, j).bitwiseAND(ones) for j in range(n)])
 
     def signs(acc: Column) -> Column:
         half = F.size(shingles)
         bits = F.lit(0).cast("long")
-        for j in range(16):
-            for lane in range(4):
-                n = F.shiftrightunsigned(acc[j], 16 * lane).bitwiseAND(F.lit(0xFFFF))
-                bits = bits.bitwiseOR(F.when(n * 2 > half, F.shiftleft(F.lit(1).cast("long"), 16 * lane + j)).otherwise(F.lit(0).cast("long")))
+        for j in range(n):
+            for lane in range(lanes):
+                ones_here = F.shiftrightunsigned(acc[j], width * lane).bitwiseAND(F.lit((1 << width) - 1))
+                bits = bits.bitwiseOR(F.when(ones_here * 2 > half, F.shiftleft(F.lit(1).cast("long"), width * lane + j)).otherwise(F.lit(0).cast("long")))
         return bits
 
     return F.aggregate(shingles, zero, add, signs)
 
 
+def _simhash(shingles: Column) -> Column:
+    """64 bits; four 16-bit counters share a long, beyond 32,767 shingles two of 32 bits."""
+    return F.when(F.size(shingles) < 1 << 15, _counted(shingles, 4)).otherwise(_counted(shingles, 2))
+
+
 def _blocks(fingerprint: Column) -> Column:
     """(number, value) of RADIUS + 1 blocks that cover the 64 bits."""
     n = RADIUS + 1
@@ -85,15 +93,15 @@ def _bag(shingles: Column) -> Column:
     return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), plain).otherwise(repeated)
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start (word of the window), n_words, distance and similarity of each match's best window."""
+def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, dig (xxhash64 of the text), item_id and the best window of each pair of a text and an item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     items = items.withColumn("gram", F.least(F.size("w"), F.lit(GRAM)))
     items = items.select("item_id", "gram", _shingles(F.col("w"), F.col("gram")).alias("sh"))
-    items = items.withColumns({"m": F.size("sh"), "fp": _simhash(F.col("sh"))}).persist()
+    items = cut(items.withColumns({"m": F.size("sh"), "fp": _simhash(F.col("sh"))}))
 
     sizes = items.select("gram", "m", F.explode("sh").alias("s")).groupBy("gram", "s").agg(F.array_sort(F.collect_set("m")).alias("ms"))
-    sizes = sizes.withColumn("g", F.xxhash64(*[F.get(F.split("s", " "), F.lit(j)) for j in range(GRAM)])).persist()
+    sizes = cut(sizes.withColumn("g", F.xxhash64(*[F.get(F.split("s", " "), F.lit(j)) for j in range(GRAM)])))
     facts = items.select("gram", "m").groupBy("gram").agg(F.max("m").alias("m")).collect()  # GRAM rows at most
     rows, total = sizes.agg(F.count(F.lit(1)), F.sum(F.length("s") + 8 * F.size("ms"))).first()
     small = (total or 0) + 64 * rows < BROADCAST_BYTES
@@ -107,26 +115,36 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         at = base.select("doc_id", "dig", "w", F.explode_outer(F.sequence(F.lit(1), F.greatest(F.size("w") - (gram - 1), F.lit(1)))).alias("p"))
         at = at.withColumn("g", F.xxhash64(*[F.get("w", F.col("p") + (j - 1)) for j in range(gram)]))
         side = sizes.filter(F.col("gram") == gram).select("g", "ms")
-        hit = at.join(F.broadcast(side) if small else side, "g")
         reach = F.greatest(F.col("p") - spare - 1, F.lit(1))
-        hit = hit.select("doc_id", "dig", F.lit(gram).alias("gram"), F.explode("ms").alias("m"), "p", reach.alias("from"), F.slice("w", reach, spare + 1 + largest + gram).alias("ctx"), (F.size("w") - (F.element_at("w", -1) == "").cast("int")).alias("n"), (F.get("w", F.lit(0)) == "").cast("int").alias("lead"))
+        ends = {"n": F.size("w") - (F.element_at("w", -1) == "").cast("int"), "lead": (F.get("w", F.lit(0)) == "").cast("int")}
+        around = {"from": reach, "ctx": F.slice("w", reach, spare + 1 + largest + gram), **ends}
+        if small:
+            hit = at.join(F.broadcast(side), "g").withColumns(around)
+        else:
+            # a place goes with the words that its windows may hold, never with the whole text
+            hit = at.withColumns(around).drop("w").join(side, "g")
+        hit = hit.select("doc_id", "dig", F.lit(gram).alias("gram"), F.explode("ms").alias("m"), "p", "from", "ctx", "n", "lead")
         hits = hit if hits is None else hits.unionByName(hit)
     if hits is None:
-        return docs.limit(0).select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0).alias("distance"), F.lit(0.0).alias("similarity"))
+        return docs.limit(0).select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("dig"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0).alias("distance"), F.lit(0.0).alias("similarity"))
 
     # the hits of a document for one size, in order: no more of them than the document has words
     found = hits.groupBy("doc_id", "dig", "gram", "m", "n", "lead").agg(F.array_sort(F.collect_set("p")).alias("ps"), F.array_sort(F.collect_set(F.struct("p", "from", "ctx"))).alias("cs"))
     # k: shingles of a window, m or all that the document has
     found = found.withColumn("k", F.least(F.col("m"), F.col("n") - F.col("lead") - F.col("gram") + 1))
     found = found.withColumn("least", _least(F.col("m"), F.col("k"))).filter(F.size("ps") >= F.col("least"))
-    first = found.select("doc_id", "dig", "gram", "m", "k", "n", "lead", "least", "ps", F.posexplode("cs").alias("r", "c"))
     # the r-th hit as a window's first one: starts that reach the least-th hit from it and not the hit before
-    last_needed = F.element_at("ps", F.col("r") + F.col("least"))
-    first = first.filter(F.col("r") + F.col("least") <= F.size("ps"))
-    low = F.greatest(last_needed - F.col("k") + 1, F.when(F.col("r") > 0, F.element_at("ps", F.greatest(F.col("r"), F.lit(1))) + 1).otherwise(F.lit(1)), F.col("lead") + 1)
-    high = F.least(F.col("c.p"), F.col("n") - F.col("gram") - F.col("k") + 2)
-    first = first.withColumns({"low": low, "high": high}).filter("low <= high")
-    window = first.select("doc_id", "dig", "gram", "m", "k", "lead", F.explode(F.sequence("low", "high")).alias("s"), F.col("c.from").alias("from"), F.col("c.ctx").alias("ctx"))
+    ps = F.col("ps")
+
+    def starts(c: Column, r: Column) -> Column:
+        last_needed = F.get(ps, r + F.col("least") - 1)
+        low = F.greatest(last_needed - F.col("k") + 1, F.when(r > 0, F.get(ps, r - 1) + 1).otherwise(F.lit(1)), F.col("lead") + 1)
+        high = F.least(c["p"], F.col("n") - F.col("gram") - F.col("k") + 2)
+        return F.struct(F.when(last_needed.isNotNull(), low).alias("low"), high.alias("high"), c["from"].alias("from"), c["ctx"].alias("ctx"))
+
+    made = F.filter(F.transform("cs", starts), lambda x: x["low"].isNotNull() & (x["low"] <= x["high"]))
+    first = found.select("doc_id", "dig", "gram", "m", "k", "lead", F.explode(made).alias("c"))
+    window = first.select("doc_id", "dig", "gram", "m", "k", "lead", F.explode(F.sequence("c.low", "c.high")).alias("s"), F.col("c.from").alias("from"), F.col("c.ctx").alias("ctx"))
     own = F.slice("ctx", F.col("s") - F.col("from") + 1, F.col("k") + F.col("gram") - 1)
     window = window.select("doc_id", "dig", "gram", "m", "lead", "s", _shingles(own, F.col("gram")).alias("sh")).withColumn("fp", _simhash(F.col("sh")))
 
@@ -140,12 +158,21 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect(_bag(F.col("sh")), _bag(F.col("ish"))))
     pairs = pairs.withColumn("similarity", shared / (F.col("m") + F.size("sh") - shared)).filter(F.col("similarity") >= SIMILARITY)
     best = F.max(F.struct("similarity", (-F.col("distance")).alias("near"), (F.col("lead") - F.col("s")).alias("at"), F.size("sh").alias("k"))).alias("b")
-    return pairs.groupBy("doc_id", "item_id", "gram", "m").agg(best).select(
-        "doc_id", "item_id", (-F.col("b.at") - 1).alias("start"), (F.col("b.k") + F.col("gram") - 1).alias("n_words"), (-F.col("b.near")).alias("distance"), F.col("b.similarity").alias("similarity")
+    return pairs.groupBy("doc_id", "dig", "item_id", "gram", "m").agg(best).select(
+        "doc_id", "dig", "item_id", (-F.col("b.at") - 1).alias("start"), (F.col("b.k") + F.col("gram") - 1).alias("n_words"), (-F.col("b.near")).alias("distance"), F.col("b.similarity").alias("similarity")
+    )
+
+
+def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start (word of the window), n_words, distance and similarity of each match's best window."""
+    best = F.max(F.struct("similarity", (-F.col("distance")).alias("near"), (-F.col("start")).alias("at"), "n_words")).alias("b")
+    return _matches(docs, benchmark).groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", (-F.col("b.at")).alias("start"), F.col("b.n_words").alias("n_words"), (-F.col("b.near")).alias("distance"), F.col("b.similarity").alias("similarity")
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no window of an item; a row with a null doc_id stays only if no such row has one."""
-    hit = find(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    """The rows of docs that hold no window of an item, whatever rows share their doc_id."""
+    hit = _matches(docs, benchmark).select(F.col("doc_id").alias("_hit"), F.col("dig").alias("_dig")).distinct()
+    same = (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_dig")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_hit"))
+    return docs.join(hit, same, "left_anti")

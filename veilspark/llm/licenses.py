@@ -17,6 +17,7 @@ null doc_id is carried as it is.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # fixed values: phrases that count as base places, with their labels
@@ -101,21 +102,13 @@ def scan(docs: DataFrame) -> DataFrame:
     found = phrases.select("doc_id", "dig", "label", F.lit(True).alias("base"), F.col("diagonal").cast("long").alias("start"), (F.col("diagonal") + F.col("grams") + 1).cast("long").alias("end"), F.lit(1.0).alias("share"))
 
     # neighbouring diagonals of a text: chains with gaps of NEAR words at most are one place
-    long = votes.filter(~F.col("base")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("diagonal", "ts"))).alias("ds"))
-    chain = F.aggregate(
-        "ds",
-        F.expr("cast(array() as array<struct<first:int,last:int,ts:array<int>>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["diagonal"] - F.element_at(acc, -1)["last"] <= NEAR),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), x["diagonal"].alias("last"), F.array_union(F.element_at(acc, -1)["ts"], x["ts"]).alias("ts"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["diagonal"].alias("first"), x["diagonal"].alias("last"), x["ts"].alias("ts"))))),
-    )
-    merged = long.select(*key, F.explode(chain).alias("c"))
-    share = F.size("c.ts") / F.col("grams")
-    start, end = F.col("c.first") + F.array_min("c.ts"), F.col("c.last") + F.array_max("c.ts") + K
+    by = W.partitionBy(*key).orderBy("diagonal")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > NEAR, F.lit(True)).cast("int")
+    chained = votes.filter(~F.col("base")).withColumn("new", apart).withColumn("chain", F.sum("new").over(by))
+    # a template has no more positions than its words
+    merged = chained.select(*key, "chain", "diagonal", F.explode("ts").alias("t")).groupBy(*key, "chain").agg(F.min("diagonal").alias("first"), F.max("diagonal").alias("last"), F.collect_set("t").alias("ts"))
+    share = F.size("ts") / F.col("grams")
+    start, end = F.col("first") + F.array_min("ts"), F.col("last") + F.array_max("ts") + K
     texts = merged.filter(share >= SHARE).select("doc_id", "dig", "label", F.lit(False).alias("base"), start.cast("long").alias("start"), end.cast("long").alias("end"), share.alias("share"))
 
     per = found.unionByName(texts).groupBy("doc_id", "dig").agg(

@@ -158,8 +158,8 @@ def shared_anchors(docs: DataFrame, unit: str, k: int, length: int, base: str) -
 
 
 def listed(places: DataFrame, *names: str) -> DataFrame:
-    """One row per document with its places; a document has no more of them than units."""
-    return places.groupBy(*KEY).agg(F.collect_list(F.struct(*names)).alias("places"))
+    """One row per document with its distinct places; a document has no more of them than units, and equal rows have the same ones."""
+    return places.groupBy(*KEY).agg(F.collect_set(F.struct(*names)).alias("places"))
 
 
 def with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
