@@ -25,9 +25,9 @@ SPACE = f"([^{_WHITE}]) ([^{_WHITE}])"
 EDGE = r"([0-9A-Za-zÀ-ÖØ-öø-ɏ])([!-/:-@\[-`{-~])"
 MARK = "\x01"
 #: Distinct pieces that each of the two generations of a worker's memory holds.
-KEEP = 600_000
+KEEP = 200_000
 #: Characters of the texts that are encoded together, and words that the library gets in one string.
-TOGETHER, JOINED = 16 << 20, 200
+TOGETHER, JOINED = 8 << 20, 200
 
 
 class Encoder:

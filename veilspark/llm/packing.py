@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import encoder
+from .textcore import give_back
 
 #: Windows of a batch, and ids per window that a batch leaves free.
 WINDOWS, SLACK = 64, 8
@@ -183,8 +184,10 @@ def _pack_task(path: str, end_id: int, capacity: int, digest: bool, cut: bool):
                 if rows:
                     yield batch_of()
         out(packer.flush())
+        docs.clear()
         if rows:
             yield batch_of()
+        give_back()
 
     return task
 

@@ -9,6 +9,7 @@ Runs are far shorter than the 1,024 units from which on such polynomials can van
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 
@@ -155,5 +156,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out[:n]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; an idle worker keeps it from its executor otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a C library that has it
+        return
+
+
 def columns(schema: pa.Schema, **arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(arrays[f.name], type=f.type) for f in schema], schema=schema)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import rans, scratch
 from .encoding import encoder
+from .textcore import give_back
 
 #: Ids after which a segment ends with its document.
 SEGMENT = 1 << 17
@@ -62,6 +63,7 @@ def _tokenize(path: str, end_id: int):
                         size = 0
         if ids:
             yield cut()
+        give_back()
 
     return task
 
