@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textcore import BASES, LOWER, Prefix, buffers, mix, spans, word_hashes, words
+from .textcore import BASES, LOWER, Prefix, buffers, mix, spans, trimmed, word_hashes, words
 
 GRAM = 5
 REGISTERS, BANDS, ROWS = 256, 64, 6
@@ -284,10 +284,10 @@ def _pairs_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent:
     told = pairs.join(side.select(F.col("nid").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("k1")), "a")
     told = told.join(side.select(F.col("nid").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("k2")), "b")
     told = told.filter(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-    likely = told.select("a", "b", "n1", "n2", "k1", "k2").mapInArrow(_estimate_task(percent / 100), "a long, b long")
+    likely = told.select("a", "b", "n1", "n2", "k1", "k2").mapInArrow(trimmed(_estimate_task(percent / 100)), "a long, b long")
     full = likely.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("t1")), "a")
     full = full.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("t2")), "b")
-    return full.select("a", "b", "t1", "t2").mapInArrow(_verify_task(percent), "a long, b long")
+    return full.select("a", "b", "t1", "t2").mapInArrow(trimmed(_verify_task(percent)), "a long, b long")
 
 
 def _apart(members: DataFrame, nodes: DataFrame, found: DataFrame, texts: DataFrame, percent: int, base: str) -> DataFrame:
@@ -316,7 +316,7 @@ def _apart(members: DataFrame, nodes: DataFrame, found: DataFrame, texts: DataFr
     groups = F.when(F.col("label") == F.col("main"), main).otherwise(F.concat(rest, among))
     rows = dealt.select("nid", "label", F.explode(groups).alias("g")).join(texts, "nid")
     rows = rows.repartition(scratch.partitions(spark), "g").sortWithinPartitions("g")
-    return rows.select("g", "nid", "label", "text").mapInArrow(_block_task(percent), "a long, b long")
+    return rows.select("g", "nid", "label", "text").mapInArrow(trimmed(_block_task(percent)), "a long, b long")
 
 
 def label(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -325,7 +325,7 @@ def label(docs: DataFrame, percent: int = 75) -> DataFrame:
     base = scratch.folder(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("dig"), text.cast("binary").alias("text"))
-    sketched = scratch.save(rows.mapInArrow(_sketch_task, SKETCH).withColumn("rid", F.monotonically_increasing_id()), f"{base}/sketches")
+    sketched = scratch.save(rows.mapInArrow(trimmed(_sketch_task), SKETCH).withColumn("rid", F.monotonically_increasing_id()), f"{base}/sketches")
 
     linkable = sketched.filter("n > 0 AND doc_id IS NOT NULL")
     classes = linkable.groupBy("c1", "c2", "n").agg(F.min(F.struct("doc_id", "dig", "rid")).alias("r"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textcore import BASES, CHUNK, SPACE, Prefix, buffers, byte_values, columns, mix, sliding_min, spans, word_hashes, words
+from .textcore import BASES, CHUNK, SPACE, Prefix, buffers, byte_values, columns, mix, sliding_min, spans, trimmed, word_hashes, words
 
 U64 = np.uint64
 KEY = ["doc_id", "dig"]
@@ -148,7 +148,7 @@ def fresh(keys: DataFrame, *names: str) -> DataFrame:
 def shared_anchors(docs: DataFrame, unit: str, k: int, length: int, base: str) -> DataFrame:
     """Anchors whose hash occurs at two places or more, as a written table."""
     spark = docs.sparkSession
-    found = scratch.save(docs.mapInArrow(_anchor_task(unit, k, length), ANCHOR), f"{base}/anchors")
+    found = scratch.save(docs.mapInArrow(trimmed(_anchor_task(unit, k, length)), ANCHOR), f"{base}/anchors")
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     out = scratch.save(found.join(fresh(twice, "h"), "h"), f"{base}/shared")
     del found, twice
@@ -260,12 +260,12 @@ def repeated_places(docs: DataFrame, shared: DataFrame, regions: DataFrame, unit
         return [*KEY, F.col(low).alias("s"), (F.col(high) + length).alias("e")]
 
     edges = of_mixed(regions, ["h"]).select(*PLACE)
-    blocks = scratch.save(with_places(docs, listed(edges, "lo", "hi", "at"), "inner").mapInArrow(_block_task(unit, length), PART), f"{base}/blocks")
+    blocks = scratch.save(with_places(docs, listed(edges, "lo", "hi", "at"), "inner").mapInArrow(trimmed(_block_task(unit, length)), PART), f"{base}/blocks")
     scratch.release(spark)
     core, whole = ["c1", "c2"], ["c1", "c2", "b1", "b2"]
     kinds = scratch.save(distinct_places(blocks, whole, [*KEY, "lo", "hi"]), f"{base}/kinds")
     edges = of_mixed(kinds, core).select(*KEY, "lo", "hi")
-    windows = scratch.save(with_places(docs, listed(edges, "lo", "hi"), "inner").mapInArrow(_window_task(unit, length), WINDOW), f"{base}/windows")
+    windows = scratch.save(with_places(docs, listed(edges, "lo", "hi"), "inner").mapInArrow(trimmed(_window_task(unit, length)), WINDOW), f"{base}/windows")
     scratch.release(spark)
     again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
     # each part is written and its source dropped, so the next one finds the disk free

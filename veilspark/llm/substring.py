@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from . import scratch
 from .repeats import PLACE, covered, distinct_places, keyed, listed, places_of, repeated_places, shared_anchors, with_places
-from .textcore import buffers, columns, words
+from .textcore import buffers, columns, trimmed, words
 
 RESULT = "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<start:long,end:long>>"
 
@@ -70,4 +70,4 @@ def remove_repeats(docs: DataFrame, length: int = 35, k: int = 8, digest: bool =
     regions = scratch.save(distinct_places(shared, ["h", "r1", "r2"], PLACE), f"{base}/regions")
     places = repeated_places(rows, shared, regions, "word", length, base)
     schema = RESULT.replace("kept binary", "kept_sha256 string") if digest else RESULT
-    return with_places(rows, listed(places, "s", "e"), "left").mapInArrow(_cut(digest), schema)
+    return with_places(rows, listed(places, "s", "e"), "left").mapInArrow(trimmed(_cut(digest)), schema)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .repeats import covered, keyed, listed, places_of, repeated_places, shared_anchors, with_places
-from .textcore import buffers, columns
+from .textcore import buffers, columns, trimmed
 
 FIELDS = ("h", "r1", "r2", "n", "doc_id", "dig", "lo", "hi", "at")
 RUN = "part int, run long, shared array<int>, rest array<binary>, " + ", ".join(f"{f} array<long>" for f in FIELDS)
@@ -222,9 +222,9 @@ def regions_by_merge(rows: DataFrame, shared: DataFrame, length: int) -> DataFra
     spark = rows.sparkSession
     parts = scratch.partitions(spark)
     splitters = _splitters(rows, shared, parts, length)
-    runs = with_places(rows, listed(shared, "h", "r1", "r2", "lo", "hi", "at"), "inner").mapInArrow(_run_task(splitters, length), RUN)
+    runs = with_places(rows, listed(shared, "h", "r1", "r2", "lo", "hi", "at"), "inner").mapInArrow(trimmed(_run_task(splitters, length)), RUN)
     dealt = runs.repartitionById(max(parts, len(splitters) + 1), F.col("part"))
-    return dealt.sortWithinPartitions("part").mapInArrow(_merge_task, REGION)
+    return dealt.sortWithinPartitions("part").mapInArrow(trimmed(_merge_task), REGION)
 
 
 def _cut(digest: bool):
@@ -271,4 +271,4 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 24, digest: bool
     places = repeated_places(rows, shared, regions, "byte", length, base)
     kept = "kept_sha256 string" if digest else "kept binary"
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}, spans array<struct<start:long,end:long>>"
-    return with_places(rows, listed(places, "s", "e"), "left").mapInArrow(_cut(digest), schema)
+    return with_places(rows, listed(places, "s", "e"), "left").mapInArrow(trimmed(_cut(digest)), schema)

@@ -165,5 +165,15 @@ def give_back() -> None:
         return
 
 
+def trimmed(task):
+    """A task of mapInArrow that gives its memory back at its end."""
+
+    def run(batches):
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def columns(schema: pa.Schema, **arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(arrays[f.name], type=f.type) for f in schema], schema=schema)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textcore import LOWER, Prefix, buffers, byte_values, mix, spans, words
+from .textcore import LOWER, Prefix, buffers, byte_values, mix, spans, give_back, trimmed, words
 
 BUCKETS = 1 << 18
 #: Labelled documents of each label that are learnt from at most.
@@ -145,7 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     if len(set(y.tolist())) < 2:
         return None
     share = {k: counts[k] / max(1, int((y == k).sum())) for k in (0, 1)}
-    return train(found["text"].tolist(), y, np.array([share[int(k)] for k in y]))
+    texts = found["text"].tolist()
+    del found
+    model = train(texts, y, np.array([share[int(k)] for k in y]))
+    del texts
+    give_back()
+    return model
 
 
 def _score_task(bucket_of: np.ndarray, weight: np.ndarray, bias: float):
@@ -178,7 +183,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         return rows.withColumns({"score": F.lit(0.0), "sentences": F.expr("cast(array() as array<struct<start:bigint,end:bigint,score:double>>)")})
     there = np.flatnonzero(model.weight)
     task = _score_task(there, model.weight[there], model.bias)
-    return rows.mapInArrow(task, "doc_id long, text binary, score double, sentences array<struct<start:long,end:long,score:double>>")
+    return rows.mapInArrow(trimmed(task), "doc_id long, text binary, score double, sentences array<struct<start:long,end:long,score:double>>")
 
 
 def reject(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
@@ -191,7 +196,7 @@ def reject(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFram
         name += "_"
     task = _score_columns(docs.columns.index("text"), _score_task(there, model.weight[there], model.bias), name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(task, schema).filter(F.col(name) < least).drop(name)
+    return docs.mapInArrow(trimmed(task), schema).filter(F.col(name) < least).drop(name)
 
 
 def _score_columns(at: int, scored, name: str):
