@@ -25,7 +25,7 @@ SPACE = f"([^{_WHITE}]) ([^{_WHITE}])"
 EDGE = r"([0-9A-Za-zÀ-ÖØ-öø-ɏ])([!-/:-@\[-`{-~])"
 MARK = "\x01"
 #: Distinct pieces that each of the two generations of a worker's memory holds.
-KEEP = 200_000
+KEEP = 600_000
 #: Characters of the texts that are encoded together, and words that the library gets in one string.
 TOGETHER, JOINED = 8 << 20, 200
 
@@ -47,6 +47,10 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drops the pieces known so far, so that an idle worker holds no memory for them."""
+        self.young, self.old = {}, {}
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         # the fast form keeps no offsets
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -185,6 +185,7 @@ def _pack_task(path: str, end_id: int, capacity: int, digest: bool, cut: bool):
                     yield batch_of()
         out(packer.flush())
         docs.clear()
+        enc.forget()
         if rows:
             yield batch_of()
         give_back()
