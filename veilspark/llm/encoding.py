@@ -101,13 +101,13 @@ class Encoder:
                 self.old, self.young = young, {}
         return found  # type: ignore[return-value]
 
-    def encode(self, column: pa.Array) -> list[bytes]:
+    def encode(self, column: pa.Array, together: int = TOGETHER) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text of a string column; null counts as empty."""
         out: list[bytes] = []
         size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, first = np.cumsum(size), 0
         while first < len(column):
-            last = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + TOGETHER, side="right"))
+            last = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + together, side="right"))
             last = max(first + 1, last)
             out += self._some(pc.fill_null(column.slice(first, last - first).cast(pa.large_string()), ""))
             first = last

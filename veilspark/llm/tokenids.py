@@ -26,6 +26,8 @@ from . import rans, scratch
 from .encoding import encoder
 from .textcore import give_back
 
+#: Characters that are encoded together: the more there are, the fewer distinct pieces to look up.
+TOGETHER = 16 << 20
 #: Ids after which a segment ends with its document.
 SEGMENT = 1 << 17
 TOKENS = "part int, seq long, start long, doc_ids array<long>, lengths array<long>, ids binary"
@@ -52,9 +54,9 @@ def _tokenize(path: str, end_id: int):
 
         size = 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                some = batch.slice(i, 4096)
-                for doc_id, own in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text")), strict=True):
+            for i in range(0, batch.num_rows, 8192):
+                some = batch.slice(i, 8192)
+                for doc_id, own in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text"), TOGETHER), strict=True):
                     ids.append(doc_id)
                     held.append(own + end)
                     size += len(own) // 4 + 1
