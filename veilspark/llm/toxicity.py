@@ -35,6 +35,8 @@ ROUNDS, RATE, RIDGE, LEAST, SCREEN = 150, 0.2, 1e-5, 5, 4.0
 #: Bytes of a word's beginnings.
 STEMS = (4, 5, 6)
 CHUNK = 1 << 20
+#: Bytes of texts whose features the driver makes at once.
+FIT_CHUNK = 1 << 18
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -81,10 +83,11 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     data = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
     raw, m = np.frombuffer(b"".join(data), np.uint8), len(data)
+    del data, texts  # the driver holds them once
 
     def parts():
         """Chunk by chunk, so that the driver never holds all features at once."""
-        for first, last in spans(offsets, CHUNK):
+        for first, last in spans(offsets, FIT_CHUNK):
             own = offsets[first : last + 1] - offsets[first]
             bucket, sentence, doc, _, _ = instances(raw[offsets[first] : offsets[last]], own)
             yield bucket, sentence, doc + first
@@ -145,10 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     if len(set(y.tolist())) < 2:
         return None
     share = {k: counts[k] / max(1, int((y == k).sum())) for k in (0, 1)}
-    texts = found["text"].tolist()
-    del found
-    model = train(texts, y, np.array([share[int(k)] for k in y]))
-    del texts
+    model = train(found.pop("text").tolist(), y, np.array([share[int(k)] for k in y]))
     give_back()
     return model
 
