@@ -33,7 +33,7 @@ TOGETHER, JOINED = 8 << 20, 200
 class Encoder:
     """Encodes columns of texts by a byte-level BPE file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,6 +44,7 @@ class Encoder:
         self.width = np.zeros(self.size, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token)
+        self.keep = KEEP if keep is None else keep
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -97,7 +98,7 @@ class Encoder:
             for where, ids in zip(kinds, fresh, strict=True):
                 for i, x in zip(where, ids, strict=True):
                     young[pieces[i]] = found[i] = x
-            if len(young) > KEEP:
+            if len(young) > self.keep:
                 self.old, self.young = young, {}
         return found  # type: ignore[return-value]
 
@@ -149,5 +150,5 @@ class Encoder:
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, keep: int | None = None) -> Encoder:
+    return Encoder(path, keep)

@@ -32,6 +32,8 @@ from .textcore import give_back
 
 #: Windows of a batch, and ids per window that a batch leaves free.
 WINDOWS, SLACK = 64, 8
+#: Characters that are encoded together, and pieces kept: packing follows other work, whose memory its executor still holds.
+TOGETHER, KEEP = 2 << 20, 200_000
 
 
 def differencing(sizes: list[int], m: int) -> list[list[int]]:
@@ -153,7 +155,7 @@ def _pack_task(path: str, end_id: int, capacity: int, digest: bool, cut: bool):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64() if digest else longs, pa.int64(), pa.int64(), pa.int64()]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, KEEP), np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
         packer = Packer(capacity, cut)
         docs: dict[int, tuple] = {}
@@ -173,9 +175,9 @@ def _pack_task(path: str, end_id: int, capacity: int, digest: bool, cut: bool):
             return made
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                some = batch.slice(i, 4096)
-                for doc_id, own in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text")), strict=True):
+            for i in range(0, batch.num_rows, 1024):
+                some = batch.slice(i, 1024)
+                for doc_id, own in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text"), TOGETHER), strict=True):
                     docs[count] = doc_id, own + end
                     out(packer.add(count, len(own) // 4 + 1))
                     count += 1
