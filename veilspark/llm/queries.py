@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, table
-from . import decontam, exact, licenses, neardup, negatives, packing, secretscan, substring, suffixes, tokenids, toxicity
+from . import decontam, exact, licenses, neardup, negatives, packing, runs, secretscan, substring, suffixes, tokenids, toxicity
 from .scratch import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=200, digest=True).drop("spans")
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find(runs.planted(table(spark, sf_dir, "documents"))))
+
+
+SQL["op11_periodic_runs"] = runs.SQL
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
