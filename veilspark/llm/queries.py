@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, table
-from . import decontam, exact, licenses, neardup, negatives, packing, runs, secretscan, substring, suffixes, tokenids, toxicity
+from . import decontam, exact, licenses, neardup, negatives, packing, privacy, runs, secretscan, substring, suffixes, tokenids, toxicity
 from .scratch import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,9 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_hard_negatives"] = negatives.SQL
+
+
+@query
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return privacy.digests(privacy.scan(docs, privacy.fit(docs)))
