@@ -9,6 +9,7 @@ from veilspark.functions.bloom import indices, salted_hash
 from veilspark.operators import attack as A
 from veilspark.operators import bernoulli as B
 from veilspark.operators import corpus as C
+from veilspark.operators import guesses as E
 from veilspark.operators import decoys as G
 from veilspark.operators import markov as M
 from veilspark.operators import pcfg as P
@@ -26,10 +27,10 @@ def test_letter_ranks_golden(spark):
     assert got == {(None, "a"): (4, 2), (None, "b"): (2, 5), (None, "c"): (1, 8), ("a", "b"): (2, 3), ("a", "a"): (1, 6), ("a", "c"): (1, 6)}
     hist = {r["total_rank"]: r["n"] for r in M.rank_histogram(M.word_ranks(c, M.letter_ranks(c))).collect()}
     assert hist == {5: 2, 14: 1}
-    sizes = dict(M.keyspace(M.letter_ranks(c), longest=2, most=20))
+    sizes = {r['rank']: int(r['size']) for r in E.rank_sizes(M.letter_ranks(c), longest=2, most=20).collect()}
     # a 2, b 5, ab 5, aa and ac 8, c 8
     assert {k: v for k, v in sizes.items() if v} == {2: 1, 5: 2, 8: 3}
-    assert M.keyspace(M.letter_ranks(c), longest=2, most=20, stop=2)[-1] == (5, 2)
+    assert max((r['rank'], int(r['size'])) for r in E.rank_sizes(M.letter_ranks(c), longest=2, most=20, stop=2).collect()) == (5, 2)
     rolled = M.rollup_ranks(M.rank_histogram(M.word_ranks(c, M.letter_ranks(c))), spark.createDataFrame(list(sizes.items()), "rank long, size long"))
     assert [(r["rank"], r["n"], r["size"], round(r["p"], 9)) for r in rolled.orderBy("rank").collect()] == [(5, 2, 3, round(2 / 9, 9)), (14, 1, 3, round(1 / 9, 9))]
 

@@ -8,6 +8,7 @@ from ..functions import pii
 from ..functions import strings as S
 from ..functions.segment import segment, structure
 from ..operators import decoys as G
+from ..operators import guesses as E
 from ..operators import markov as M
 from ..operators import pcfg as P
 from ..session import cut
@@ -84,7 +85,7 @@ def rank_rollup(spark, d):
     """Observed ranks with the number of words up to 16 letters that share them."""
     c = domain.passwords(spark, d)
     ranks = cut(M.letter_ranks(c))
-    spaces = spark.createDataFrame(M.keyspace(ranks), "rank long, size long")
+    spaces = cut(E.rank_sizes(ranks)).withColumn("size", F.col("size").cast("long"))
     return M.rollup_ranks(M.rank_histogram(M.word_ranks(c, ranks)), spaces).withColumn("p", F.round("p", 15))
 
 
