@@ -8,6 +8,7 @@ from ..functions import pii
 from ..operators import attack as A
 from ..operators import corpus as C
 from ..operators import decoys as G
+from ..operators import embedding as V
 from ..operators import markov as M
 from ..operators import pcfg as P
 from ..operators import report as R
@@ -220,10 +221,18 @@ def targeted_pcfg_decoys(spark, d):
 
 
 def _neighbours(spark, d):
-    """user_id, neighbour, similarity: the user's list words by edit distance to the password."""
+    """user_id, neighbour, similarity: the nearest words of the whole training vocabulary by learned vectors."""
     u = domain.users(spark, d).select("user_id", "password")
-    near = domain.sweetwords(spark, d).join(u, "user_id").filter("word <> password")
-    return u, near.select("user_id", F.col("word").alias("neighbour"), (1 / (1 + F.levenshtein("word", "password"))).alias("similarity"))
+    known = domain.passwords(spark, d).select(F.col("password").alias("word"))
+    near = cut(V.neighbours(u.select(F.col("password").alias("word")), known, 8))
+    return u, u.join(near, F.col("password") == F.col("query")).select("user_id", F.col("word").alias("neighbour"), "similarity")
+
+
+@query()
+def vocabulary_neighbours(spark, d):
+    """Five nearest words of the vocabulary for each user's password."""
+    u = domain.users(spark, d).select(F.col("password").alias("word"))
+    return V.neighbours(u, domain.passwords(spark, d).select(F.col("password").alias("word")), 5)
 
 
 @query()
