@@ -163,14 +163,20 @@ def sugar_store(spark, d):
     return logins.sugar_store(e)
 
 
-@query()
+REMARKED = f"""{ACCOUNTS}, {ATTEMPTS},
+  tried AS (SELECT event_id AS step, t.user_id, word, salt, b, {_indices('salt', 'word')} AS ix FROM attempts t LEFT JOIN acc USING (user_id)),
+  known AS MATERIALIZED (SELECT step, user_id, ix, word IS NOT NULL AND list_has_all(b, ix) AS inside,
+    CASE WHEN {_chance("user_id", "step", "'renew'")} < 0.065 THEN list_filter(b, lambda i: list_contains(ix, i) OR {_chance("user_id", "step", "i")} < 0.95) END AS fresh, row_number() OVER (PARTITION BY user_id ORDER BY step) AS n FROM tried WHERE salt IS NOT NULL),
+  walk AS (SELECT user_id, 0::BIGINT AS n, list_filter(b, lambda i: list_contains(tr, i) OR {_chance("user_id", "'m'", "i")} < 0.95) AS m, NULL::BIGINT AS step, NULL::VARCHAR AS outcome FROM acc
+    UNION ALL SELECT w.user_id, l.n, CASE WHEN inside AND list_has_all(w.m, ix) AND fresh IS NOT NULL THEN fresh ELSE w.m END, l.step, CASE WHEN NOT inside THEN 'failure' WHEN list_has_all(w.m, ix) THEN 'success' ELSE 'alarm' END
+    FROM walk w JOIN known l ON l.user_id = w.user_id AND l.n = w.n + 1)"""
+
+
+@query(f"WITH RECURSIVE {REMARKED} SELECT user_id, step, outcome, m AS marks FROM walk WHERE step IS NOT NULL UNION ALL SELECT user_id, step, 'failure', NULL FROM tried WHERE salt IS NULL")
 def remarked_logins(spark, d):
-    """Logins that renew marks, in order of time."""
-    acc = B.register(domain.users(spark, d), P_H, 67, p_mark=0.95).select(F.col("user_id").alias("uid"), "salt", "true", "b", "m")
-    a = _attempts(spark, d)
-    rows = a.join(acc, a["user_id"] == acc["uid"]).filter("word IS NOT NULL")
-    rows = rows.withColumn("at", indices(salted_hash(F.encode("salt", "utf-8"), F.col("word")))).select("user_id", F.col("event_id").alias("step"), "at", "true", "b", "m")
-    return logins.remarked_logins(rows, 0.065, 67)
+    """Logins that renew marks, in order of time, with the marks after each."""
+    acc = B.register(domain.users(spark, d), P_H, 67, p_mark=0.95)
+    return logins.remarked_logins(_attempts(spark, d).withColumnRenamed("event_id", "step"), acc, 0.065, 67)
 
 
 @query("SELECT p_h, round(1 - pow(1 - p_h, 1000), 9) AS fdp FROM (SELECT unnest([0.05, 0.01, 0.001, 0.0001, 0.00001]::DOUBLE[]) AS p_h)")
