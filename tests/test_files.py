@@ -1,5 +1,7 @@
 """Readers of the file layouts."""
 
+import pytest
+
 from veilspark.operators import freqdb
 from veilspark.sources import files
 
@@ -53,3 +55,60 @@ def test_frequencies_and_results(spark, tmp_path):
     assert got == [(0.25, [[0.0, 0.0], [1.0, 2.0]]), (0.5, [[0.0, 0.0], [1.0, 1.0]])]
     s = write(tmp_path / "s.txt", "first\n[1, 2, 3]\nsecond\n4 5\n")
     assert sorted((r["attacker"], r["x"], r["y"]) for r in files.legacy_statistics(spark, s).collect()) == [("first", 0, 1.0), ("first", 1, 2.0), ("first", 2, 3.0), ("second", 0, 4.0), ("second", 1, 5.0)]
+
+
+def test_strict_counts(spark, tmp_path):
+    p = write(tmp_path / "c.txt", "a:3\n\nb: 4 \na:-2\n")
+    assert {r["password"]: r["cnt"] for r in files.counts(spark, p, strict=True).collect()} == {"a": 3, "b": 4}
+    with pytest.raises(Exception, match="no count in line"):
+        files.counts(spark, write(tmp_path / "d.txt", "a:3\nbad\n"), strict=True).collect()
+
+
+def test_lists_of_any_length(spark, tmp_path):
+    p = write(tmp_path / "w.csv", "real," + ",".join(f"d{i}" for i in range(12_000)) + ",nan,real\n")
+    assert files.wide_lists(spark, p, False).first()["decoys"] == [f"d{i}" for i in range(12_000)]
+
+
+def test_the_whole_campaign_comes_first(spark, tmp_path):
+    write(tmp_path / "a1.json", '{"success_number": {"fail": [1], "succ": [2]}, "attack_stats": {"fail": [7], "succ": [8]}}')
+    write(tmp_path / "a2.json", '{"attack_stats": {"fail": [7], "succ": [8]}}')
+    assert sorted(r["curve"] for r in files.read_results(spark, str(tmp_path / "a*.json")).collect()) == [[[1.0, 2.0]], [[7.0, 8.0]]]
+
+
+def test_train_and_test(spark, tmp_path):
+    plain, csv = write(tmp_path / "p.txt", "one\n\ntwo\n"), write(tmp_path / "t.csv", "password,first_name,last_name,email,birthday,username\npw,a,b,c,01021990,u\n")
+    test, train = files.train_and_test(spark, csv, targeted=True)
+    assert test.first()["birthday"] == "01021990" and train is None
+    test, train = files.train_and_test(spark, plain, plain)
+    assert test.count() == train.count() == 2
+
+
+def test_ruleset(spark, small, tmp_path):
+    from veilspark.operators import pcfg as P
+    from veilspark.plans import domain
+
+    probs = P.probabilities(P.items(P.parsed(domain.passwords(spark, small))), 0.6).select("type", "len", "item", "prob")
+    path = str(tmp_path / "rules")
+    files.write_ruleset(probs, path)
+    files.write_ruleset(probs, path)  # again, over the first
+    own = sorted(map(tuple, probs.collect()))
+    assert sorted(map(tuple, files.read_ruleset(spark, path).collect())) == own
+    assert (tmp_path / "rules/Grammar/Grammar.txt").read_text().splitlines()[0].split("\t")[1] == str(max(r[3] for r in own if r[0] == "S"))
+    groups = files.read_ruleset(spark, path, grouped=True).collect()
+    assert sorted((r["type"], r["len"], v, r["prob"]) for r in groups for v in r["values"]) == own
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert files.read_ruleset(spark, path).count() == len(own)
+        digits = sorted((tmp_path / "rules/Digits").glob("*.txt"))[0]
+        lines = digits.read_text().splitlines()
+        (tmp_path / "rules/Digits/.x").unlink(missing_ok=True)
+        digits.write_text("\n".join([*lines, "x\t0.9999"]) + "\n")
+        for x in (tmp_path / "rules/Digits").glob(".*.crc"):
+            x.unlink()
+        with pytest.raises(ValueError, match="don't fall"):
+            files.read_ruleset(spark, path)
+        digits.write_text("no probability\n")
+        with pytest.raises(Exception, match="no value and probability"):
+            files.read_ruleset(spark, path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -158,10 +158,10 @@ def profile_decoys(spark, d):
 
     u = domain.users(spark, d)
     p = profile_tokens(F.col("first_name"), F.col("last_name"), F.col("email"), F.col("birthday"))
-    words = F.array(*[F.lit(w) for w in G.COMMON[:8]])
     held = u.select("user_id", "password", p.alias("p"))
     slots = held.select("user_id", "p", F.posexplode(G.tokens(F.col("password"))).alias("slot", "t"))
-    pool = F.when(F.col("t.kind") == "A", F.slice(F.array_distinct(F.concat("p.alpha", words)), 1, 8)).when(F.col("t.kind") == "D", F.array_union("p.digit", F.transform(F.sequence(F.lit(10), F.lit(99), F.lit(13)), lambda x: x.cast("string")))).otherwise(F.col("p.special"))
+    letters, digits = G.padded_letters(F.col("p.alpha"), 67, F.col("user_id"), F.lit("a")), G.padded_digits(F.col("p.digit"), 67, F.col("user_id"), F.lit("d"))
+    pool = F.when(F.col("t.kind") == "A", letters).when(F.col("t.kind") == "D", digits).otherwise(F.col("p.special"))
     pools = slots.select("user_id", "slot", pool.alias("pool"))
     own = u.select("user_id", "password")
     patterns = own.select("user_id", F.array(pattern(F.col("password"))).alias("patterns"))

@@ -184,11 +184,9 @@ def _tagged_users(spark, d):
 
 
 def _coded(spark, d):
-    """pid, coded: training passwords with injected codes, and the users' own ones with codes for their tags."""
-    u = _tagged_users(spark, d)
-    own = u.select(F.col("user_id").alias("pid"), F.array_join(pii.coded(pii.tagged(F.col("password"), F.col("tags"))), "").alias("coded"))
-    made = domain.passwords(spark, d).select((F.col("pid") + (1 << 40)).alias("pid"), pii.injected(F.col("password"), 16, "pid").alias("coded"))
-    return u, cut(own.unionByName(made))
+    """The tagged users; pid, coded: training passwords with injected codes. The protected users' own passwords teach the models nothing."""
+    made = domain.passwords(spark, d).select("pid", pii.injected(F.col("password"), 16, "pid").alias("coded"))
+    return _tagged_users(spark, d), cut(made)
 
 
 def _own(u, make):
