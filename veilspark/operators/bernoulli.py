@@ -146,17 +146,15 @@ def success_vs_alarm(attacked: DataFrame) -> DataFrame:
     return running(ordered).select("n", F.col("successes"), F.col("failures").alias("alarms"))
 
 
-def false_detection(spark, attempts: int, p_h: list[float], accounts: int = 1) -> DataFrame:
-    """p_h, fdp: chance that blind guessing raises an alarm."""
-    rows = spark.createDataFrame([(x,) for x in p_h], "p_h double")
-    return rows.withColumn("fdp", 1 - F.pow(1 - F.col("p_h"), F.lit(attempts * accounts)))
+def false_detection(attempts: DataFrame, p_h: list[float]) -> DataFrame:
+    """attempts (attempts: how many guesses) with p_h and fdp, the chance that so many blind guesses raise an alarm, for each p_h."""
+    return attempts.withColumn("p_h", F.explode(F.array(*map(F.lit, p_h)))).withColumn("fdp", 1 - F.pow(1 - F.col("p_h"), F.col("attempts")))
 
 
-def largest_safe(spark, attempts: int, limit: float = 0.1, steps: int = 12) -> DataFrame:
-    """The largest power of ten p_h whose chances of a false alarm for one account and for all stay within limit."""
-    rows = spark.range(1, steps + 1).select((F.pow(F.lit(10.0), -F.col("id"))).alias("p_h"))
-    rows = rows.withColumn("fdp", 1 - F.pow(1 - F.col("p_h"), F.lit(attempts)))
-    return rows.filter(F.col("fdp") <= limit).agg(F.max("p_h").alias("p_h"))
+def largest_safe(attempts: DataFrame, limit: float = 0.1, steps: int = 12) -> DataFrame:
+    """attempts with p_h: the largest power of ten whose chance of a false alarm stays within limit; null if none of `steps` does."""
+    powers = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.pow(F.lit(10.0), -i))
+    return attempts.withColumn("p_h", F.array_max(F.filter(powers, lambda p: 1 - F.pow(1 - p, F.col("attempts")) <= limit)))
 
 
 __all__ = ["register", "login", "best_candidates", "breach", "outcome_counts", "detection_by_n", "seen_marks", "watched_breach", "watched_detection", "success_vs_alarm", "false_detection", "largest_safe", "target_size"]

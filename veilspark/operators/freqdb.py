@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 from ..functions.strings import is_ascii, pattern, shape, tokens
 
 SMALL = 64  # buckets of so many tokens are also held as an array
@@ -148,3 +150,49 @@ def frozen_candidates(base: DataFrame, registered: DataFrame) -> DataFrame:
     return hit.join(mine, ["reg", "type", "candidate"], "left_anti").unionByName(
         own.alias("a").join(own.alias("b"), (F.col("a.reg") == F.col("b.reg")) & (F.col("a.type") == F.col("b.type")) & (F.col("a.freq") == F.col("b.freq")) & (F.col("a.token") != F.col("b.token"))).select("a.reg", "a.type", F.col("b.token").alias("candidate"), "a.token", "a.freq")
     ).select("reg", "type", "token", "candidate")
+
+
+def prefix_sums(rows: DataFrame, group: list[str], order: list[str], value: str, parts: int | None = None) -> DataFrame:
+    """rows with `upto`: the sum of value over the rows of the group up to this one, in the given order (unique within a group).
+
+    Rows are dealt by ranges of group and order, so one group may lie in many tasks; each sums up its own rows, and what the
+    ranges before hold of a group is added, of which there is a row per range.
+    """
+    spark = rows.sparkSession
+    dealt = cut(rows.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *group, *order).withColumn("part", F.spark_partition_id()))
+    local = dealt.withColumn("own", F.sum(value).over(W.partitionBy("part", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    totals = dealt.groupBy("part", *group).agg(F.sum(value).alias("total"))
+    before = F.coalesce(F.sum("total").over(W.partitionBy(*group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return local.join(totals.withColumn("before", before).drop("total"), ["part", *group]).withColumn("upto", F.col("own") + F.col("before")).drop("part", "own", "before")
+
+
+def evolving_counts(base: DataFrame, registered: DataFrame) -> DataFrame:
+    """reg, type, n, n_candidates: how many rows, and how many distinct candidates, `evolving_candidates` has for each, without making them.
+
+    A sweep over the spans of a (type, freq): a token's span adds one where it begins and takes one where it ends; the sum up to a
+    registration is the number of tokens of that frequency then. Of several own tokens of one frequency each is the others' candidate.
+    """
+    spans = history(base, registered)
+    begun = spans.select("type", "freq", F.coalesce("from_reg", F.lit(-1)).alias("at"), F.lit(1).cast("long").alias("d"))
+    ended = spans.filter("to_reg IS NOT NULL").select("type", "freq", F.col("to_reg").alias("at"), F.lit(-1).cast("long").alias("d"))
+    steps = begun.unionByName(ended).groupBy("type", "freq", "at").agg(F.sum("d").alias("d"))
+    live = prefix_sums(steps, ["type", "freq"], ["at"], "d").select("type", "freq", F.col("at").alias("reg"), F.col("upto").alias("live"))
+    # at each registration of a token its frequency's sum has a step
+    own = spans.filter("from_reg IS NOT NULL").groupBy("type", "freq", F.col("from_reg").alias("reg")).agg(F.count(F.lit(1)).alias("m"))
+    met = own.join(live, ["type", "freq", "reg"])
+    others = F.col("m") * (F.col("live") - 1)
+    found = met.groupBy("reg", "type").agg(F.sum(others).alias("n"), F.sum(F.when(F.col("m") > 1, F.col("live")).otherwise(F.col("live") - 1)).alias("n_candidates"))
+    return found.filter("n > 0")
+
+
+def frozen_counts(base: DataFrame, registered: DataFrame) -> DataFrame:
+    """As `evolving_counts` for `frozen_candidates`: the base's tokens of a frequency, less those that the own password moves away, and its others."""
+    own = occurrences(registered).groupBy("type", "token", "reg").agg(F.count(F.lit(1)).alias("k"))
+    own = cut(own.join(base, ["type", "token"], "left").select("type", "reg", F.col("freq").alias("was"), (F.coalesce("freq", F.lit(0)) + F.col("k")).alias("freq")))
+    there = base.groupBy("type", "freq").agg(F.count(F.lit(1)).alias("there"))
+    moved = own.filter("was IS NOT NULL").groupBy("type", "reg", F.col("was").alias("freq")).agg(F.count(F.lit(1)).alias("moved"))
+    asked = own.groupBy("type", "reg", "freq").agg(F.count(F.lit(1)).alias("m"))
+    met = asked.join(there, ["type", "freq"], "left").join(moved, ["type", "reg", "freq"], "left").fillna(0, ["there", "moved"])
+    left = F.col("there") - F.col("moved")
+    found = met.groupBy("reg", "type").agg(F.sum(F.col("m") * (left + F.col("m") - 1)).alias("n"), F.sum(left + F.when(F.col("m") > 1, F.col("m")).otherwise(0)).alias("n_candidates"))
+    return found.filter("n > 0")

@@ -84,6 +84,8 @@ def completeness(lists: DataFrame, least: int = 19) -> DataFrame:
 USER_STUDY = (0.063636364, 0.121212121, 0.163636364, 0.184848485, 0.239393939)
 
 
-def user_study(spark) -> DataFrame:
-    """t, share: the published curve of a study with people."""
-    return spark.createDataFrame(list(enumerate(USER_STUDY, 1)), "t int, share double")
+def against_study(measured: DataFrame) -> DataFrame:
+    """t, study, share, gap: a measured curve (t, share) beside the published one of a study with people, where both have t."""
+    study = F.get(F.array(*map(F.lit, USER_STUDY)), F.col("t") - 1)
+    rows = measured.filter((F.col("t") >= 1) & (F.col("t") <= len(USER_STUDY))).withColumn("study", study)
+    return rows.select("t", "study", F.round("share", 9).alias("share"), F.round(F.col("share") - F.col("study"), 9).alias("gap"))

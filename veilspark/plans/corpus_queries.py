@@ -163,8 +163,8 @@ def evolving_freq_history(spark, d):
       AND a.from_reg IS NOT NULL AND coalesce(b.from_reg, -1) <= a.from_reg AND (b.to_reg IS NULL OR a.from_reg < b.to_reg)) SELECT reg, type, count(*) AS n, count(DISTINCT candidate) AS n_candidates FROM hit GROUP BY ALL"""
 )
 def evolving_candidates(spark, d):
-    got = D.evolving_candidates(D.token_counts(domain.base_corpus(spark, d)), domain.registrations(spark, d))
-    return got.groupBy("reg", "type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("candidate").alias("n_candidates"))
+    """Candidates of each registration by type, counted by a sweep."""
+    return D.evolving_counts(D.token_counts(domain.base_corpus(spark, d)), domain.registrations(spark, d))
 
 
 @query(
@@ -174,8 +174,8 @@ def evolving_candidates(spark, d):
     SELECT reg, type, count(*) AS n, count(DISTINCT candidate) AS n_candidates FROM hit GROUP BY ALL"""
 )
 def frozen_candidates(spark, d):
-    got = D.frozen_candidates(D.token_counts(domain.base_corpus(spark, d)), domain.registrations(spark, d))
-    return got.groupBy("reg", "type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("candidate").alias("n_candidates"))
+    """Candidates of each registration by type, counted by a sweep."""
+    return D.frozen_counts(D.token_counts(domain.base_corpus(spark, d)), domain.registrations(spark, d))
 
 
 PAIRS = f"{USERS}, pairs AS (SELECT a.user_id, a.password AS real, b.password AS decoy FROM users a JOIN users b ON a.birthday[5:8] = b.birthday[5:8] AND a.first_name = b.first_name AND a.user_id <> b.user_id)"

@@ -156,26 +156,40 @@ _MADE = [_put("B"), _put("U"), _put("N"), _put("E"), _pick("U", "a"), f"{_pick('
 _UPTO = [sum(list(pii.CASES.values())[: i + 1]) for i in range(len(pii.CASES))]
 
 
-@query(
-    f"WITH {PASSWORDS} SELECT pid, CASE "
+INJECTED = (
+    f"{PASSWORDS}, injected AS (SELECT pid, CASE "
     + " ".join(f"WHEN u < {n} THEN {made}" for n, made in zip(_UPTO, _MADE, strict=True))
-    + f" ELSE password END AS coded FROM (SELECT *, {u32(16, 'pid', repr('case'))} % 100000 AS u, ({u32(16, 'pid', repr('at'))} % length(password) + 1)::BIGINT AS spot FROM passwords)"
+    + f" ELSE password END AS coded FROM (SELECT *, {u32(16, 'pid', repr('case'))} % 100000 AS u, ({u32(16, 'pid', repr('at'))} % length(password) + 1)::BIGINT AS spot FROM passwords))"
 )
+
+
+@query(f"WITH {INJECTED} SELECT pid, coded FROM injected")
 def injected_passwords(spark, d):
     """Passwords with codes of made-up personal data, by weighted case."""
     return domain.passwords(spark, d).select("pid", pii.injected(F.col("password"), 16, "pid").alias("coded"))
 
 
-@query("SELECT tag, code, ord(code)::INTEGER AS number FROM (SELECT unnest([" + ", ".join(f"{{'tag': '{t}', 'code': chr({ord(c)})}}" for t, c in pii.CODES.items()) + "], recursive := true))")
+TAG_ROWS = ", ".join(f"('{t}', chr({ord(c)}))" for t, c in pii.CODES.items())
+
+
+@query(f"WITH {INJECTED}, uses AS (SELECT c AS code, count(*) AS n FROM (SELECT unnest(string_split(coded, '')) AS c FROM injected) GROUP BY 1) SELECT tag, code, ord(code)::INTEGER AS number, coalesce(n, 0)::BIGINT AS n FROM (VALUES {TAG_ROWS}) t(tag, code) LEFT JOIN uses USING (code)")
 def tag_codes(spark, d):
-    """The control character of each tag."""
+    """The control character of each tag and how often the coded passwords hold it."""
+    made = domain.passwords(spark, d).select(pii.injected(F.col("password"), 16, "pid").alias("coded"))
+    uses = made.select(F.explode(F.split("coded", "")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     tags = spark.createDataFrame([(t,) for t in pii.CODES], "tag string")
-    return tags.withColumn("code", pii.coded(F.array(F.concat(F.lit("<"), "tag", F.lit(">"))))[0]).withColumn("number", F.ascii("code"))
+    known = tags.withColumn("code", pii.coded(F.array(F.concat(F.lit("<"), "tag", F.lit(">"))))[0]).withColumn("number", F.ascii("code"))
+    return known.join(uses, "code", "left").select("tag", "code", "number", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+STUDY_ROWS = ", ".join(f"({t}, {x})" for t, x in enumerate(R.USER_STUDY, 1))
 
 
-@query("SELECT t::INTEGER AS t, share::DOUBLE AS share FROM (VALUES " + ", ".join(f"({t}, {x})" for t, x in enumerate(R.USER_STUDY, 1)) + ") v(t, share)")
+@query(f"WITH {RANKS} SELECT t::INTEGER AS t, x::DOUBLE AS study, round((SELECT count(*) FROM ranks WHERE rank <= t) / (SELECT count(*) FROM ranks)::DOUBLE, 9) AS share, round((SELECT count(*) FROM ranks WHERE rank <= t) / (SELECT count(*) FROM ranks)::DOUBLE - x, 9) AS gap FROM (VALUES {STUDY_ROWS}) v(t, x)")
 def user_study_curve(spark, d):
-    return R.user_study(spark)
+    """The share of users found within t guesses beside that of the published study with people."""
+    measured = A.found_within(A.real_rank(weights(spark, d)), domain.K)
+    return R.against_study(measured)
 
 
 def _tagged_users(spark, d):

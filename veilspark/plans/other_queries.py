@@ -179,14 +179,27 @@ def remarked_logins(spark, d):
     return logins.remarked_logins(_attempts(spark, d).withColumnRenamed("event_id", "step"), acc, 0.065, 67)
 
 
-@query("SELECT p_h, round(1 - pow(1 - p_h, 1000), 9) AS fdp FROM (SELECT unnest([0.05, 0.01, 0.001, 0.0001, 0.00001]::DOUBLE[]) AS p_h)")
+BLIND = [0.05, 0.01, 0.001, 0.0001, 0.00001]
+FAILED = "failed AS (SELECT n AS attempts, count(*) AS users FROM (SELECT user_id, count(*) AS n FROM logins WHERE outcome <> 'success' AND user_id >= 0 GROUP BY 1) GROUP BY 1)"
+
+
+def _failed(spark, d):
+    """attempts, users: how many users have so many logins without success."""
+    tried = logins.alarms(_attempts(spark, d), B.register(domain.users(spark, d), P_H, 67)).filter("outcome <> 'success' AND user_id >= 0")
+    per = tried.groupBy("user_id").agg(F.count(F.lit(1)).alias("attempts"))
+    return per.groupBy("attempts").agg(F.count(F.lit(1)).alias("users"))
+
+
+@query(f"WITH {LOGIN}, {FAILED} SELECT attempts, users, p_h, round(1 - pow(1 - p_h, attempts), 9) AS fdp FROM failed, (SELECT unnest({BLIND}::DOUBLE[]) AS p_h)")
 def fdp_table(spark, d):
-    return B.false_detection(spark, 1000, [0.05, 0.01, 0.001, 0.0001, 0.00001]).withColumn("fdp", F.round("fdp", 9))
+    """Chance of a false alarm if a user's failed logins were blind guesses, by their number."""
+    return B.false_detection(_failed(spark, d), BLIND).withColumn("fdp", F.round("fdp", 9))
 
 
-@query("SELECT max(p_h) AS p_h FROM (SELECT pow(10.0, -i) AS p_h FROM range(1, 13) r(i)) WHERE 1 - pow(1 - p_h, 1000) <= 0.1")
+@query(f"WITH {LOGIN}, {FAILED} SELECT attempts, users, (SELECT max(p) FROM (SELECT pow(10.0, -i) AS p FROM range(1, 13) r(i)) WHERE 1 - pow(1 - p, attempts) <= 0.1) AS p_h FROM failed")
 def fdp_bound(spark, d):
-    return B.largest_safe(spark, 1000)
+    """The largest safe setting by the number of failed logins."""
+    return B.largest_safe(_failed(spark, d))
 
 
 @query(f"WITH {ACCOUNTS} SELECT avg(list_has_all(b, {_indices('salt', 'wrong')})::INTEGER) AS observed, {P_H}::DOUBLE AS configured FROM (SELECT *, 'x' || {u32(13, 'user_id')} AS wrong FROM acc)")
