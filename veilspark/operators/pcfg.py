@@ -11,6 +11,8 @@ from ..functions.pii import CODES
 from ..functions.rng import uniform
 from ..functions.segment import segment, structure
 from ..functions.strings import apply_mask, cap_mask, training_valid
+from ..session import cut
+from .freqdb import prefix_sums
 
 
 def parsed(corpus: DataFrame, word: str = "password") -> DataFrame:
@@ -90,21 +92,24 @@ def score(words: DataFrame, probs: DataFrame, word: str = "password") -> DataFra
 def sample(users: DataFrame, probs: DataFrame, per_user: int | range, seed: int) -> DataFrame:
     """user_id, draw, word: a structure by its probability, then a terminal and a mask for each slot.
 
-    Cumulative intervals are joined on (type, len) with a bucket of the unit interval, so a draw meets
-    the few items of its bucket.
+    The unit interval of a (type, len) is cut into as many cells as it has items; an item is listed in every cell that its interval
+    meets, and a draw looks into its own one, so it meets two items or so whatever their number.
     """
-    buckets = 256
     draws = per_user if isinstance(per_user, range) else range(per_user)
-    w = W.partitionBy("type", "len").orderBy(F.desc("prob"), "item").rowsBetween(W.unboundedPreceding, 0)
-    mass = F.sum("prob").over(W.partitionBy("type", "len"))
-    cdf = probs.filter("item <> 'M' OR type <> 'S'").withColumn("high", F.sum("prob").over(w) / mass).withColumn("low", F.greatest(F.col("high") - F.col("prob") / mass, F.lit(0.0)))
-    cdf = cdf.withColumn("b", F.explode(F.sequence(F.floor(F.col("low") * buckets), F.least(F.floor(F.col("high") * buckets), F.lit(buckets - 1).cast("long")))))
-    cdf = cdf.select(F.col("type").alias("t"), F.col("len").alias("l"), "b", "low", "high", F.col("item").alias("drawn"))
+    known = probs.filter("(item <> 'M' OR type <> 'S') AND prob > 0").select("type", "len", "item", "prob", (-F.col("prob")).alias("key"))
+    per = known.groupBy("type", "len").agg(F.sum("prob").alias("mass"), F.count(F.lit(1)).alias("cells"))
+    cdf = prefix_sums(known, ["type", "len"], ["key", "item"], "prob").join(F.broadcast(per), ["type", "len"])  # types times lengths
+    high = F.col("upto") / F.col("mass")
+    cdf = cdf.withColumns({"low": F.greatest(high - F.col("prob") / F.col("mass"), F.lit(0.0)), "high": high})
+    cell = lambda x: F.least(F.floor(x * F.col("cells")), F.col("cells") - 1)
+    cdf = cdf.withColumn("b", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    cdf = cut(cdf.select(F.col("type").alias("t"), F.col("len").alias("l"), "b", "low", "high", F.col("item").alias("drawn")))
+    sizes = cut(per.select(F.col("type").alias("_t"), F.col("len").alias("_l"), "cells"))
 
     def draw(rows: DataFrame, t, n, u, name: str) -> DataFrame:
-        asked = rows.withColumns({"_t": t, "_l": n, "_u": F.least(u, F.lit(0.999999999))}).withColumn("_b", F.floor(F.col("_u") * buckets))
+        asked = rows.withColumns({"_t": t, "_l": n, "_u": F.least(u, F.lit(0.999999999))}).join(F.broadcast(sizes), ["_t", "_l"]).withColumn("_b", cell(F.col("_u")))
         met = asked.join(cdf, (F.col("_t") == F.col("t")) & (F.col("_l") == F.col("l")) & (F.col("_b") == F.col("b")) & (F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high")))
-        return met.withColumn(name, F.col("drawn")).drop("_t", "_l", "_u", "_b", "t", "l", "b", "low", "high", "drawn")
+        return met.withColumn(name, F.col("drawn")).drop("_t", "_l", "_u", "_b", "cells", "t", "l", "b", "low", "high", "drawn")
 
     rows = users.select("user_id").withColumn("draw", F.explode(F.sequence(F.lit(draws.start), F.lit(draws.stop - 1))))
     u = lambda *k: uniform(seed, F.col("user_id"), F.col("draw"), *k)

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rng import draw32
+from ..operators.freqdb import prefix_sums
 from ..session import table
 
 SEED, K, BLOCKS = 67, 20, 64
@@ -53,12 +54,14 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweetwords(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """user_id, idx, word, is_real: k words of the user's hash block; hash chooses the words, their order and the real one."""
-    v = word_counts(spark, sf_dir).filter("cnt >= 2").select(F.col("password").alias("word"), (draw32(5, "password") % BLOCKS).alias("g"))
-    block = v.groupBy("g").agg(F.array_sort(F.collect_list("word")).alias("words"))
-    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (draw32(6, "c_custkey") % BLOCKS).alias("g")).join(block, "g")
-    # k places of the block: a hash start and steps of one, so they differ
-    at = lambda i: F.get("words", ((draw32(7, F.col("user_id")) + i) % F.size("words")).cast("int"))
-    picked = own.select("user_id", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(k), F.size("words")) - 1), at)).alias("word"))
+    v = word_counts(spark, sf_dir).filter("cnt >= 2").select(F.col("password").alias("word"), (draw32(5, "password") % BLOCKS).alias("g"), F.lit(1).cast("long").alias("one"))
+    placed = prefix_sums(v, ["g"], ["word"], "one")
+    sizes = placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (draw32(6, "c_custkey") % BLOCKS).alias("g")).join(F.broadcast(sizes), "g")  # a row per block
+    # k places of the block: a hash start and steps of one, so they differ; users and words meet on (block, place)
+    asked = own.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(k).cast("long"), F.col("n")) - 1)))
+    asked = asked.select("user_id", "g", ((draw32(7, F.col("user_id")) + F.col("i")) % F.col("n") + 1).alias("upto"))
+    picked = asked.join(placed.select("g", "upto", "word"), ["g", "upto"]).select("user_id", "word")
     order = W.partitionBy("user_id").orderBy(draw32(SEED, "user_id", "word"), "word")
     placed = picked.withColumn("idx", (F.row_number().over(order) - 1).cast("int"))
     return placed.withColumn("is_real", F.col("idx") == draw32(8, "user_id") % F.count(F.lit(1)).over(W.partitionBy("user_id")))
