@@ -112,3 +112,23 @@ def test_ruleset(spark, small, tmp_path):
             files.read_ruleset(spark, path).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_encodings(spark, tmp_path):
+    from veilspark.sources import encodings
+
+    text = "Grüße aus Köln\nplain\nniño – “x”\n" * 50
+    latin = "Grüße\nplain\nniño\n" * 50
+    cases = {
+        "a.txt": (b"only plain\nlines\n" * 9, "ascii"), "u.txt": (text.encode(), "utf-8"), "s.txt": (text.encode("utf-8-sig"), "utf-8"), "l.txt": (latin.encode("latin-1"), "latin-1"), "w.txt": (text.encode("cp1252"), "windows-1252"),
+        "le.txt": (latin.encode("utf-16-le"), "utf-16-le"), "be.txt": (latin.encode("utf-16-be"), "utf-16-be"), "bom.txt": (latin.encode("utf-16"), "utf-16"), "broken.txt": (text.encode() + b"\xff\xfe bad\n", "utf-8"), "none.txt": (b"\x81\x8d x\n\xff\x90\n" * 20, None),
+    }
+    for name, (data, _) in cases.items():
+        (tmp_path / name).write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = {r["file"].rsplit("/", 1)[-1]: r for r in encodings.detect(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {k: r["encoding"] for k, r in got.items()} == {k: e for k, (_, e) in cases.items()}
+    assert 0.9 < got["broken.txt"]["confidence"] < 1 == got["u.txt"]["confidence"] and got["none.txt"]["confidence"] == 0
