@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import pii
 from ..functions import strings as S
-from ..functions.segment import segment, structure
+from ..functions.segment import CONTEXT, LOOKALIKES, ROWS, SHIFTED, SHORTEST_RUN, STEPS, segment, structure
 from ..operators import decoys as G
 from ..operators import guesses as E
 from ..operators import markov as M
@@ -112,22 +114,68 @@ def pii_tags(spark, d):
     return domain.users(spark, d).select("user_id", F.explode(_tags()).alias("t")).select("user_id", "t.tag", "t.value")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TAGS}, own AS (SELECT user_id, password, list(t) FILTER (t.value <> '') AS tags FROM tags GROUP BY ALL),
+    places AS (SELECT *, list_sort(flatten(list_transform(list_filter(tags, lambda t: length(t.value) >= 2), lambda t: list_transform(list_filter(range(1, length(password) + 1), lambda i: substr(password, i, length(t.value)) = t.value), lambda i: {{'pos': i, 'neg': -length(t.value), 'tag': t.tag}})))) AS found FROM own),
+    walk AS (SELECT user_id, password, tags, found, 1::BIGINT AS nxt, []::VARCHAR[] AS segs FROM places
+      UNION ALL SELECT user_id, password, tags, found, CASE WHEN x IS NULL THEN length(password) + 1 ELSE x.pos - x.neg END,
+        list_concat(segs, CASE WHEN x IS NULL THEN [password[nxt:]] WHEN x.pos > nxt THEN [password[nxt:x.pos - 1], '<' || x.tag || '>'] ELSE ['<' || x.tag || '>'] END)
+      FROM (SELECT *, list_filter(found, lambda p: p.pos >= nxt)[1] AS x FROM walk WHERE nxt <= length(password)))
+    SELECT user_id, segs, list_aggregate(list_transform(segs, lambda s: coalesce(list_filter(tags, lambda t: '<' || t.tag || '>' = s)[1].value, s)), 'string_agg', '') AS back, password FROM walk WHERE nxt > length(password)"""
+)
 def pii_tagged_password(spark, d):
     u = domain.users(spark, d).withColumn("tags", _tags())
     seg = u.withColumn("segs", pii.tagged(F.col("password"), F.col("tags")))
     return seg.select("user_id", "segs", pii.substituted(F.col("segs"), F.col("tags")).alias("back"), "password")
 
 
-@query()
+def _quoted(*words: str) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _any(*words: str) -> str:
+    return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
+
+
+_KEYS = ", ".join(f"({r}, {_quoted(row)})" for rows in (ROWS, SHIFTED) for r, row in enumerate(rows))
+_NEAR = " OR ".join(f"(r - pr = {down} AND i - pi IN ({', '.join(map(str, along))}))" for down, along in STEPS.items())
+#: segs(pid, s): a password's segments in order, as (t, n, v); training passwords only.
+SEGMENTS = PASSWORDS + f""", trained AS (SELECT * FROM passwords WHERE password <> '' AND NOT contains(password, chr(9)) AND NOT regexp_matches(password, '\\.(com|org|edu|gov|mil)')),
+  keys AS (SELECT r, unnest(string_split(k, '')) AS c, unnest(range(0, length(k))) AS i FROM (VALUES {_KEYS}) v(r, k)),
+  signs AS (SELECT pid, j, password[j] AS c, r, i FROM (SELECT pid, password, unnest(range(1, length(password) + 1)) AS j FROM trained) LEFT JOIN keys ON keys.c = password[j]),
+  steps AS (SELECT *, lag(r) OVER w AS pr, lag(i) OVER w AS pi FROM signs WINDOW w AS (PARTITION BY pid ORDER BY j)),
+  grouped AS (SELECT pid, j, c, sum(CASE WHEN {_NEAR} THEN 0 ELSE 1 END) OVER (PARTITION BY pid ORDER BY j) AS g FROM steps),
+  runs AS (SELECT pid, g, string_agg(c, '' ORDER BY j) AS run FROM grouped GROUP BY ALL),
+  judged AS (SELECT *, length(run) >= {SHORTEST_RUN} AND run[:2] <> 'er' AND run[2:3] <> 'er' AND run[:3] <> 'tty' AND NOT regexp_matches(lower(run), '{_any(*LOOKALIKES)}')
+      AND regexp_matches(run, '[a-zA-Z]')::INTEGER + regexp_matches(run, '[0-9]')::INTEGER + regexp_matches(run, '[^a-zA-Z0-9]')::INTEGER > 1 AS keyboard FROM runs),
+  parts AS (SELECT pid, m, keyboard, string_agg(run, '' ORDER BY g) AS part FROM (SELECT *, sum(keyboard::INTEGER) OVER (PARTITION BY pid ORDER BY g) AS m FROM judged) GROUP BY ALL),
+  cuts AS (SELECT pid, m, keyboard, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS a FROM (SELECT *, CASE WHEN keyboard THEN [part] ELSE string_split(regexp_replace(part, '({_any(*CONTEXT)})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) END AS pieces FROM parts)),
+  kinds AS (SELECT pid, m, keyboard, a, CASE WHEN keyboard THEN [{{'t': 'K', 'n': length(piece), 'v': piece}}] WHEN a % 2 = 0 THEN [{{'t': 'X', 'n': length(piece), 'v': piece}}]
+      ELSE list_transform(regexp_extract_all(piece, '[0-9]+|[a-zA-Z]+|[^a-zA-Z0-9]+'), lambda x: {{'t': CASE WHEN regexp_matches(x, '^[0-9]') THEN 'D' WHEN regexp_matches(x, '^[a-zA-Z]') THEN 'A' ELSE 'O' END, 'n': length(x), 'v': x}}) END AS own FROM cuts),
+  segs AS MATERIALIZED (SELECT pid, flatten(list(own ORDER BY m, NOT keyboard, a)) AS s FROM kinds GROUP BY pid)"""
+#: items(t, n, v) of each password and terms with their probabilities; structures; counted items of all types.
+GRAMMAR = SEGMENTS + """, x AS (SELECT pid, unnest(s) AS e FROM segs), named AS (SELECT pid, list_aggregate(list_transform(s, lambda y: y.t || y.n), 'string_agg', '') AS structure FROM segs),
+  items AS (SELECT pid, e.t AS t, e.n AS n, CASE WHEN e.t = 'A' THEN lower(e.v) ELSE e.v END AS v FROM x UNION ALL SELECT pid, 'C', e.n, regexp_replace(regexp_replace(e.v, '[^a-z]', 'U', 'g'), '[a-z]', 'L', 'g') FROM x WHERE e.t = 'A' UNION ALL SELECT pid, 'S', 0, structure FROM named),
+  terms AS MATERIALIZED (SELECT t, n, v, count(*) AS num, count(*) / sum(count(*)) OVER (PARTITION BY t, n) AS p FROM items GROUP BY t, n, v)"""
+
+
+@query(f"WITH {SEGMENTS}, f AS (SELECT pid, generate_subscripts(s, 1) - 1 AS slot, unnest(s) AS e FROM segs) SELECT pid, slot::INTEGER AS slot, e.t AS type, e.n::INTEGER AS len, e.v AS value FROM f")
 def pcfg_segments(spark, d):
-    s = segment(F.col("password"))
-    return domain.passwords(spark, d).withColumn("segs", s).select("pid", "segs", structure(F.col("segs")).alias("structure"))
+    """The grammar segments of each training password, a row each."""
+    parts = P.parsed(domain.passwords(spark, d)).select("pid", F.posexplode("segs").alias("slot", "s"))
+    return parts.select("pid", "slot", "s.type", "s.len", "s.value")
 
 
-@query()
+@query(f"WITH {GRAMMAR} SELECT structure, count(*) AS n FROM named GROUP BY 1")
+def pcfg_structures(spark, d):
+    """Base structures by their number of passwords."""
+    return P.parsed(domain.passwords(spark, d)).groupBy("structure").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {GRAMMAR} SELECT t AS type, n::INTEGER AS len, v AS item, num, round(CASE WHEN t = 'S' THEN p * 0.6::DOUBLE ELSE p END, 12) AS prob FROM terms UNION ALL SELECT 'S', 0, 'M', 0, 0.4::DOUBLE")
 def pcfg_probabilities(spark, d):
-    return P.probabilities(P.items(P.parsed(domain.passwords(spark, d))), 0.6)
+    """Terminals, masks and structures with a coverage of 0.6; the rest goes to the chain."""
+    return P.probabilities(P.items(P.parsed(domain.passwords(spark, d))), 0.6).withColumn("prob", F.round("prob", 12))
 
 
 @query(f"WITH {PASSWORDS} SELECT regexp_replace(regexp_replace(w, '[^a-z]', 'U', 'g'), '[a-z]', 'L', 'g') AS mask, count(*) AS n FROM (SELECT unnest(regexp_extract_all(password, '[a-zA-Z]+')) AS w FROM passwords) GROUP BY 1")
@@ -136,12 +184,20 @@ def cap_masks(spark, d):
     return words.groupBy(S.cap_mask(F.col("w")).alias("mask")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {GRAMMAR}, levels AS (SELECT t, n, p, count(*) AS k FROM terms GROUP BY ALL),
+    heads AS (SELECT t, n, max(p) AS head FROM levels GROUP BY ALL UNION ALL SELECT h.t, h.n, max(l.p) FROM heads h JOIN levels l ON l.t = h.t AND l.n = h.n AND l.p < h.head * (1 - 0.01::DOUBLE) GROUP BY h.t, h.n, h.head),
+    told AS (SELECT l.t, l.n, l.p, l.k, min(h.head) AS head FROM levels l JOIN heads h ON l.t = h.t AND l.n = h.n AND h.head >= l.p GROUP BY ALL),
+    means AS (SELECT t, n, head, sum(p * k) / sum(k) AS smooth FROM told GROUP BY ALL)
+    SELECT t AS type, n::INTEGER AS len, v AS item, num, round(smooth, 12) AS prob FROM terms JOIN told USING (t, n, p) JOIN means USING (t, n, head)"""
+)
 def pcfg_smoothed(spark, d):
-    return P.smoothed(P.probabilities(P.items(P.parsed(domain.passwords(spark, d)))), 0.01)
+    """Probabilities with the mean of each run of nearly equal ones."""
+    found = P.smoothed(P.probabilities(P.items(P.parsed(domain.passwords(spark, d)))), 0.01)
+    return found.withColumn("prob", F.round("prob", 12))
 
 
-@query()
+@query(f"WITH {GRAMMAR}, one AS (SELECT password, min(pid) AS pid FROM trained GROUP BY 1) SELECT password, round(exp(sum(ln(p))), 12) AS prob FROM one JOIN items USING (pid) JOIN terms USING (t, n, v) GROUP BY password")
 def pcfg_score(spark, d):
     c = domain.passwords(spark, d)
     return P.score(c, P.probabilities(P.items(P.parsed(c)))).withColumn("prob", F.round("prob", 12))
