@@ -115,7 +115,7 @@ def weighted_draws(counted: DataFrame, draws: DataFrame, seed: int, slots: int =
     """
     from pyspark.sql import Window as W
 
-    local = counted.select("password", "cnt").withColumn("slot", F.pmod(F.xxhash64("password"), F.lit(slots)))
+    local = counted.select("password", "cnt").withColumn("slot", draw32(0, "password") % slots)
     per = local.groupBy("slot").agg(F.sum("cnt").alias("mass"), F.count(F.lit(1)).alias("words"))
     upto = W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)  # a row per slot
     base = per.withColumn("before", F.coalesce(F.sum("mass").over(upto), F.lit(0))).select("slot", "before")

@@ -8,7 +8,8 @@ from ..operators import attack as A
 from ..operators import decoys as G
 from ..session import cut
 from . import domain
-from .domain import SWEETWORDS, USERS
+from .domain import COUNTS, SWEETWORDS, USERS
+from .draw_sql import ASSEMBLED, TWEAKED, weighted
 from .registry import registry
 
 QUERIES, SQL, query = registry()
@@ -133,7 +134,7 @@ def success_curve_fifo(spark, d):
     return A.curve(A.fifo_key(A.attempts(weights(spark, d), T1)), T2).drop("is_real")
 
 
-@query()
+@query(f"WITH {COUNTS}, {USERS}, known AS (SELECT password AS word, cnt FROM counts), {weighted('known', 560)}, {ASSEMBLED}")
 def list_decoys(spark, d):
     """Decoy lists from training rows drawn by frequency."""
     u = domain.users(spark, d)
@@ -168,7 +169,7 @@ def profile_decoys(spark, d):
     return G.assemble(G.in_rounds(own, lambda some, draws: G.from_tokens(some, pools, patterns, draws, 67, max_shared=1), 20, 100 * 20, 100), own, 20, 67)
 
 
-@query()
+@query(f"WITH {USERS}, {TWEAKED}")
 def tweaked_decoys(spark, d):
     """Twenty variants of each password."""
     u = domain.users(spark, d)

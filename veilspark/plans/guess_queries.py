@@ -10,7 +10,7 @@ from ..operators import pcfg as P
 from ..session import cut
 from . import domain
 from .domain import PASSWORDS
-from .model_queries import LETTERS
+from .model_queries import GRAMMAR, LETTERS
 from .registry import registry
 
 QUERIES, SQL, query = registry()
@@ -35,23 +35,24 @@ RUNS = PASSWORDS + """, segs AS MATERIALIZED (SELECT pid, list_transform(regexp_
   structures AS (SELECT structure, count(*) / sum(count(*)) OVER () AS p FROM (SELECT list_aggregate(list_transform(s, lambda y: y.t || y.n), 'string_agg', '') AS structure FROM segs) GROUP BY 1)"""
 
 
-@query(
-    f"""WITH RECURSIVE {RUNS}, grown AS (SELECT structure, '' AS word, p, structure AS rest, NULL::VARCHAR AS held FROM structures
-      UNION ALL SELECT g.structure, g.word || CASE WHEN t.t = 'A' THEN '' WHEN t.t = 'C' THEN list_aggregate(list_transform(range(1, length(g.held) + 1), lambda i: CASE WHEN t.v[i] = 'U' THEN upper(g.held[i]) ELSE g.held[i] END), 'string_agg', '') ELSE t.v END,
+GROWN = """grown AS (SELECT structure, '' AS word, p, structure AS rest, NULL::VARCHAR AS held FROM structures
+  UNION ALL SELECT g.structure, g.word || CASE WHEN t.t = 'A' THEN '' WHEN t.t = 'C' THEN list_aggregate(list_transform(range(1, length(g.held) + 1), lambda i: CASE WHEN t.v[i] = 'U' THEN upper(g.held[i]) ELSE g.held[i] END), 'string_agg', '') ELSE t.v END,
         g.p * t.p, CASE WHEN t.t = 'A' THEN 'C' || t.n || regexp_replace(g.rest, '^[A-Z][0-9]+', '') ELSE regexp_replace(g.rest, '^[A-Z][0-9]+', '') END, CASE WHEN t.t = 'A' THEN t.v END
-      FROM grown g JOIN terms t ON g.rest <> '' AND t.t = g.rest[1] AND t.n = CAST(regexp_extract(g.rest, '^[A-Z]([0-9]+)', 1) AS INTEGER))
-    SELECT row_number() OVER (ORDER BY p DESC, word, structure)::INTEGER AS rank, word, structure, round(p, 12) AS prob FROM grown WHERE rest = '' ORDER BY p DESC, word, structure LIMIT {TOP}"""
-)
+      FROM grown g JOIN terms t ON g.rest <> '' AND t.t = g.rest[1] AND t.n = CAST(regexp_extract(g.rest, '^[A-Z]([0-9]+)', 1) AS INTEGER))"""
+BEST = f"SELECT row_number() OVER (ORDER BY p DESC, word, structure)::INTEGER AS rank, word, structure, round(p, 12) AS prob FROM grown WHERE rest = '' ORDER BY p DESC, word, structure LIMIT {TOP}"
+
+
+@query(f"WITH RECURSIVE {RUNS}, {GROWN} {BEST}")
 def run_guesses(spark, d):
     """The likeliest guesses of a grammar of plain runs."""
     probs = P.probabilities(P.items(run_segments(domain.passwords(spark, d))))
     return E.best_first(probs, TOP).withColumn("prob", F.round("prob", 12))
 
 
-@query()
+@query(f"WITH RECURSIVE {GRAMMAR}, structures AS (SELECT v AS structure, p FROM terms WHERE t = 'S'), {GROWN} {BEST}")
 def pcfg_guesses(spark, d):
     """The likeliest guesses of the whole grammar, with its keyboard and context segments."""
-    return E.best_first(cut(P.probabilities(P.items(P.parsed(domain.passwords(spark, d))))), TOP)
+    return E.best_first(cut(P.probabilities(P.items(P.parsed(domain.passwords(spark, d))))), TOP).withColumn("prob", F.round("prob", 12))
 
 
 @query(

@@ -16,14 +16,21 @@ from ..operators import pcfg as P
 from ..session import cut
 from . import domain
 from .domain import PASSWORDS, USERS
+from .draw_sql import ASSEMBLED, chain, grammar
 from .registry import registry
 
 QUERIES, SQL, query = registry()
 
-CHAIN = PASSWORDS + """, win AS (SELECT CASE WHEN length(password) < 4 THEN password ELSE substr(pw, i, 4) END AS ctx, CASE WHEN length(password) < 4 THEN chr(10) ELSE substr(pw, i + 4, 1) END AS nxt
-    FROM (SELECT password, password || chr(10) AS pw, unnest(range(1, greatest(length(password) - 3, 1) + 1)) AS i FROM passwords)),
+
+def chain_of(rows: str) -> str:
+    """win, trans and starts of rows(password)."""
+    return f"""win AS (SELECT CASE WHEN length(password) < 4 THEN password ELSE substr(pw, i, 4) END AS ctx, CASE WHEN length(password) < 4 THEN chr(10) ELSE substr(pw, i + 4, 1) END AS nxt
+    FROM (SELECT password, password || chr(10) AS pw, unnest(range(1, greatest(length(password) - 3, 1) + 1)) AS i FROM {rows})),
   trans AS (SELECT ctx, nxt, n, n / sum(n) OVER (PARTITION BY ctx) AS p FROM (SELECT ctx, nxt, count(*) AS n FROM win GROUP BY ALL)),
-  starts AS (SELECT start, n, n / (SELECT count(*) FROM passwords)::DOUBLE AS p FROM (SELECT substr(password, 1, 4) AS start, count(*) AS n FROM passwords GROUP BY 1))"""
+  starts AS (SELECT start, n, n / (SELECT count(*) FROM {rows})::DOUBLE AS p FROM (SELECT substr(password, 1, 4) AS start, count(*) AS n FROM {rows} GROUP BY 1))"""
+
+
+CHAIN = f"{PASSWORDS}, {chain_of('passwords')}"
 
 
 @query(f"WITH {CHAIN} SELECT start, n, p FROM starts")
@@ -46,7 +53,7 @@ def markov_logprob(spark, d):
     return M.log_probability(c, M.transitions(c), M.starts(c)).withColumn("logp", F.round("logp", 6))
 
 
-@query()
+@query(f"WITH RECURSIVE {CHAIN}, {USERS}, {chain(210)}, {ASSEMBLED}")
 def markov_decoys(spark, d):
     """Decoy lists sampled from the chain."""
     c, u = domain.passwords(spark, d), domain.users(spark, d)
@@ -203,7 +210,7 @@ def pcfg_score(spark, d):
     return P.score(c, P.probabilities(P.items(P.parsed(c)))).withColumn("prob", F.round("prob", 12))
 
 
-@query()
+@query(f"WITH {GRAMMAR}, {USERS}, {grammar(210)}, {ASSEMBLED}")
 def pcfg_decoys(spark, d):
     """Decoy lists sampled from the grammar."""
     c, u = domain.passwords(spark, d), domain.users(spark, d)

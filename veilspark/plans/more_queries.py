@@ -16,6 +16,8 @@ from ..session import cut
 from . import domain
 from .attack_queries import IDX, RANKS, T1, T2, TRIES, weights
 from .domain import COUNTS, CORPUS, PASSWORDS, SWEETWORDS, USERS, u32
+from .draw_sql import ASSEMBLED, chain, weighted
+from .model_queries import TAGS, chain_of
 from .registry import registry
 
 QUERIES, SQL, query = registry()
@@ -208,7 +210,12 @@ def _own(u, make):
     return lambda some, draws: make(some, draws).join(u.select("user_id", "tags"), "user_id").select("user_id", "draw", pii.filled(F.col("word"), F.col("tags")).alias("word"))
 
 
-@query()
+TARGETED = f"""{INJECTED}, {TAGS}, codes AS (SELECT * FROM (VALUES {TAG_ROWS}) v(tag, code)),
+  owned AS MATERIALIZED (SELECT user_id, map_from_entries(list((code, t.value))) AS own FROM tags JOIN codes ON codes.tag = t.tag WHERE t.value <> '' GROUP BY user_id)"""
+FILLED = "SELECT user_id, draw, list_aggregate(list_transform(string_split(word, ''), lambda c: coalesce(own[c], c)), 'string_agg', '') AS word FROM coded_draws JOIN owned USING (user_id)"
+
+
+@query(f"WITH {TARGETED}, known AS (SELECT coded AS word, count(*) AS cnt FROM injected GROUP BY 1), {weighted('known', 600, 'coded_draws')}, drawn AS ({FILLED}), {ASSEMBLED}")
 def targeted_decoys(spark, d):
     """Decoys from coded training passwords drawn by frequency, filled with one's own data."""
     u, corpus = _coded(spark, d)
@@ -216,7 +223,7 @@ def targeted_decoys(spark, d):
     return G.assemble(G.in_rounds(u, _own(u, lambda some, at: G.from_rows(some, counted, at, 67)), 20, None, 40), u, 20, 67)
 
 
-@query()
+@query(f"WITH RECURSIVE {TARGETED}, taught AS (SELECT coded AS password FROM injected), {chain_of('taught')}, {chain(210, 'coded_draws')}, drawn AS ({FILLED}), {ASSEMBLED}")
 def targeted_markov_decoys(spark, d):
     """Chains over coded passwords, filled with one's own data."""
     u, corpus = _coded(spark, d)
