@@ -146,10 +146,12 @@ def _any(*words: str) -> str:
 
 _KEYS = ", ".join(f"({r}, {_quoted(row)})" for rows in (ROWS, SHIFTED) for r, row in enumerate(rows))
 _NEAR = " OR ".join(f"(r - pr = {down} AND i - pi IN ({', '.join(map(str, along))}))" for down, along in STEPS.items())
-#: segs(pid, s): a password's segments in order, as (t, n, v); training passwords only.
-SEGMENTS = PASSWORDS + f""", trained AS (SELECT * FROM passwords WHERE password <> '' AND NOT contains(password, chr(9)) AND NOT regexp_matches(password, '\\.(com|org|edu|gov|mil)')),
-  keys AS (SELECT r, unnest(string_split(k, '')) AS c, unnest(range(0, length(k))) AS i FROM (VALUES {_KEYS}) v(r, k)),
-  signs AS (SELECT pid, j, password[j] AS c, r, i FROM (SELECT pid, password, unnest(range(1, length(password) + 1)) AS j FROM trained) LEFT JOIN keys ON keys.c = password[j]),
+
+
+def segments_of(rows: str, name: str = "segs") -> str:
+    """name(pid, s): the segments of each of rows(pid, password) in order, as (t, n, v)."""
+    return f"""keys AS (SELECT r, unnest(string_split(k, '')) AS c, unnest(range(0, length(k))) AS i FROM (VALUES {_KEYS}) v(r, k)),
+  signs AS (SELECT pid, j, password[j] AS c, r, i FROM (SELECT pid, password, unnest(range(1, length(password) + 1)) AS j FROM {rows}) LEFT JOIN keys ON keys.c = password[j]),
   steps AS (SELECT *, lag(r) OVER w AS pr, lag(i) OVER w AS pi FROM signs WINDOW w AS (PARTITION BY pid ORDER BY j)),
   grouped AS (SELECT pid, j, c, sum(CASE WHEN {_NEAR} THEN 0 ELSE 1 END) OVER (PARTITION BY pid ORDER BY j) AS g FROM steps),
   runs AS (SELECT pid, g, string_agg(c, '' ORDER BY j) AS run FROM grouped GROUP BY ALL),
@@ -159,11 +161,17 @@ SEGMENTS = PASSWORDS + f""", trained AS (SELECT * FROM passwords WHERE password
   cuts AS (SELECT pid, m, keyboard, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS a FROM (SELECT *, CASE WHEN keyboard THEN [part] ELSE string_split(regexp_replace(part, '({_any(*CONTEXT)})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) END AS pieces FROM parts)),
   kinds AS (SELECT pid, m, keyboard, a, CASE WHEN keyboard THEN [{{'t': 'K', 'n': length(piece), 'v': piece}}] WHEN a % 2 = 0 THEN [{{'t': 'X', 'n': length(piece), 'v': piece}}]
       ELSE list_transform(regexp_extract_all(piece, '[0-9]+|[a-zA-Z]+|[^a-zA-Z0-9]+'), lambda x: {{'t': CASE WHEN regexp_matches(x, '^[0-9]') THEN 'D' WHEN regexp_matches(x, '^[a-zA-Z]') THEN 'A' ELSE 'O' END, 'n': length(x), 'v': x}}) END AS own FROM cuts),
-  segs AS MATERIALIZED (SELECT pid, flatten(list(own ORDER BY m, NOT keyboard, a)) AS s FROM kinds GROUP BY pid)"""
+  {name} AS MATERIALIZED (SELECT pid, flatten(list(own ORDER BY m, NOT keyboard, a)) AS s FROM kinds GROUP BY pid)"""
+
+
+#: Training passwords only.
+SEGMENTS = f"""{PASSWORDS}, trained AS (SELECT * FROM passwords WHERE password <> '' AND NOT contains(password, chr(9)) AND NOT regexp_matches(password, '\\.(com|org|edu|gov|mil)')),
+  {segments_of('trained')}"""
 #: items(t, n, v) of each password and terms with their probabilities; structures; counted items of all types.
-GRAMMAR = SEGMENTS + """, x AS (SELECT pid, unnest(s) AS e FROM segs), named AS (SELECT pid, list_aggregate(list_transform(s, lambda y: y.t || y.n), 'string_agg', '') AS structure FROM segs),
+STATISTICS = """x AS (SELECT pid, unnest(s) AS e FROM segs), named AS (SELECT pid, list_aggregate(list_transform(s, lambda y: y.t || y.n), 'string_agg', '') AS structure FROM segs),
   items AS (SELECT pid, e.t AS t, e.n AS n, CASE WHEN e.t = 'A' THEN lower(e.v) ELSE e.v END AS v FROM x UNION ALL SELECT pid, 'C', e.n, regexp_replace(regexp_replace(e.v, '[^a-z]', 'U', 'g'), '[a-z]', 'L', 'g') FROM x WHERE e.t = 'A' UNION ALL SELECT pid, 'S', 0, structure FROM named),
   terms AS MATERIALIZED (SELECT t, n, v, count(*) AS num, count(*) / sum(count(*)) OVER (PARTITION BY t, n) AS p FROM items GROUP BY t, n, v)"""
+GRAMMAR = f"{SEGMENTS}, {STATISTICS}"
 
 
 @query(f"WITH {SEGMENTS}, f AS (SELECT pid, generate_subscripts(s, 1) - 1 AS slot, unnest(s) AS e FROM segs) SELECT pid, slot::INTEGER AS slot, e.t AS type, e.n::INTEGER AS len, e.v AS value FROM f")

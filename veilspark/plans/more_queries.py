@@ -16,8 +16,8 @@ from ..session import cut
 from . import domain
 from .attack_queries import IDX, RANKS, T1, T2, TRIES, weights
 from .domain import COUNTS, CORPUS, PASSWORDS, SWEETWORDS, USERS, u32
-from .draw_sql import ASSEMBLED, chain, weighted
-from .model_queries import TAGS, chain_of
+from .draw_sql import ASSEMBLED, chain, grammar, weighted
+from .model_queries import STATISTICS, TAGS, chain_of, segments_of
 from .registry import registry
 
 QUERIES, SQL, query = registry()
@@ -231,7 +231,14 @@ def targeted_markov_decoys(spark, d):
     return G.assemble(G.in_rounds(u, _own(u, lambda some, at: M.sample(some, chain, first, at, 67)), 20, None, 30), u, 20, 67)
 
 
-@query()
+_SIGNS = "".join(f"\\x{ord(c):02x}" for c in pii.CODES.values())
+#: Segments of coded passwords: a code is one of type T, the text between is parsed as usual.
+CODED = f"""pieces AS (SELECT pid, unnest(ps) AS piece, generate_subscripts(ps, 1) AS a FROM (SELECT pid, regexp_extract_all(coded, '[{_SIGNS}]|[^{_SIGNS}]+') AS ps FROM injected)),
+  plain AS (SELECT pid * 100 + a AS pid, piece AS password FROM pieces WHERE NOT regexp_matches(piece, '^[{_SIGNS}]$')), {segments_of('plain', 'gaps')},
+  segs AS MATERIALIZED (SELECT pid // 100 AS pid, flatten(list(s ORDER BY pid)) AS s FROM (SELECT pid, s FROM gaps UNION ALL SELECT pid * 100 + a, [{{'t': 'T', 'n': 1, 'v': piece}}] FROM pieces WHERE regexp_matches(piece, '^[{_SIGNS}]$')) GROUP BY 1), {STATISTICS}"""
+
+
+@query(f"WITH {TARGETED}, {CODED}, {grammar(210, 'coded_draws')}, drawn AS ({FILLED}), {ASSEMBLED}")
 def targeted_pcfg_decoys(spark, d):
     """A grammar of coded passwords, filled with one's own data."""
     u, corpus = _coded(spark, d)
