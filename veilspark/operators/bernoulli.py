@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bloom import contained, fill, indices, mark, salted_hash, target_size, within
+from ..functions.bloom import bitmap, fill, indices, mark, salted_hash, target_size, within
 from ..functions.rng import draw32, uniform
-from ..session import cut
+from ..session import cut, ship_package, spread
 
 
 def register(users: DataFrame, p_h: float, seed: int, p_mark: float | None = None, k: int = 20, b: int = 128) -> DataFrame:
@@ -30,28 +35,76 @@ def login(attempts: DataFrame, accounts: DataFrame, k: int = 20, b: int = 128) -
 
 
 #: Ends of the blocks in which a ranking is walked; the longest one is the attack's length.
-BLOCKS = [32, 96, 256, 1024, 4096, 16384, 65536, 100_000]
-GROUP = 256
+BLOCKS = [256, 1024, 4096, 16384, 65536, 100_000]
+#: Words and accounts that meet as one row.
+GROUP, TOGETHER = 256, 256
+
+
+def _first_hits(keys: tuple[str, ...], schema: pa.Schema, k: int, b: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over rows of accounts and ranked words: keys, rank, password of the first word of a row that lies in each account's bitmap.
+
+    Accounts with one salt (snapshots of one user) share the hashes; a word's hashes end where it lies in none of them.
+    """
+    heads = [f"{i}:".encode() for i in range(k)]
+
+    def position(hexed: bytes, head: bytes) -> int:
+        return int.from_bytes(sha256(head + hexed).digest()) % b
+
+    def walk(salt: bytes, own: list[dict], words: list[tuple]) -> Iterator[tuple[dict, int, str]]:
+        for rank, password, data in words:
+            hexed = sha256(salt + data).hexdigest().encode()
+            inside = own
+            for head in heads:
+                at = position(hexed, head)
+                inside = [x for x in inside if x["bits"][at] == "1"]
+                if not inside:
+                    break
+            else:
+                for x in inside:
+                    yield x, rank, password
+                own = [x for x in own if x not in inside]
+                if not own:
+                    return
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = [(w["rank"], w["password"], w["password"].encode()) for w in batch.column("part")[i].as_py()]
+                salts: dict[str, list[dict]] = {}
+                for x in batch.column("some")[i].as_py():
+                    salts.setdefault(x["salt"], []).append(x)
+                found = [(*[x[key] for key in keys], rank, password) for salt, own in salts.items() for x, rank, password in walk(salt.encode(), own, words)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    return task
 
 
 def best_candidates(accounts: DataFrame, ranking: DataFrame, blocks: list[int] = BLOCKS, marks: bool = False, k: int = 20, b: int = 128, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """keys, rank, password: the first ranked word that lies in each account's filter (and marks); null if none.
 
-    Salts differ by account, so every pair has to be hashed. The ranking is walked in growing blocks of
-    bounded length, each broadcast; accounts with a hit leave before the next one, and the walk ends
-    when none are left.
+    Salts differ by account, so every pair has to be hashed, up to an account's hit. The ranking is walked
+    in growing blocks of bounded length, each broadcast; accounts come in hash groups, those with a hit leave
+    before the next block, and the walk ends when none are left.
     """
-    ranking = cut(ranking.filter(F.col("rank") <= blocks[-1]))
-    left = accounts.select(*keys, "salt", "b", *(["m"] if marks else []))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ship_package(accounts.sparkSession)
+    ranking = cut(ranking.filter(F.col("rank") <= blocks[-1]).select(F.col("rank").cast("long").alias("rank"), "password"))
+    # cut off here, or the filter would be made anew for each of its positions
+    left = cut(accounts.select(*keys, "salt", F.col("m" if marks else "b").alias("filled")))
     found, low, last = None, 0, ranking.count()
+    kind = left.select(*keys, F.lit(0).cast("long").alias("rank"), F.lit("").alias("password")).schema
+    task = _first_hits(keys, to_arrow_schema(kind), k, b)
     for high in blocks:
         # high - low rows at most, in groups that tasks share
         block = ranking.filter((F.col("rank") > low) & (F.col("rank") <= high)).groupBy(F.floor((F.col("rank") - 1) / GROUP).alias("g")).agg(F.array_sort(F.collect_list(F.struct("rank", "password"))).alias("part"))
-        rows = left.crossJoin(F.broadcast(block))
+        groups = math.ceil(left.count() / TOGETHER)
+        placed = left.select(*keys, "salt", bitmap(F.col("filled"), b).alias("bits"), F.pmod(F.xxhash64("salt"), F.lit(max(groups, 1))).alias("at"))
+        rows = spread(placed, "at").groupBy("at").agg(F.collect_list(F.struct(*keys, "salt", "bits")).alias("some")).crossJoin(F.broadcast(block))
         if high - low > GROUP:
-            rows = rows.repartition(*keys, "g")
-        ok = lambda w: contained(salted_hash(F.encode("salt", "utf-8"), w["password"]), F.col("m" if marks else "b"), k, b)
-        hit = rows.withColumn("hit", F.get(F.filter("part", ok), F.lit(0))).filter("hit IS NOT NULL").groupBy(*keys).agg(F.min("hit").alias("hit"))
+            rows = spread(rows, "at", "g")
+        hit = rows.select("some", "part").mapInArrow(task, kind).groupBy(*keys).agg(F.min(F.struct("rank", "password")).alias("hit"))
         hit = cut(hit.select(*keys, "hit.rank", "hit.password"))
         found = hit if found is None else found.unionByName(hit)
         left, low = cut(left.join(hit, list(keys), "left_anti")), high
@@ -88,6 +141,7 @@ def watched_breach(accounts: DataFrame, ranking: DataFrame, users: DataFrame, lo
     The word lies in the marks, so these logins raise no alarm; one that renews the marks may leave
     out positions of the real password, and the owner's next login tells.
     """
+    accounts = cut(accounts)
     seen = seen_marks(accounts, logins, seed, p_mark, p_remark)
     got = best_candidates(seen, ranking, marks=True, keys=("user_id", "l")).withColumnRenamed("password", "guess")
     both = got.join(users.select("user_id", "password"), "user_id").join(accounts.select("user_id", "salt", "true"), "user_id")

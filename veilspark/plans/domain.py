@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import draw32
 from ..operators.freqdb import prefix_sums
-from ..session import table
+from ..session import spread, table
 
 SEED, K, BLOCKS = 67, 20, 64
 
@@ -33,12 +33,12 @@ def passwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pid, password."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), F.concat(F.translate("p_name", " ", "_"), F.lit("#"), F.col("p_size").cast("string")).alias("password"))
     cust = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000000000).alias("pid"), F.concat("c_mktsegment", F.lit("!"), F.col("c_custkey").cast("string")).alias("password"))
-    return part.unionByName(cust)
+    return spread(part.unionByName(cust), "pid")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, password and personal data of every customer."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"), "c_custkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.lower(F.translate("n_name", "_", "")).alias("last"))
     both = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])  # a row per nation
     key = F.col("c_custkey")
@@ -57,7 +57,7 @@ def sweetwords(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     v = word_counts(spark, sf_dir).filter("cnt >= 2").select(F.col("password").alias("word"), (draw32(5, "password") % BLOCKS).alias("g"), F.lit(1).cast("long").alias("one"))
     placed = prefix_sums(v, ["g"], ["word"], "one")
     sizes = placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (draw32(6, "c_custkey") % BLOCKS).alias("g")).join(F.broadcast(sizes), "g")  # a row per block
+    own = spread(table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("user_id"), (draw32(6, "c_custkey") % BLOCKS).alias("g")).join(F.broadcast(sizes), "g")  # a row per block
     # k places of the block: a hash start and steps of one, so they differ; users and words meet on (block, place)
     asked = own.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(k).cast("long"), F.col("n")) - 1)))
     asked = asked.select("user_id", "g", ((draw32(7, F.col("user_id")) + F.col("i")) % F.col("n") + 1).alias("upto"))

@@ -66,6 +66,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by hash over at least four tasks a core, however few files or row groups it comes from.
+
+    For rows of few bytes that much work follows on; a stated number also keeps them from being put together by size.
+    """
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; a file or a folder of parquet."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
