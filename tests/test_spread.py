@@ -44,3 +44,30 @@ def test_filter_is_not_made_for_each_position(spark, small, monkeypatch):
     ranking = spark.createDataFrame([(1, "a")], "rank long, password string")
     B.best_candidates(accounts, ranking).count()
     assert ["user_id", "salt", "filled"] in seen
+
+
+def test_small_chain_walks_without_shuffles(spark, small, monkeypatch):
+    """The steps of a draw join a chain that each task holds; a chain too large for that gives the same words."""
+    from veilspark.operators import markov as M
+
+    words = domain.passwords(spark, small)
+    chain, first = M.transitions(words), M.starts(words)
+    u = domain.users(spark, small).limit(20)
+    plans = []
+    monkeypatch.setattr(M, "cut", lambda df, own=M.cut: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df))
+    got = {tuple(r) for r in M.sample(u, chain, first, 5, 67).collect()}
+    assert all("SortMergeJoin" not in p for p in plans[2:]) and len(plans) > 2
+    monkeypatch.setattr(M, "SMALL", 0)
+    assert {tuple(r) for r in M.sample(u, chain, first, 5, 67).collect()} == got
+
+
+def test_overlap_meets_each_password_once(spark, small, monkeypatch):
+    """Users with one password are one row of the other side, and no user is a decoy of their own."""
+    from veilspark import catalog
+
+    rows = [(1, "ab#1", "01011990"), (2, "ab#1", "01011990"), (3, "cd#1", "02021990"), (4, "ab#1", "01011991")]
+    u = spark.createDataFrame([(i, p, "ab", "x", "e", b, "n") for i, p, b in rows], "user_id long, password string, first_name string, last_name string, email string, birthday string, username string")
+    monkeypatch.setattr(domain, "users", lambda spark, d: u)
+    df = catalog.QUERIES["token_overlap_filter"](spark, small)
+    assert {tuple(r) for r in df.collect()} == {(1, "ab#1", 3, 1), (2, "ab#1", 3, 1), (1, "cd#1", 2, 1), (2, "cd#1", 2, 1), (3, "ab#1", 2, 2)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1 and "Join" in df._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
