@@ -71,3 +71,22 @@ def test_overlap_meets_each_password_once(spark, small, monkeypatch):
     df = catalog.QUERIES["token_overlap_filter"](spark, small)
     assert {tuple(r) for r in df.collect()} == {(1, "ab#1", 3, 1), (2, "ab#1", 3, 1), (1, "cd#1", 2, 1), (2, "cd#1", 2, 1), (3, "ab#1", 2, 2)}
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1 and "Join" in df._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+
+
+def test_variants_come_in_rounds(spark, monkeypatch):
+    """Only a base with few variants is tried again, and the variants are those of all tries at once."""
+    from pyspark.sql import Window as W
+
+    from veilspark.operators import decoys as G
+
+    left = []
+    monkeypatch.setattr(G, "cut", lambda df, own=G.cut: (left.append(df.count()) if df.columns == ["user_id", "base"] else None, own(df))[1])
+    bases = spark.createDataFrame([(1, "shadow_moon#1963"), (2, "1")], "user_id long, base string")
+    got = {tuple(r) for r in G.tweaks(bases, 4, 67).collect()}
+    more = F.floor(F.col("variant") / F.lit(16)) * 0.1
+    rows = bases.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(79))))
+    word = G.tweak(F.col("base"), 67, F.concat_ws("/", F.col("user_id").cast("string"), "base"), F.col("variant"), 0.3 + more, 0.03 + more, 0.05 + more)
+    once = rows.withColumn("word", F.when(F.col("variant") == 0, F.col("base")).otherwise(word)).groupBy("user_id", "base", "word").agg(F.min("variant").alias("variant"))
+    first = once.withColumn("r", F.row_number().over(W.partitionBy("user_id", "base").orderBy("variant", "word"))).filter("r <= 4")
+    assert got == {tuple(r) for r in first.select("user_id", "base", "variant", "word").collect()}
+    assert left[0] == 2 and left[-1] < 2
