@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bloom import bitmap, fill, indices, mark, salted_hash, target_size, within
+from ..functions.bloom import bitmap, fill, indices, judged, mark, salted_hash, target_size
 from ..functions.rng import draw32, uniform
 from ..session import cut, ship_package, spread
 
@@ -29,9 +29,9 @@ def register(users: DataFrame, p_h: float, seed: int, p_mark: float | None = Non
 def login(attempts: DataFrame, accounts: DataFrame, k: int = 20, b: int = 128) -> DataFrame:
     """attempts with outcome: failure (unknown user or not in the filter), success, alarm."""
     own = accounts.select("user_id", "salt", "true", "b")
-    tried = attempts.join(own, "user_id", "left").withColumn("at", indices(salted_hash(F.encode("salt", "utf-8"), F.col("word")), k, b))
-    inside = F.col("salt").isNotNull() & F.coalesce(within(F.col("at"), F.col("b")), F.lit(False))
-    return tried.withColumn("outcome", F.when(~inside, "failure").when(F.col("at") == F.col("true"), "success").otherwise("alarm")).drop("salt", "true", "b", "at")
+    found = judged(salted_hash(F.encode("salt", "utf-8"), F.col("word")), F.col("true"), F.col("b"), k, b)
+    tried = attempts.join(own, "user_id", "left").withColumn("found", found)
+    return tried.withColumn("outcome", F.when(F.col("found") == 0, "failure").when(F.col("found") == 2, "success").otherwise("alarm")).drop("salt", "true", "b", "found")
 
 
 #: Ends of the blocks in which a ranking is walked; the longest one is the attack's length.

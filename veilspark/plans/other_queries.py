@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.bloom import indices, salted_hash, within
+from ..functions.bloom import judged, salted_hash
 from ..functions.rng import draw32, uniform
 from ..operators import bernoulli as B
 from ..operators import report as R
 from ..operators import similarity as V
-from ..session import cut, table
+from ..session import cut, spread, table
 from ..streaming import logins
 from . import domain
 from .attack_queries import weights
@@ -141,7 +141,7 @@ LOGIN = f"{ACCOUNTS}, {ATTEMPTS}, logins AS (SELECT event_id, ts, t.user_id, CAS
 
 def _attempts(spark, d):
     u = domain.users(spark, d).select(F.col("user_id").alias("uid"), "password")
-    e = table(spark, d, "events")
+    e = spread(table(spark, d, "events"), "event_id")
     word = F.when(draw32(11, "event_id") % 3 == 0, F.col("password")).otherwise(F.concat("event_type", (draw32(12, "event_id") % 50).cast("string")))
     return e.join(u, e["user_id"] == u["uid"], "left").select("event_id", "ts", F.when(F.col("user_id") % 97 == 0, -1).otherwise(F.col("user_id")).alias("user_id"), word.alias("word"))
 
@@ -205,7 +205,7 @@ def fdp_bound(spark, d):
 @query(f"WITH {ACCOUNTS} SELECT avg(list_has_all(b, {_indices('salt', 'wrong')})::INTEGER) AS observed, {P_H}::DOUBLE AS configured FROM (SELECT *, 'x' || {u32(13, 'user_id')} AS wrong FROM acc)")
 def observed_false_rate(spark, d):
     a = B.register(domain.users(spark, d), P_H, 67).withColumn("wrong", F.concat(F.lit("x"), draw32(13, "user_id").cast("string")))
-    return a.agg(F.avg(within(indices(salted_hash(F.encode("salt", "utf-8"), F.col("wrong"))), F.col("b")).cast("int")).alias("observed")).withColumn("configured", F.lit(P_H))
+    return a.agg(F.avg((judged(salted_hash(F.encode("salt", "utf-8"), F.col("wrong")), F.col("true"), F.col("b")) > 0).cast("int")).alias("observed")).withColumn("configured", F.lit(P_H))
 
 
 NORM = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
