@@ -89,11 +89,7 @@ def attack_analysis(spark, d):
 def epsilon_over_attackers(spark, d):
     """Mean share of first guesses that are right, over attackers who know one source each."""
     known = domain.corpus(spark, d).groupBy("source", "password").agg(F.count(F.lit(1)).alias("cnt"))
-    # a row per source
-    rows = domain.sweetwords(spark, d).crossJoin(F.broadcast(known.select("source").distinct()))
-    rows = rows.join(known.withColumnRenamed("password", "word"), ["source", "word"], "left").withColumn("p", F.coalesce("cnt", F.lit(0)))
-    first = rows.groupBy("source", "user_id").agg(F.max(F.struct("p", (-F.col("idx")).alias("near"), F.col("is_real").cast("int").alias("hit")))["hit"].alias("hit"))
-    per = first.groupBy(F.col("source").alias("attacker")).agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("users"))
+    per = A.first_hits(domain.sweetwords(spark, d), cut(known)).withColumnRenamed("source", "attacker")
     return A.mean_first_share(per).select(F.round("epsilon", 9).alias("epsilon"))
 
 
