@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import draw32
 from ..operators.freqdb import prefix_sums
-from ..session import spread, table
+from ..session import cut, spread, table
 
 SEED, K, BLOCKS = 67, 20, 64
+#: A vocabulary of so many words goes to every task; a larger one meets the users by a shuffle.
+HELD = 500_000
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,17 +56,24 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweetwords(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """user_id, idx, word, is_real: k words of the user's hash block; hash chooses the words, their order and the real one."""
-    v = word_counts(spark, sf_dir).filter("cnt >= 2").select(F.col("password").alias("word"), (draw32(5, "password") % BLOCKS).alias("g"), F.lit(1).cast("long").alias("one"))
-    placed = prefix_sums(v, ["g"], ["word"], "one")
+    return counted_sweetwords(spark, sf_dir, k).drop("cnt")
+
+
+def counted_sweetwords(spark: SparkSession, sf_dir: str, k: int = K, held: int = HELD) -> DataFrame:
+    """sweetwords with cnt, each word's number of places in the corpus, which comes with the word and needs no look-up."""
+    v = word_counts(spark, sf_dir).filter("cnt >= 2").select(F.col("password").alias("word"), (draw32(5, "password") % BLOCKS).alias("g"), F.lit(1).cast("long").alias("one"), "cnt")
+    placed = cut(prefix_sums(v, ["g"], ["word"], "one").select("g", "upto", "word", "cnt"))
     sizes = placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    own = spread(table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("user_id"), (draw32(6, "c_custkey") % BLOCKS).alias("g")).join(F.broadcast(sizes), "g")  # a row per block
+    own = spread(table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("user_id"), (draw32(6, "c_custkey") % BLOCKS).alias("g"), draw32(7, "c_custkey").alias("start"), draw32(8, "c_custkey").alias("real"))
+    own = own.join(F.broadcast(sizes), "g").withColumn("k", F.least(F.lit(k).cast("long"), F.col("n")))  # a row per block
     # k places of the block: a hash start and steps of one, so they differ; users and words meet on (block, place)
-    asked = own.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(k).cast("long"), F.col("n")) - 1)))
-    asked = asked.select("user_id", "g", ((draw32(7, F.col("user_id")) + F.col("i")) % F.col("n") + 1).alias("upto"))
-    picked = asked.join(placed.select("g", "upto", "word"), ["g", "upto"]).select("user_id", "word")
+    asked = own.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    asked = asked.select("user_id", "g", ((F.col("start") + F.col("i")) % F.col("n") + 1).alias("upto"), (F.col("real") % F.col("k")).alias("at"))
+    # met in place, a user's words stay in the task where the user was dealt
+    picked = asked.join(F.broadcast(placed) if placed.count() <= held else placed, ["g", "upto"])
     order = W.partitionBy("user_id").orderBy(draw32(SEED, "user_id", "word"), "word")
     placed = picked.withColumn("idx", (F.row_number().over(order) - 1).cast("int"))
-    return placed.withColumn("is_real", F.col("idx") == draw32(8, "user_id") % F.count(F.lit(1)).over(W.partitionBy("user_id")))
+    return placed.select("user_id", "word", "cnt", "idx", (F.col("idx") == F.col("at")).alias("is_real"))
 
 
 def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
