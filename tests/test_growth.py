@@ -43,3 +43,53 @@ def test_leading_guesses_by_raw_probability(lists):
     some = A.leading(lists, 9, F.col("p"))
     assert rows(A.curve(A.raw_key(some), 9)) == rows(A.curve(A.raw_key(lists), 9))
     assert some.count() < lists.count()
+
+
+@pytest.mark.parametrize("coded", [False, True])
+def test_wide_types_are_looked_up_alike(spark, small, coded):
+    from veilspark.operators import pcfg as P
+    from veilspark.plans import more_queries as Q
+
+    if coded:
+        u, corpus = Q._coded(spark, small)
+        probs = P.probabilities(P.items(P.parsed_coded(corpus, "pid"))).cache()
+    else:
+        u = domain.users(spark, small)
+        probs = P.probabilities(P.items(P.parsed(domain.passwords(spark, small)))).cache()
+    whole = rows(P.sample(u, probs, 5, 67))
+    assert len(whole) == 5 * u.count()
+    assert rows(P.sample(u, probs, 5, 67, held=0)) == whole
+    assert rows(P.sample(u, probs, 5, 67, held=60)) == whole
+
+
+def test_drawn_words_meet_in_place_or_by_a_shuffle(spark):
+    from veilspark.operators import corpus as C
+
+    counted = spark.createDataFrame([(f"w{i}", 1 + i * i % 7) for i in range(200)], "password string, cnt long")
+    asked = spark.range(500).selectExpr("cast(id as string) as id")
+    assert rows(C.weighted_draws(counted, asked, 3)) == rows(C.weighted_draws(counted, asked, 3, held=0))
+
+
+def test_rounds_change_no_list(spark):
+    from veilspark.operators import decoys as G
+
+    users = spark.range(40).selectExpr("id as user_id", "'x' as password")
+    # user u can have u words
+    make = lambda some, at: some.select("user_id", F.explode(F.sequence(F.lit(at.start), F.lit(at.stop - 1))).alias("draw")).withColumn("word", F.format_string("w%d", F.xxhash64("user_id", "draw") % (F.col("user_id") + 1)))
+    for tries in (200, None):
+        found = {(r["user_id"], r["word"]): r["draw"] for r in G.in_rounds(users, make, 6, tries, 4).collect()}
+        whole = make(users, range(200)).groupBy("user_id", "word").agg(F.min("draw").alias("draw")).collect()
+        for u in range(40):
+            want = sorted((r["draw"], r["word"]) for r in whole if r["user_id"] == u)[:5]
+            assert sorted((at, w) for (v, w), at in found.items() if v == u)[:5] == want
+
+
+def test_only_values_in_the_password_are_placed(spark):
+    from veilspark.functions import pii
+
+    tags = "array(struct('N1' as tag, 'anna' as value), struct('N2' as tag, 'zz' as value), struct('B1' as tag, '9' as value))"
+    df = spark.range(1).selectExpr("'xanna9<anna' as pw", f"{tags} as tags").withColumn("segs", pii.tagged(F.col("pw"), F.col("tags")))
+    r = df.select("segs", pii.substituted(F.col("segs"), F.col("tags")).alias("back")).first()
+    assert r["segs"] == ["x", "<N1>", "9<", "<N1>"] and r["back"] == "xanna9<anna"
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "contains(" in plan.lower()
