@@ -93,3 +93,16 @@ def test_only_values_in_the_password_are_placed(spark):
     assert r["segs"] == ["x", "<N1>", "9<", "<N1>"] and r["back"] == "xanna9<anna"
     plan = df._jdf.queryExecution().analyzed().toString()
     assert "contains(" in plan.lower()
+
+
+def test_starts_followed_as_far_as_pieces_go():
+    from veilspark.operators import chunks as K
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    logp = {word(rng.randrange(1, 6)): -rng.random() * 9 for _ in range(40)}
+    begun = K.beginnings(logp)
+    for w in [word(n) for n in range(20)]:
+        assert K.lattice(w, logp, 12, begun) == K.lattice(w, logp, 12)
+        assert K.likeliest(w, logp, 12, begun) == K.likeliest(w, logp, 12)
+        assert K.expected(w, logp, 12, begun) == K.expected(w, logp, 12)

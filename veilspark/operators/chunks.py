@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +23,13 @@ PIECES, LONGEST, ROUNDS, LEAST = 8000, 12, 5, 5.0
 UNKNOWN = -20.0
 
 
-def lattice(word: str, logp: dict[str, float], longest: int) -> list[list[tuple[int, float]]]:
-    """For each end the (start, log-probability) of the pieces that end there."""
+def beginnings(pieces: Iterable[str]) -> set[str]:
+    """What longer pieces begin with."""
+    return {x[:k] for x in pieces for k in range(1, len(x))}
+
+
+def lattice(word: str, logp: dict[str, float], longest: int, begun: set[str] | None = None) -> list[list[tuple[int, float]]]:
+    """For each end the (start, log-probability) of the pieces that end there; with `begun` no start is followed further than pieces go."""
     out: list[list[tuple[int, float]]] = [[] for _ in range(len(word) + 1)]
     for i in range(len(word)):
         for j in range(i + 1, min(len(word), i + longest) + 1):
@@ -33,6 +38,8 @@ def lattice(word: str, logp: dict[str, float], longest: int) -> list[list[tuple[
                 p = UNKNOWN
             if p is not None:
                 out[j].append((i, p))
+            if begun is not None and word[i:j] not in begun:
+                break
     return out
 
 
@@ -42,9 +49,9 @@ def _add(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
 
 
-def expected(word: str, logp: dict[str, float], longest: int) -> dict[str, float]:
+def expected(word: str, logp: dict[str, float], longest: int, begun: set[str] | None = None) -> dict[str, float]:
     """Expected uses of each piece over all chains of the word."""
-    ends, n = lattice(word, logp, longest), len(word)
+    ends, n = lattice(word, logp, longest, begun), len(word)
     forward, backward = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
     forward[0] = backward[n] = 0.0
     for j in range(1, n + 1):
@@ -60,9 +67,9 @@ def expected(word: str, logp: dict[str, float], longest: int) -> dict[str, float
     return out
 
 
-def likeliest(word: str, logp: dict[str, float], longest: int) -> list[str]:
+def likeliest(word: str, logp: dict[str, float], longest: int, begun: set[str] | None = None) -> list[str]:
     """The likeliest chain; ties go to the longer last piece."""
-    ends, n = lattice(word, logp, longest), len(word)
+    ends, n = lattice(word, logp, longest, begun), len(word)
     best, last = [0.0] + [-math.inf] * n, [0] * (n + 1)
     for j in range(1, n + 1):
         for i, p in sorted(ends[j]):
@@ -78,9 +85,10 @@ def likeliest(word: str, logp: dict[str, float], longest: int) -> list[str]:
 def _uses(logp: dict[str, float], longest: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, float] = defaultdict(float)
+        begun = beginnings(logp)
         for batch in batches:
             for word, n in zip(batch.column("password").to_pylist(), batch.column("cnt").to_pylist(), strict=True):
-                for piece, x in expected(word, logp, longest).items():
+                for piece, x in expected(word, logp, longest, begun).items():
                     total[piece] += n * x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["piece", "uses"])
 
@@ -114,8 +122,9 @@ def cut_words(words: DataFrame, logp: dict[str, float], word: str = "password",
     names = words.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = beginnings(logp)
         for batch in batches:
-            chunks = [None if w is None else likeliest(w, logp, longest) for w in batch.column(word).to_pylist()]
+            chunks = [None if w is None else likeliest(w, logp, longest, begun) for w in batch.column(word).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks, pa.list_(pa.string()))], names=[*names, "chunks"])
 
     return words.mapInArrow(task, T.StructType([*words.schema.fields, T.StructField("chunks", T.ArrayType(T.StringType()))]))
