@@ -106,3 +106,10 @@ def test_starts_followed_as_far_as_pieces_go():
         assert K.lattice(w, logp, 12, begun) == K.lattice(w, logp, 12)
         assert K.likeliest(w, logp, 12, begun) == K.likeliest(w, logp, 12)
         assert K.expected(w, logp, 12, begun) == K.expected(w, logp, 12)
+
+
+def test_watched_outcomes_take_every_number_of_logins(spark, small):
+    from veilspark.plans import other_queries as Q
+
+    found = Q.watched_outcomes(spark, small).groupBy("l", "delta").agg(F.sum("n")).collect()
+    assert sorted(map(tuple, found)) == [(l, delta, 150) for l in (0, 5, 10, 15, 20) for delta in (1, 6, 11, 16, 21)]

@@ -103,7 +103,7 @@ def _watched(levels: list[int]) -> str:
 
 
 SEEN, MORE = [0, 5, 10, 15, 20], [1, 6, 11, 16, 21]
-OUTCOMES = f"""{_watched(SEEN[:2])}, chosen AS MATERIALIZED (SELECT b.user_id, l, b.rank, tr, rs, {_indices('salt', 'r.password')} AS ix FROM best b JOIN marked USING (user_id) LEFT JOIN ranking r ON r.rank = b.rank),
+OUTCOMES = f"""{_watched(SEEN)}, chosen AS MATERIALIZED (SELECT b.user_id, l, b.rank, tr, rs, {_indices('salt', 'r.password')} AS ix FROM best b JOIN marked USING (user_id) LEFT JOIN ranking r ON r.rank = b.rank),
   steps AS (SELECT *, list_max(list_filter(rs, lambda t: t > l AND t <= l + delta)) AS last FROM chosen, (SELECT unnest([1, 6, 11, 16, 21]) AS delta)),
   watched AS (SELECT user_id, l, delta, rank, CASE WHEN rank IS NULL THEN 'no_candidate' WHEN last IS NOT NULL AND len(list_filter(tr, lambda i: NOT list_contains(ix, i) AND {_chance("user_id", "last", "i")} >= 0.95)) > 0 THEN 'detected' ELSE 'undetected' END AS outcome FROM steps)"""
 
@@ -121,9 +121,9 @@ def marked_probe(spark, d):
 
 @query(f"WITH {OUTCOMES} SELECT l, delta, outcome, count(*) AS n FROM watched GROUP BY ALL")
 def watched_outcomes(spark, d):
-    """Breaches after no or five observed logins, by the numbers of the owner's and the attacker's logins."""
+    """Breaches by the numbers of the owner's and the attacker's logins."""
     u, a = _marked(spark, d)
-    return B.watched_breach(a, _ranking(spark, d), u, SEEN[:2], MORE, 67).groupBy("l", "delta", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return B.watched_breach(a, _ranking(spark, d), u, SEEN, MORE, 67).groupBy("l", "delta", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
