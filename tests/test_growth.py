@@ -113,3 +113,17 @@ def test_watched_outcomes_take_every_number_of_logins(spark, small):
 
     found = Q.watched_outcomes(spark, small).groupBy("l", "delta").agg(F.sum("n")).collect()
     assert sorted(map(tuple, found)) == [(l, delta, 150) for l in (0, 5, 10, 15, 20) for delta in (1, 6, 11, 16, 21)]
+
+
+def test_watched_accounts_are_walked_in_place(spark, small, monkeypatch):
+    from veilspark.operators import bernoulli as B
+    from veilspark.plans import other_queries as Q
+
+    monkeypatch.setattr(B, "cut", lambda df: pytest.fail("accounts cut off between steps"))
+    monkeypatch.setattr(Q, "cut", lambda df: pytest.fail("outcomes cut off"), raising=False)
+    users, a = Q._marked(spark, small)
+    # nested marks: a word that was struck out never comes back
+    lists = B.watched_lists(a, Q._ranking(spark, small), Q.SEEN, Q.MORE, 67).collect()
+    assert len(lists) == users.count() and all(len(r["steps"]) == 5 for r in lists)
+    assert all([s["rank"] or 10**9 for s in r["steps"]] == sorted(s["rank"] or 10**9 for s in r["steps"]) for r in lists)
+    assert Q.watched_detection(spark, small).count() == 25

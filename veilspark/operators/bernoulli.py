@@ -135,39 +135,117 @@ def seen_marks(accounts: DataFrame, logins: list[int], seed: int, p_mark: float
     return rows.withColumn("m", F.filter("m", kept)).drop("_r")
 
 
+OUTCOMES = ["no_candidate", "undetected", "detected"]
+
+
+def _watched(words: object, logins: list[int], more: list[int], seed: int, p_mark: float, p_remark: float, schema: pa.Schema, k: int = 20, b: int = 128) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over accounts (user_id, salt, true, m): user_id, and for each number of logins the rank of the best word left and an outcome for each of `more`.
+
+    Marks only get fewer with the logins, so one walk over the words serves all numbers: a number's walk begins at the word that the one before found.
+    """
+    heads = [f"{i}:".encode() for i in range(k)]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked = words.value
+        for batch in batches:
+            made = []
+            for user, salt, true, marks in zip(*(batch.column(c).to_pylist() for c in ("user_id", "salt", "true", "m")), strict=True):
+                text, own, head = f"{seed}:{user}:".encode(), set(true), salt.encode()
+                chance = lambda key: int.from_bytes(sha256(text + key.encode()).digest()[:4]) / 4294967296.0  # noqa: B023, E731
+                renewed = [t for t in range(1, logins[-1] + more[-1] + 1) if chance(f"renew:{t}") < p_remark]
+                tables, left, at = [], marks, 0
+                for l in logins:  # noqa: E741
+                    for t in renewed:
+                        if at < t <= l:
+                            left = [i for i in left if i in own or chance(f"{t}:{i}") < p_mark]
+                    at = l
+                    held = set(left)
+                    # by the last byte of a hash, which is what counts modulo b
+                    tables.append(bytes((x % b) + 1 in held for x in range(256)))
+                hits, bits = [], tables[0]
+                for rank, data in ranked:
+                    hexed = sha256(head + data).hexdigest().encode()
+                    while len(hits) < len(logins):
+                        for first in heads:
+                            if not bits[sha256(first + hexed).digest()[-1]]:
+                                break
+                        else:
+                            hits.append((rank, {sha256(first + hexed).digest()[-1] % b + 1 for first in heads}))
+                            bits = tables[min(len(hits), len(tables) - 1)]
+                            continue
+                        break
+                    if len(hits) == len(logins):
+                        break
+                steps, lost = [], {t: {i for i in own if chance(f"{t}:{i}") >= p_mark} for t in renewed if t > logins[0]}
+                for n, l in enumerate(logins):  # noqa: E741
+                    rank, places = hits[n] if n < len(hits) else (None, None)
+                    last = [max((t for t in renewed if l < t <= l + delta), default=None) for delta in more]
+                    steps.append({"rank": rank, "codes": [0 if rank is None else 2 if t is not None and lost[t] - places else 1 for t in last]})
+                made.append((user, steps))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+
+    return task
+
+
+def watched_lists(accounts: DataFrame, ranking: DataFrame, logins: list[int], more: list[int], seed: int, p_mark: float = P_MARK, p_remark: float = P_REMARK) -> DataFrame:
+    """user_id, steps (rank, codes): for each number of logins seen the best word left, and the outcome by each of `more` as its place in OUTCOMES.
+
+    An account's whole work is done where it lies, so nothing of it is shuffled or cut off; every task holds the ranking, whose length is the attack's.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    if logins != sorted(logins) or more != sorted(more):
+        raise ValueError("numbers of logins must rise")
+    spark = accounts.sparkSession
+    ship_package(spark)
+    top = ranking.filter(F.col("rank") <= BLOCKS[-1]).select(F.col("rank").cast("long").alias("rank"), "password").collect()
+    words = spark.sparkContext.broadcast([(r["rank"], r["password"].encode()) for r in sorted(top)])
+    kind = accounts.select("user_id", F.lit(None).cast("array<struct<rank:long,codes:array<tinyint>>>").alias("steps")).schema
+    return accounts.select("user_id", "salt", "true", "m").mapInArrow(_watched(words, logins, more, seed, p_mark, p_remark, to_arrow_schema(kind)), kind)
+
+
+def told(lists: DataFrame, logins: list[int], more: list[int], *keep: str) -> DataFrame:
+    """The columns `keep` of watched_lists with l, delta, rank, outcome, a row for each pair of numbers."""
+    per = lists.select(*keep, F.posexplode("steps").alias("i", "s")).select(*keep, F.array(*map(F.lit, logins))[F.col("i")].alias("l"), F.col("s.rank").alias("rank"), F.posexplode("s.codes").alias("j", "code"))
+    return per.select(*keep, "l", F.array(*map(F.lit, more))[F.col("j")].alias("delta"), "rank", F.array(*map(F.lit, OUTCOMES))[F.col("code").cast("int")].alias("outcome"))
+
+
 def watched_breach(accounts: DataFrame, ranking: DataFrame, users: DataFrame, logins: list[int], more: list[int], seed: int, p_mark: float = P_MARK, p_remark: float = P_REMARK) -> DataFrame:
     """user_id, l, delta, rank, outcome: an attacker who saw l logins of the owner logs in delta times with the best word left.
 
     The word lies in the marks, so these logins raise no alarm; one that renews the marks may leave
     out positions of the real password, and the owner's next login tells.
     """
-    accounts = cut(accounts)
-    seen = seen_marks(accounts, logins, seed, p_mark, p_remark)
-    got = best_candidates(seen, ranking, marks=True, keys=("user_id", "l")).withColumnRenamed("password", "guess")
-    both = got.join(users.select("user_id", "password"), "user_id").join(accounts.select("user_id", "salt", "true"), "user_id")
-    both = both.withColumn("delta", F.explode(F.array(*[F.lit(x) for x in more])))
-    steps = F.filter(F.sequence(F.col("l") + 1, F.col("l") + F.col("delta")), lambda t: _renews(seed, t, p_remark))
-    both = both.withColumn("last", F.array_max(steps)).withColumn("at", indices(salted_hash(F.encode("salt", "utf-8"), F.col("guess"))))
-    missed = F.exists(F.array_except("true", "at"), lambda i: uniform(seed, F.col("user_id"), F.col("last"), i) >= p_mark)
-    out = F.when(F.col("guess").isNull(), "no_candidate").when(F.col("last").isNotNull() & missed, "detected").otherwise("undetected")
-    return both.select("user_id", "l", "delta", "rank", out.alias("outcome"))
+    known = accounts.join(users.select("user_id"), "user_id", "left_semi")
+    return told(watched_lists(known, ranking, logins, more, seed, p_mark, p_remark), logins, more, "user_id")
 
 
-def watched_detection(attacked: DataFrame, first_ranks: DataFrame, trials: int, seed: int) -> DataFrame:
-    """l, delta, tdp: share of trials that detect an attack on the half of their accounts with the best first ranks.
-
-    first_ranks: user_id, rank of the best word before any login was seen; accounts without one come last.
-    """
+def best_half(first_ranks: DataFrame, trials: int, seed: int) -> DataFrame:
+    """first_ranks (user_id, rank, more columns) with trial: the half of each trial's accounts with the best ranks; accounts without one come last."""
     from pyspark.sql import Window as W
 
     placed = first_ranks.withColumn("trial", (draw32(seed, "user_id") % trials).cast("int"))
     w = W.partitionBy("trial")
     placed = placed.withColumn("pos", F.row_number().over(w.orderBy(F.asc_nulls_last("rank"), "user_id"))).withColumn("size", F.count(F.lit(1)).over(w))
-    chosen = placed.filter(F.col("pos") <= F.greatest(F.floor(F.col("size") / 2), F.lit(1))).select("user_id", "trial")
-    per = attacked.join(chosen, "user_id").groupBy("l", "delta", "trial").agg(F.max((F.col("outcome") == "detected").cast("int")).alias("hit"))
+    return placed.filter(F.col("pos") <= F.greatest(F.floor(F.col("size") / 2), F.lit(1))).drop("pos", "size")
+
+
+def detection_rates(attacked: DataFrame) -> DataFrame:
+    """l, delta, tdp of attacked accounts (l, delta, trial, outcome): the share of trials that detect an attack."""
+    per = attacked.groupBy("l", "delta", "trial").agg(F.max((F.col("outcome") == "detected").cast("int")).alias("hit"))
     return per.groupBy("l", "delta").agg(F.avg("hit").alias("tdp"))
 
 
+def watched_detection(attacked: DataFrame, first_ranks: DataFrame, trials: int, seed: int) -> DataFrame:
+    """l, delta, tdp: share of trials that detect an attack on the half of their accounts with the best first ranks.
+
+    first_ranks: user_id, rank of the best word before any login was seen; accounts without one come last.
+    """
+    chosen = best_half(first_ranks.select("user_id", "rank"), trials, seed).select("user_id", "trial")
+    return detection_rates(attacked.join(chosen, "user_id"))
+
+
 def breach(candidates: DataFrame, users: DataFrame) -> DataFrame:
     """user_id, rank, outcome of one login each: no_candidate, undetected (the real word) or detected."""
     both = candidates.withColumnRenamed("password", "guess").join(users.select("user_id", "password"), "user_id")
@@ -211,4 +289,4 @@ def largest_safe(attempts: DataFrame, limit: float = 0.1, steps: int = 12) -> Da
     return attempts.withColumn("p_h", F.array_max(F.filter(powers, lambda p: 1 - F.pow(1 - p, F.col("attempts")) <= limit)))
 
 
-__all__ = ["register", "login", "best_candidates", "breach", "outcome_counts", "detection_by_n", "seen_marks", "watched_breach", "watched_detection", "success_vs_alarm", "false_detection", "largest_safe", "target_size"]
+__all__ = ["register", "login", "best_candidates", "breach", "outcome_counts", "detection_by_n", "seen_marks", "watched_lists", "told", "watched_breach", "best_half", "detection_rates", "watched_detection", "success_vs_alarm", "false_detection", "largest_safe", "target_size"]

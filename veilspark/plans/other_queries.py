@@ -9,7 +9,7 @@ from ..functions.rng import draw32, uniform
 from ..operators import bernoulli as B
 from ..operators import report as R
 from ..operators import similarity as V
-from ..session import cut, spread, table
+from ..session import spread, table
 from ..streaming import logins
 from . import domain
 from .attack_queries import weights
@@ -122,17 +122,16 @@ def marked_probe(spark, d):
 @query(f"WITH {OUTCOMES} SELECT l, delta, outcome, count(*) AS n FROM watched GROUP BY ALL")
 def watched_outcomes(spark, d):
     """Breaches by the numbers of the owner's and the attacker's logins."""
-    u, a = _marked(spark, d)
-    return B.watched_breach(a, _ranking(spark, d), u, SEEN, MORE, 67).groupBy("l", "delta", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    a = _marked(spark, d)[1]
+    return B.told(B.watched_lists(a, _ranking(spark, d), SEEN, MORE, 67), SEEN, MORE).groupBy("l", "delta", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def watched_detection(spark, d):
     """The five by five table of detection rates; SQL would hash the whole ranking for accounts with few marks left, so a test has a plain loop."""
-    u, a = _marked(spark, d)
-    attacked = cut(B.watched_breach(a, _ranking(spark, d), u, SEEN, MORE, 67))
-    first = attacked.filter(f"l = 0 AND delta = {MORE[0]}").select("user_id", "rank")
-    return B.watched_detection(attacked, first, 50, 67)
+    a = _marked(spark, d)[1]
+    lists = B.watched_lists(a, _ranking(spark, d), SEEN, MORE, 67).withColumn("rank", F.col("steps")[SEEN.index(0)]["rank"])
+    return B.detection_rates(B.told(B.best_half(lists, 50, 67), SEEN, MORE, "trial"))
 
 
 ATTEMPTS = f"attempts AS (SELECT event_id, ts, CASE WHEN e.user_id % 97 = 0 THEN -1 ELSE e.user_id END AS user_id, CASE WHEN {u32(11, 'event_id')} % 3 = 0 THEN u.password ELSE e.event_type || {u32(12, 'event_id')} % 50 END AS word FROM events e LEFT JOIN users u USING (user_id))"
