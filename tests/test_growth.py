@@ -127,3 +127,33 @@ def test_watched_accounts_are_walked_in_place(spark, small, monkeypatch):
     assert len(lists) == users.count() and all(len(r["steps"]) == 5 for r in lists)
     assert all([s["rank"] or 10**9 for s in r["steps"]] == sorted(s["rank"] or 10**9 for s in r["steps"]) for r in lists)
     assert Q.watched_detection(spark, small).count() == 25
+
+
+def test_profile_lists_in_place_are_those_of_rounds(spark, small):
+    from veilspark.functions.strings import parse_pattern, pattern
+    from veilspark.operators import decoys as G
+
+    made = [(1, "anna!12"), (2, "x"), (3, "Sun_rise77#"), (4, "12!!"), (5, "!!??"), (6, "#1")] + [(i, f"{w}{'!_#'[i % 3]}{i}") for i, w in enumerate(["bea", "carl", "doro", "emil"] * 5, 7)]
+    rows = [(i, w, ["sun", "anna", "moon", f"w{i}"][: i % 5], ["12", "77", "345", str(i)][: i % 4], ["!", "@.", "#"][: i % 3]) for i, w in made]
+    users = spark.createDataFrame(rows, "user_id long, password string, A array<string>, D array<string>, S array<string>").cache()
+    slots = users.select("user_id", "A", "D", "S", F.posexplode(parse_pattern(pattern(F.col("password")))).alias("slot", "part"))
+    pools = slots.select("user_id", "slot", F.when(F.col("part.kind") == "A", F.col("A")).when(F.col("part.kind") == "D", F.col("D")).otherwise(F.col("S")).alias("pool"))
+    own = users.select("user_id", "password")
+    patterns = own.select("user_id", F.array(pattern(F.col("password"))).alias("patterns"))
+    want = G.assemble(G.in_rounds(own, lambda some, draws: G.from_tokens(some, pools, patterns, draws, 67, max_shared=1), 8, 200, 100), own, 8, 67)
+    found = G.in_place(users, G.own_tokens(67, 200, 1), 8, 67)
+    assert rows_of(found) == rows_of(want) and {r["n"] for r in found.groupBy("user_id").agg(F.count("*").alias("n")).collect()} >= {1, 8}
+    assert "Exchange hashpartitioning(user_id" not in G.in_place(users, G.own_tokens(67, 200, 1), 8, 67).groupBy("is_real").count()._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+
+
+def test_bounded_edits_are_those_of_the_whole_distance(spark):
+    from veilspark.operators import decoys as G
+
+    rng = random.Random(3)
+    pairs = [("".join(rng.choice("ab") for _ in range(rng.randrange(7))), "".join(rng.choice("ab") for _ in range(rng.randrange(7)))) for _ in range(400)]
+    whole = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.levenshtein("a", "b").alias("n")).collect()
+    assert all(G._within(r["a"], r["b"], most) == (r["n"] <= most) for r in whole for most in (0, 1, 2))
+
+
+def rows_of(df):
+    return sorted(tuple(r[c] for c in ("user_id", "idx", "word", "is_real")) for r in df.collect())

@@ -155,13 +155,16 @@ def _watched(words: object, logins: list[int], more: list[int], seed: int, p_mar
                 renewed = [t for t in range(1, logins[-1] + more[-1] + 1) if chance(f"renew:{t}") < p_remark]
                 tables, left, at = [], marks, 0
                 for l in logins:  # noqa: E741
-                    for t in renewed:
-                        if at < t <= l:
-                            left = [i for i in left if i in own or chance(f"{t}:{i}") < p_mark]
+                    fresh = [t for t in renewed if at < t <= l]
+                    for t in fresh:
+                        left = [i for i in left if i in own or chance(f"{t}:{i}") < p_mark]
                     at = l
-                    held = set(left)
+                    if fresh or not tables:
+                        held = bytearray(b)
+                        for i in left:
+                            held[i - 1] = 1
                     # by the last byte of a hash, which is what counts modulo b
-                    tables.append(bytes((x % b) + 1 in held for x in range(256)))
+                    tables.append(bytes(held) * (256 // b))
                 hits, bits = [], tables[0]
                 for rank, data in ranked:
                     hexed = sha256(head + data).hexdigest().encode()
