@@ -157,3 +157,22 @@ def test_bounded_edits_are_those_of_the_whole_distance(spark):
 
 def rows_of(df):
     return sorted(tuple(r[c] for c in ("user_id", "idx", "word", "is_real")) for r in df.collect())
+
+
+@pytest.mark.parametrize("words", [40, 9])
+def test_walked_lists_are_those_of_rounds(spark, monkeypatch, words):
+    from veilspark.operators import decoys as G
+    from veilspark.operators import markov as M
+
+    monkeypatch.setattr(G, "LAST", 60)
+    corpus = spark.createDataFrame([(f"ab{i}" if i % 3 else "a" * (i % 5 + 1),) for i in range(words)], "password string")
+    chain, first = M.transitions(corpus).cache(), M.starts(corpus).cache()
+    users = spark.createDataFrame([(i, f"ab{i}") for i in range(40)], "user_id long, password string").cache()
+    make = lambda some, at: M.sample(some, chain, first, at, 5)
+    walk = M.walker(chain, first, 5)
+    want = G.assemble(G.in_rounds(users, make, 8, None, 9), users, 8, 5)
+    found = G.walked(users, lambda r, draws: walk(r["user_id"], draws), make, 8, 9, 5)
+    assert rows_of(found) == rows_of(want)
+    assert M.walker(chain, first, 5, small=3) is None
+    drawn = {(r["user_id"], r["draw"]): r["word"] for r in make(users, range(12)).collect()}
+    assert drawn == {(i, n): w for i in range(40) for n, w in enumerate(walk(i, 12))}
