@@ -176,3 +176,14 @@ def test_walked_lists_are_those_of_rounds(spark, monkeypatch, words):
     assert M.walker(chain, first, 5, small=3) is None
     drawn = {(r["user_id"], r["draw"]): r["word"] for r in make(users, range(12)).collect()}
     assert drawn == {(i, n): w for i in range(40) for n, w in enumerate(walk(i, 12))}
+
+
+def test_evolving_patterns_meet_in_place_or_by_a_shuffle(spark, small, monkeypatch):
+    from veilspark.operators import decoys as G
+    from veilspark.operators import freqdb as D
+
+    u = domain.users(spark, small).select("user_id", "password")
+    freqs = D.token_counts(domain.passwords(spark, small).unionByName(u.withColumnRenamed("user_id", "pid"))).cache()
+    held = rows(G.evolving(u, freqs, 67)(u, range(3)))
+    monkeypatch.setattr(G, "HELD", 0)
+    assert held and rows(G.evolving(u, freqs, 67)(u, range(3))) == held
